@@ -14,14 +14,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT_OPTIONS, Options
+from ..config import DEFAULT_OPTIONS, HIGH_RISK_THRESHOLD, Options
 from ..functions import rules
-from ..operators import prospects, rollup
+from ..operators import outreach, prospects, rollup
 from ..operators.score import score_relational, vuln_totals, with_base_score, with_cve_score
 from ..operators.transform import explode_vulns, flatten, latest_per_key
-from ..sources.banners import driver_banner_lines
-from ..sources.ndjson import parse_ndjson
-from .etl import scored_scans
+from ..schema import pitch_schema, vulns_schema
+from ..session import scratch_path
+from ..sources.banners import banner_lines, driver_banner_lines, load_driver_tables
+from ..sources.ndjson import parse_ndjson, read_ndjson, write_ndjson, write_ndjson_zst
+from ..sources.parquet import publish, read_optional, read_table, write_table
+from .etl import run_etl, scored_scans
+from .refresh import ensure_table, keyed_upsert, refresh_org_scores
+
+# Event-time split used by the incremental queries: events before the cutoff
+# form the earlier snapshot, the rest (NULL time included) the later batch.
+SNAPSHOT_CUTOFF = "2024-01-16 00:00:00"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -145,6 +153,110 @@ def q_risk_bands(spark, sf_dir):
     return prospects.risk_bands(_org_scores(spark, sf_dir))
 
 
+# ------------------------------------------------------------------ outreach
+
+
+def _before_cutoff():
+    return F.coalesce(F.col("ts") < F.expr(f"TIMESTAMP_NTZ '{SNAPSHOT_CUTOFF}'"), F.lit(False))
+
+
+def _snapshot_lines(spark, sf_dir, earlier: bool):
+    events, nation = load_driver_tables(spark, sf_dir)
+    cond = _before_cutoff()
+    return banner_lines(events.where(cond if earlier else ~cond), nation)
+
+
+def q_outreach_context(spark, sf_dir):
+    scans = _scans(spark, sf_dir)
+    return outreach.outreach_context(scans, rollup.org_scores(scans))
+
+
+def q_outreach_text(spark, sf_dir):
+    scans = _scans(spark, sf_dir)
+    return outreach.outreach_text(outreach.outreach_context(scans, rollup.org_scores(scans)))
+
+
+def q_outreach_pending(spark, sf_dir):
+    """Pitches were generated for the high-risk organisations of the earlier
+    snapshot; list the currently eligible organisations still lacking one."""
+    prev_scans = scored_scans(parse_ndjson(_snapshot_lines(spark, sf_dir, earlier=True)))
+    prev_scores = rollup.org_scores(prev_scans)
+    prev_texts = outreach.outreach_text(outreach.outreach_context(prev_scans, prev_scores))
+    high = prev_scores.where(F.col("combined_risk_score") >= HIGH_RISK_THRESHOLD).select("org")
+    generated_at = F.expr(f"TIMESTAMP '{SNAPSHOT_CUTOFF}'")
+    new_pitches = outreach.pitch_rows(prev_texts.join(high, "org", "left_semi"), generated_at)
+    path = scratch_path(spark, "ai_pitches")
+    ensure_table(spark, path, pitch_schema)
+    cache = keyed_upsert(spark, path, new_pitches, "org", pitch_schema)
+    eligible = outreach.eligible_orgs(_org_scores(spark, sf_dir))
+    return outreach.pitches_needed(eligible, cache).select("org", "pitch_rank", "combined_risk_score")
+
+
+# ------------------------------------------------------- storage round trips
+
+
+def q_json_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "ndjson-gz")
+    write_ndjson(driver_banner_lines(spark, sf_dir), path, compression="gzip")
+    return _no_map(flatten(read_ndjson(spark, path)))
+
+
+def q_zst_scan(spark, sf_dir):
+    path = scratch_path(spark, "ndjson-zst")
+    write_ndjson_zst(driver_banner_lines(spark, sf_dir), path)
+    return _no_map(latest_per_key(flatten(read_ndjson(spark, path))))
+
+
+def q_partitioned_roundtrip(spark, sf_dir):
+    out = run_etl(spark, None, scratch_path(spark, "etl"), lines=driver_banner_lines(spark, sf_dir))
+    return read_table(spark, out.scans_path).drop("vulns")
+
+
+def q_optional_vulns(spark, sf_dir):
+    root = scratch_path(spark, "etl")
+    out = run_etl(spark, None, root, lines=driver_banner_lines(spark, sf_dir))
+    missing = read_optional(spark, f"{root}/no_such_table", vulns_schema)
+    return read_optional(spark, out.vulns_path, vulns_schema).unionByName(missing)
+
+
+def q_merge_schema(spark, sf_dir):
+    """Older part files lack two columns; a merged read fills them with NULL."""
+    scans = _no_map(_scans(spark, sf_dir))
+    old = F.coalesce(F.col("timestamp") < F.expr(f"TIMESTAMP '{SNAPSHOT_CUTOFF}'"), F.lit(False))
+    path = scratch_path(spark, "merge")
+    write_table(scans.where(old).drop("http_title", "cloud_service"), f"{path}/batch=1")
+    write_table(scans.where(~old), f"{path}/batch=2")
+    return read_table(spark, path, merge_schema=True).drop("batch")
+
+
+def q_refresh_ttl(spark, sf_dir):
+    """First refresh builds the rollup (table missing); an immediate second
+    one finds a fresh stamp and keeps it."""
+    root = scratch_path(spark, "serving")
+    run_etl(spark, None, root, lines=driver_banner_lines(spark, sf_dir))
+    refresh_org_scores(spark, root)
+    refresh_org_scores(spark, root)
+    return read_table(spark, f"{root}/org_scores")
+
+
+def q_metadata_upsert(spark, sf_dir):
+    """Per-organisation rollup of the earlier snapshot, then insert-or-replace
+    with the rollup of the later batch (the later batch wins per org)."""
+    path = scratch_path(spark, "org_snapshot")
+    earlier = rollup.org_scores(scored_scans(parse_ndjson(_snapshot_lines(spark, sf_dir, earlier=True))))
+    later = rollup.org_scores(scored_scans(parse_ndjson(_snapshot_lines(spark, sf_dir, earlier=False))))
+    write_table(earlier, path)
+    return keyed_upsert(spark, path, later, "org")
+
+
+def q_publish_copy(spark, sf_dir):
+    src, dst = scratch_path(spark, "local"), scratch_path(spark, "published")
+    run_etl(spark, None, src, lines=driver_banner_lines(spark, sf_dir))
+    refresh_org_scores(spark, src, force=True)
+    publish(spark, src, dst)
+    return read_table(spark, f"{dst}/org_scores")
+
+
 QUERIES: dict[str, Query] = {
     "flatten": q_flatten,
     "dedup_latest": q_dedup_latest,
@@ -168,4 +280,15 @@ QUERIES: dict[str, Query] = {
     "geo_grid": q_geo_grid,
     "cloud_segments": q_cloud_segments,
     "risk_bands": q_risk_bands,
+    "outreach_context": q_outreach_context,
+    "outreach_text": q_outreach_text,
+    "outreach_pending": q_outreach_pending,
+    "json_roundtrip": q_json_roundtrip,
+    "zst_scan": q_zst_scan,
+    "partitioned_roundtrip": q_partitioned_roundtrip,
+    "optional_vulns": q_optional_vulns,
+    "merge_schema": q_merge_schema,
+    "refresh_ttl": q_refresh_ttl,
+    "metadata_upsert": q_metadata_upsert,
+    "publish_copy": q_publish_copy,
 }

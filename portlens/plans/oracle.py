@@ -27,6 +27,7 @@ BASE_CTES = f"""
 ev AS (
   SELECT e.event_id AS e, e.user_id AS u, e.ts AS ts, e.value AS value, n.n_name AS n_name
   FROM events e LEFT JOIN nation n ON n.n_nationkey = e.user_id % 25
+  WHERE /*EV_FILTER*/TRUE
 ),
 raw AS (
   SELECT *,
@@ -134,8 +135,109 @@ org_scores AS (
 """
 
 
-def _q(body: str) -> str:
-    return f"WITH {BASE_CTES.strip()}\n{body.strip()}"
+_CTE_NAMES = ("ev", "raw", "flat", "dedup", "vulns", "cve_scored", "vuln_totals", "rules", "based",
+              "scans", "org_base", "org_scores")
+
+
+def chain(prefix: str = "", event_filter: str = "TRUE") -> str:
+    """The CTE chain, with every CTE name prefixed and the events filtered."""
+    import re
+
+    text = BASE_CTES.strip().replace("/*EV_FILTER*/TRUE", f"({event_filter})")
+    if prefix:
+        text = re.sub(r"\b(" + "|".join(_CTE_NAMES) + r")\b", lambda m: prefix + m.group(1), text)
+    return text
+
+
+def _q(body: str, *extra: str) -> str:
+    parts = [chain()] + list(extra)
+    return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+
+
+CUTOFF = "2024-01-16 00:00:00"
+_EARLIER = f"COALESCE(e.ts < TIMESTAMP '{CUTOFF}', FALSE)"
+_LATER = f"NOT COALESCE(e.ts < TIMESTAMP '{CUTOFF}', FALSE)"
+
+_NL = "chr(10)"
+
+
+def _fixed1(x: str) -> str:
+    t = f"CAST(floor(abs({x}) * 10 + 0.5) AS BIGINT)"
+    return (f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END || CAST({t} // 10 AS VARCHAR) || '.' "
+            f"|| CAST({t} % 10 AS VARCHAR))")
+
+
+def _sql_str(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _outreach_ctes(p: str = "") -> list[str]:
+    """Outreach context over the chain with prefix ``p``."""
+    from ..operators import outreach as O
+
+    return [
+        f"""{p}top AS (
+  SELECT *, row_number() OVER (ORDER BY combined_risk_score DESC, org ASC) AS pitch_rank
+  FROM (SELECT * FROM {p}org_scores ORDER BY combined_risk_score DESC, org ASC LIMIT {C.PITCH_ELIGIBLE_TOP_N})
+)""",
+        f"""{p}erows AS (
+  SELECT * FROM {p}scans WHERE org IS NOT NULL AND is_excluded = FALSE AND org IN (SELECT org FROM {p}top)
+)""",
+        f"""{p}ports_txt AS (
+  SELECT org, string_agg(CAST(port AS VARCHAR) || ' (' || CAST(n AS VARCHAR) || ')', ', ' ORDER BY r) AS open_ports_summary
+  FROM (SELECT *, row_number() OVER (PARTITION BY org ORDER BY n DESC, port ASC) AS r
+        FROM (SELECT org, port, COUNT(*) AS n FROM {p}erows WHERE port IS NOT NULL GROUP BY org, port))
+  WHERE r <= {O.TOP_PORTS} GROUP BY org
+)""",
+        f"""{p}services_txt AS (
+  SELECT org, string_agg('- ' || product || ' (' || CAST(n AS VARCHAR) || ' services)', {_NL} ORDER BY r) AS services_summary
+  FROM (SELECT *, row_number() OVER (PARTITION BY org ORDER BY n DESC, product ASC) AS r
+        FROM (SELECT org, product, COUNT(*) AS n FROM {p}erows WHERE product IS NOT NULL GROUP BY org, product))
+  WHERE r <= {O.TOP_SERVICES} GROUP BY org
+)""",
+        f"""{p}cves_txt AS (
+  SELECT org, string_agg('- ' || cve_id || ' (CVSS ' || COALESCE(CAST(cvss AS VARCHAR), 'n/a') || ', EPSS '
+                         || COALESCE(CAST(epss AS VARCHAR), 'n/a') || ') on ' || CAST(n AS VARCHAR) || ' services',
+                         {_NL} ORDER BY r) AS cve_details
+  FROM (SELECT *, row_number() OVER (PARTITION BY org ORDER BY cvss DESC NULLS LAST, cve_id ASC) AS r
+        FROM (SELECT er.org, v.cve_id, MAX(v.cvss) AS cvss, MAX(v.epss) AS epss, COUNT(*) AS n
+              FROM {p}erows er JOIN {p}vulns v
+                ON er.ip_str IS NOT DISTINCT FROM v.ip_str AND er.port IS NOT DISTINCT FROM v.port
+              GROUP BY er.org, v.cve_id))
+  WHERE r <= {O.TOP_CVES} GROUP BY org
+)""",
+        f"""{p}ssl_txt AS (
+  SELECT org, '- expired certificates: ' || CAST(COUNT(*) FILTER (WHERE ssl_expired = TRUE) AS VARCHAR)
+      || {_NL} || '- self-signed certificates: '
+      || CAST(COUNT(*) FILTER (WHERE COALESCE(list_contains(tags, 'self-signed'), FALSE)) AS VARCHAR)
+      || {_NL} || '- weak TLS (SSLv3/TLSv1.0): '
+      || CAST(COUNT(*) FILTER (WHERE COALESCE(list_contains(ssl_versions, 'SSLv3')
+                                              OR list_contains(ssl_versions, 'TLSv1.0'), FALSE)) AS VARCHAR)
+      AS ssl_issues
+  FROM {p}erows GROUP BY org
+)""",
+        f"""{p}context AS (
+  SELECT t.org, t.pitch_rank, t.combined_risk_score, t.total_ips, t.total_open_ports,
+         array_to_string(list_transform(t.countries, lambda x: COALESCE(x, 'unknown')), ', ') AS locations,
+         COALESCE(pt.open_ports_summary, 'none') AS open_ports_summary,
+         COALESCE(ct.cve_details, 'none known') AS cve_details,
+         COALESCE(st.services_summary, 'none identified') AS services_summary,
+         sl.ssl_issues
+  FROM {p}top t
+  LEFT JOIN {p}ports_txt pt ON pt.org = t.org
+  LEFT JOIN {p}cves_txt ct ON ct.org = t.org
+  LEFT JOIN {p}services_txt st ON st.org = t.org
+  LEFT JOIN {p}ssl_txt sl ON sl.org = t.org
+)""",
+        f"""{p}texts AS (
+  SELECT org, pitch_rank,
+    printf({_sql_str(O.USER_PROMPT_FORMAT)}, org, {_fixed1('combined_risk_score')}, locations,
+           CAST(total_ips AS VARCHAR), open_ports_summary, cve_details, services_summary, ssl_issues,
+           {_sql_str(O.DEFAULT_TONE)}, {_sql_str(O.DEFAULT_FOCUS)}) AS user_prompt,
+    printf({_sql_str(O.FALLBACK_FORMAT)}, org, CAST(total_ips AS VARCHAR), {_fixed1('combined_risk_score')}) AS fallback_text
+  FROM {p}context
+)""",
+    ]
 
 
 def _band(col: str) -> str:
@@ -201,4 +303,27 @@ ORACLE_SQL: dict[str, str] = {
                COUNT(*) FILTER (WHERE is_excluded = TRUE) AS n_excluded
         FROM scans GROUP BY 1"""),
     "risk_bands": _q(f"SELECT org, combined_risk_score, {_band('combined_risk_score')} AS risk_band FROM org_scores"),
+    "outreach_context": _q("SELECT * FROM context", *_outreach_ctes()),
+    "outreach_text": _q("SELECT * FROM texts", *_outreach_ctes()),
+    "outreach_pending": _q(
+        f"""SELECT t.org, t.pitch_rank, t.combined_risk_score FROM top t
+            WHERE t.org NOT IN (SELECT org FROM p_org_scores WHERE combined_risk_score >= {C.HIGH_RISK_THRESHOLD})""",
+        *_outreach_ctes(), chain("p_", _EARLIER)),
+    "json_roundtrip": _q("SELECT * EXCLUDE (n_cves) FROM flat"),
+    "zst_scan": _q("SELECT * EXCLUDE (hash, n_cves) FROM dedup"),
+    "partitioned_roundtrip": _q(
+        f"SELECT * EXCLUDE (country_code), COALESCE(country_code, '{C.UNKNOWN_COUNTRY}') AS country_code FROM scans"),
+    "optional_vulns": _q("SELECT * FROM vulns"),
+    "merge_schema": _q(f"""
+        SELECT * REPLACE (
+          CASE WHEN COALESCE("timestamp" < TIMESTAMP '{CUTOFF}', FALSE) THEN NULL ELSE http_title END AS http_title,
+          CASE WHEN COALESCE("timestamp" < TIMESTAMP '{CUTOFF}', FALSE) THEN NULL ELSE cloud_service END AS cloud_service)
+        FROM scans"""),
+    "refresh_ttl": _q("SELECT * FROM org_scores"),
+    "metadata_upsert": _q(
+        """SELECT * FROM l_org_scores
+           UNION ALL
+           SELECT * FROM e_org_scores WHERE org NOT IN (SELECT org FROM l_org_scores)""",
+        chain("e_", _EARLIER), chain("l_", _LATER)),
+    "publish_copy": _q("SELECT * FROM org_scores"),
 }
