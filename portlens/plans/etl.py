@@ -1,28 +1,29 @@
 """The batch job: NDJSON banners -> `scans` (partitioned) + `vulns` Parquet.
 
-Plan shape (one input scan, one shuffle):
+Plan shape (one JSON scan, two exchanges):
 
     JSON scan (trimmed schema) -> flatten (project) -> dedup (WindowGroupLimit
     map-side, exchange on ip_str/port, final window) -> fused score (project)
-    -> persist -> range exchange -> partitioned write of `scans`
-                \\-> explode -> write `vulns` (reads the persisted rows)
+    -> range exchange on (country_code, ip_str, port) -> partitioned write of
+    `scans`;  then  `scans` Parquet (4 columns read) -> explode -> `vulns`.
 
-The CVE table is derived from the persisted deduped rows, so the JSON is
-parsed and deduplicated once, and `scans` and `vulns` always agree.
+The range bounds are sampled by a job that reads the dedup shuffle output,
+which the write then reuses, so the JSON is parsed and deduplicated once.
+`vulns` is derived from the written `scans` table: the lineage is cut at a
+table in the shared folder, and both outputs always agree.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import DEFAULT_OPTIONS, Options
 from ..operators.score import score_fused, score_relational
 from ..operators.transform import explode_vulns, flatten, latest_per_key
 from ..sources.ndjson import parse_ndjson, read_ndjson
-from ..sources.parquet import write_scans, write_table
+from ..sources.parquet import read_table, write_scans, write_table
 
 
 def scored_scans(banners: DataFrame, options: Options = DEFAULT_OPTIONS, fused: bool = True) -> DataFrame:
@@ -51,24 +52,21 @@ def run_etl(
     options: Options = DEFAULT_OPTIONS,
     lines: DataFrame | None = None,
     min_input_partitions: int | None = None,
-    storage_level: StorageLevel = StorageLevel.MEMORY_AND_DISK,
+    output_partitions: int | None = None,
 ) -> EtlResult:
     """Ingest -> flatten -> dedup -> score -> export.
 
     Pass either an NDJSON ``input_path`` (plain/.gz/.zst files) or a frame of
-    NDJSON ``lines``. The scored rows are persisted because both outputs and
-    the range-partition sampling read them; a lost cached block is rebuilt
-    from lineage, so executor loss costs time, not correctness.
+    NDJSON ``lines``. Nothing is cached: a lost executor's shuffle output or
+    partially written task is recomputed from lineage by Spark's task retry,
+    and the second output reads the first from storage.
     """
     banners = parse_ndjson(lines) if lines is not None else read_ndjson(
         spark, input_path, min_partitions=min_input_partitions
     )
-    scored = scored_scans(banners, options).persist(storage_level)
     root = output_root.rstrip("/")
     result = EtlResult(f"{root}/scans", f"{root}/vulns")
-    try:
-        write_scans(scored, result.scans_path, options)
-        write_table(explode_vulns(scored), result.vulns_path)
-    finally:
-        scored.unpersist()
+    write_scans(scored_scans(banners, options), result.scans_path, options, partitions=output_partitions)
+    scans = read_table(spark, result.scans_path).select("ip_str", "port", "org", "vulns")
+    write_table(explode_vulns(scans), result.vulns_path)
     return result

@@ -19,7 +19,7 @@ from ..config import DEFAULT_OPTIONS, REFRESH_METADATA_KEY, ROLLUP_TTL_SECONDS,
 from ..operators.rollup import org_scores
 from ..schema import metadata_schema
 from ..session import shared_root
-from ..sources.parquet import read_optional, read_table, write_table
+from ..sources.parquet import read_optional, read_table, write_table  # noqa: F401
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -44,9 +44,11 @@ def keyed_upsert(spark: SparkSession, path: str, updates: DataFrame, key: str |
     Both sides are hash-partitioned on the key for the anti join; AQE
     broadcasts ``updates`` when it is measured small. Returns the new table.
     """
-    keys = [key] if isinstance(key, str) else list(key)
-    old = read_optional(spark, path, schema or updates.schema)
-    merged = old.join(updates.select(*keys), keys, "left_anti").unionByName(updates, allowMissingColumns=True)
+    if not table_exists(spark, path):
+        # nothing to merge with, and nothing read from the target path
+        write_table(updates, path)
+        return read_table(spark, path)
+    merged = upsert_merge(read_table(spark, path), updates, key)
     shared_root(spark)  # make sure a reliable checkpoint folder is set
     merged = merged.checkpoint(eager=True)
     write_table(merged, path)

@@ -68,12 +68,15 @@ def write_scans(scored: DataFrame, path: str, options: Options = DEFAULT_OPTIONS
     Rows are range-partitioned on (country_code, ip_str, port) first: a
     country that holds a large share of all rows is cut into many
     similar-sized tasks, small countries share one task, and each task
-    writes few, sorted files. Range bounds come from a sample, so the input
-    should be persisted (the ETL does) to avoid recomputing it for sampling.
+    writes few files. Range bounds come from a sampling job; when the input
+    ends in an exchange (the dedup), that job and the write share its
+    shuffle output instead of recomputing the input. Without an explicit
+    ``partitions`` the count follows ``spark.sql.shuffle.partitions`` and AQE
+    may coalesce small ranges.
     """
-    spark = scored.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = with_country_partition(scored, options).repartitionByRange(n, "country_code", "ip_str", "port")
+    keys = ("country_code", "ip_str", "port")
+    filled = with_country_partition(scored, options)
+    out = filled.repartitionByRange(partitions, *keys) if partitions else filled.repartitionByRange(*keys)
     write_table(out, path, partition_by="country_code", max_records_per_file=max_records_per_file)
 
 
