@@ -93,26 +93,52 @@ def _top_k_text(df: DataFrame, group: str, order: list[Column], k: int, text: Co
     )
 
 
+def _ordered_text(cond: Column, text: Column, sep: str) -> Column:
+    """Texts of the rows meeting ``cond`` joined in rank order (``_r``);
+    NULL when there are none."""
+    items = F.array_sort(F.collect_list(F.when(cond, F.struct(F.col("_r"), text.alias("t")))))
+    return F.when(F.size(items) > 0, F.array_join(F.transform(items, lambda x: x["t"]), sep))
+
+
 def outreach_context(scans: DataFrame, org_scores: DataFrame, n: int = C.PITCH_ELIGIBLE_TOP_N) -> DataFrame:
     """One row per eligible organisation with everything a pitch needs.
 
     The eligible set has at most ``n`` rows, so joining it to `scans` is a
     broadcast of a bounded side; every per-organisation list is a top-k.
+    `scans` is read twice: once for a grouping-sets aggregate (ports,
+    products, certificate counts: one Expand, one exchange) and once for
+    the CVE maps.
     """
     top = eligible_orgs(org_scores, n)
     rows = eligible_scans(scans).join(F.broadcast(top.select("org")), "org", "left_semi")
 
-    ports = rows.where(F.col("port").isNotNull()).groupBy("org", "port").agg(F.count(F.lit(1)).alias("n"))
-    ports_txt = _top_k_text(
-        ports, "org", [F.col("n").desc(), F.col("port").asc()], TOP_PORTS,
-        F.concat(F.col("port").cast("string"), F.lit(" ("), F.col("n").cast("string"), F.lit(")")), ", ",
-    ).withColumnRenamed("text", "open_ports_summary")
-
-    services = rows.where(F.col("product").isNotNull()).groupBy("org", "product").agg(F.count(F.lit(1)).alias("n"))
-    services_txt = _top_k_text(
-        services, "org", [F.col("n").desc(), F.col("product").asc()], TOP_SERVICES,
-        F.concat(F.lit("- "), F.col("product"), F.lit(" ("), F.col("n").cast("string"), F.lit(" services)")), "\n",
-    ).withColumnRenamed("text", "services_summary")
+    # One pass over the rows for three groupings: (org, port), (org, product)
+    # and (org). grouping_id tells the sets apart (NULL ports and products
+    # are real values in their own set and are skipped below).
+    weak_tls = F.coalesce(F.exists("ssl_versions", lambda v: v.isin(*C.WEAK_TLS_VERSIONS)), F.lit(False))
+    sets = rows.groupingSets([["org", "port"], ["org", "product"], ["org"]], "org", "port", "product").agg(
+        F.grouping_id().alias("_g"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("ssl_expired") == F.lit(True)).alias("n_expired"),
+        F.count_if(F.coalesce(F.array_contains("tags", C.SELF_SIGNED_TAG), F.lit(False))).alias("n_self_signed"),
+        F.count_if(weak_tls).alias("n_weak_tls"),
+    )
+    # Rank ports and products per organisation in one window (partitioned by
+    # org and set; the literal limit lets Catalyst push a WindowGroupLimit
+    # before the exchange), then fold all three sets into one row per org.
+    g, n_ = F.col("_g"), F.col("n")
+    kept = sets.where(((g == 1) & F.col("port").isNotNull()) | ((g == 2) & F.col("product").isNotNull()) | (g == 3))
+    w = Window.partitionBy("org", "_g").orderBy(n_.desc(), F.col("port").asc(), F.col("product").asc())
+    ranked = kept.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(TOP_PORTS, TOP_SERVICES))
+    port_text = F.concat(F.col("port").cast("string"), F.lit(" ("), n_.cast("string"), F.lit(")"))
+    service_text = F.concat(F.lit("- "), F.col("product"), F.lit(" ("), n_.cast("string"), F.lit(" services)"))
+    summary = ranked.groupBy("org").agg(
+        _ordered_text((g == 1) & (F.col("_r") <= TOP_PORTS), port_text, ", ").alias("open_ports_summary"),
+        _ordered_text((g == 2) & (F.col("_r") <= TOP_SERVICES), service_text, "\n").alias("services_summary"),
+        F.max(F.when(g == 3, F.col("n_expired"))).alias("n_expired"),
+        F.max(F.when(g == 3, F.col("n_self_signed"))).alias("n_self_signed"),
+        F.max(F.when(g == 3, F.col("n_weak_tls"))).alias("n_weak_tls"),
+    )
 
     cves = explode_vulns(rows).groupBy("org", "cve_id").agg(
         F.max("cvss").alias("cvss"), F.max("epss").alias("epss"), F.count(F.lit(1)).alias("n")
@@ -127,14 +153,8 @@ def outreach_context(scans: DataFrame, org_scores: DataFrame, n: int = C.PITCH_E
         cves, "org", [F.col("cvss").desc_nulls_last(), F.col("cve_id").asc()], TOP_CVES, cve_line, "\n"
     ).withColumnRenamed("text", "cve_details")
 
-    ssl = rows.groupBy("org").agg(
-        F.count_if(F.col("ssl_expired") == F.lit(True)).alias("n_expired"),
-        F.count_if(F.coalesce(F.array_contains("tags", C.SELF_SIGNED_TAG), F.lit(False))).alias("n_self_signed"),
-        F.count_if(F.coalesce(F.exists("ssl_versions", lambda v: v.isin(*C.WEAK_TLS_VERSIONS)), F.lit(False)))
-        .alias("n_weak_tls"),
-    )
-    ssl_txt = ssl.select(
-        "org",
+    summary = summary.select(
+        "org", "open_ports_summary", "services_summary",
         F.concat(
             F.lit("- expired certificates: "), F.col("n_expired").cast("string"),
             F.lit("\n- self-signed certificates: "), F.col("n_self_signed").cast("string"),
@@ -147,10 +167,8 @@ def outreach_context(scans: DataFrame, org_scores: DataFrame, n: int = C.PITCH_E
             "org", "pitch_rank", "combined_risk_score", "total_ips", "total_open_ports",
             F.array_join(F.col("countries"), ", ", "unknown").alias("locations"),
         )
-        .join(ports_txt, "org", "left")
+        .join(summary, "org", "left")
         .join(cves_txt, "org", "left")
-        .join(services_txt, "org", "left")
-        .join(ssl_txt, "org", "left")
         .fillna({"open_ports_summary": "none", "cve_details": "none known", "services_summary": "none identified"})
     )
 

@@ -23,7 +23,7 @@ from ..schema import pitch_schema, vulns_schema
 from ..session import scratch_path
 from ..sources.banners import banner_lines, driver_banner_lines, load_driver_tables
 from ..sources.ndjson import parse_ndjson, read_ndjson, write_ndjson, write_ndjson_zst
-from ..sources.parquet import publish, read_optional, read_table, write_table
+from ..sources.parquet import publish, read_optional, read_table, register_views, write_table
 from .etl import run_etl, scored_scans
 from .refresh import ensure_table, keyed_upsert, refresh_org_scores
 
@@ -229,6 +229,17 @@ def q_merge_schema(spark, sf_dir):
     return read_table(spark, path, merge_schema=True).drop("batch")
 
 
+def q_org_scores_sql(spark, sf_dir):
+    """Serving tier through the SQL API: write the ETL output, register views
+    over the Parquet directories (replacing older ones), run the rollup SQL."""
+    out = run_etl(spark, None, scratch_path(spark, "views"), lines=driver_banner_lines(spark, sf_dir))
+    register_views(spark, {
+        "portlens_scans": read_table(spark, out.scans_path),
+        "portlens_vulns": read_optional(spark, out.vulns_path, vulns_schema),
+    })
+    return rollup.org_scores_sql(spark, "portlens_scans")
+
+
 def q_refresh_ttl(spark, sf_dir):
     """First refresh builds the rollup (table missing); an immediate second
     one finds a fresh stamp and keeps it."""
@@ -288,6 +299,7 @@ QUERIES: dict[str, Query] = {
     "partitioned_roundtrip": q_partitioned_roundtrip,
     "optional_vulns": q_optional_vulns,
     "merge_schema": q_merge_schema,
+    "org_scores_sql": q_org_scores_sql,
     "refresh_ttl": q_refresh_ttl,
     "metadata_upsert": q_metadata_upsert,
     "publish_copy": q_publish_copy,

@@ -320,6 +320,7 @@ ORACLE_SQL: dict[str, str] = {
           CASE WHEN COALESCE("timestamp" < TIMESTAMP '{CUTOFF}', FALSE) THEN NULL ELSE cloud_service END AS cloud_service)
         FROM scans"""),
     "refresh_ttl": _q("SELECT * FROM org_scores"),
+    "org_scores_sql": _q("SELECT * FROM org_scores"),
     "metadata_upsert": _q(
         """SELECT * FROM l_org_scores
            UNION ALL
