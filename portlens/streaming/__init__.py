@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The workload is batch only: bounded NDJSON scan dumps in, Parquet tables
+out, and a rollup rebuilt on a time-to-live (``portlens.plans.refresh``).
+It has no watermarks, windows over event time, or stateful operators, so
+nothing is built on Structured Streaming. Re-running the batch job on new
+files is the supported way to ingest more scans.
+"""
