@@ -67,6 +67,7 @@ def run_etl(
     root = output_root.rstrip("/")
     result = EtlResult(f"{root}/scans", f"{root}/vulns")
     write_scans(scored_scans(banners, options), result.scans_path, options, partitions=output_partitions)
-    scans = read_table(spark, result.scans_path).select("ip_str", "port", "org", "vulns")
+    # our own output, one schema: no footer-merging job needed
+    scans = read_table(spark, result.scans_path, merge_schema=False).select("ip_str", "port", "org", "vulns")
     write_table(explode_vulns(scans), result.vulns_path)
     return result

@@ -57,8 +57,10 @@ def write_ndjson_zst(lines: DataFrame, path: str, column: str = "value") -> int:
 
     Spark's text writer has no zstd codec without native Hadoop libraries,
     so each task streams its own lines through Arrow's zstd output stream
-    into its part file. Names depend only on the partition index, so a
-    retried task overwrites its own file. Returns the number of lines.
+    into a hidden per-attempt file, then renames it to a name that depends
+    only on the partition index: a retried or speculative attempt replaces
+    the part with identical content, never a partial one. Returns the
+    number of lines.
     """
     target_uri = _arrow_uri(path)
 
@@ -67,18 +69,23 @@ def write_ndjson_zst(lines: DataFrame, path: str, column: str = "value") -> int:
         import pyarrow.fs as pafs
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        ctx = TaskContext.get()
+        part = ctx.partitionId()
         fs, root = pafs.FileSystem.from_uri(target_uri)
         fs.create_dir(root, recursive=True)
+        final = f"{root}/part-{part:05d}.json.zst"
+        # Hidden (dot-prefixed, ignored by readers) and unique per attempt, so
+        # a failed or speculative attempt never leaves a half-written part.
+        staging = f"{root}/.part-{part:05d}-{ctx.taskAttemptId()}.tmp"
         n = 0
         # The stream compresses with zstd (named explicitly, not by extension).
-        with fs.open_output_stream(f"{root}/part-{part:05d}.json.zst", compression="zstd",
-                                   buffer_size=1 << 20) as out:
+        with fs.open_output_stream(staging, compression="zstd", buffer_size=1 << 20) as out:
             for batch in batches:
                 for v in batch.column(0).to_pylist():
                     if v is not None:
                         out.write(v.encode("utf-8") + b"\n")
                         n += 1
+        fs.move(staging, final)
         yield pa.RecordBatch.from_pydict({"lines": [n]})
 
     counts = lines.select(column).mapInArrow(compress, "lines long")
