@@ -7,7 +7,6 @@ import datetime as dt
 import gzip
 import os
 
-import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 
@@ -128,4 +127,3 @@ def test_publish_skips_absent_optional(spark, tmp_path, edge_input):
     read_table(spark, out.scans_path).write.partitionBy("country_code").parquet(f"{src2}/scans")
     read_table(spark, f"{src}/org_scores").write.parquet(f"{src2}/org_scores")
     assert publish(spark, src2, dst2) == ["scans", "org_scores"]
-    assert pa is not None
