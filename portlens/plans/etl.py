@@ -4,13 +4,13 @@ Plan shape (one JSON scan, two exchanges):
 
     JSON scan (trimmed schema) -> flatten (project) -> dedup (WindowGroupLimit
     map-side, exchange on ip_str/port, final window) -> fused score (project)
-    -> range exchange on (country_code, ip_str, port) -> partitioned write of
-    `scans`;  then  `scans` Parquet (4 columns read) -> explode -> `vulns`.
+    -> rebalance exchange on country_code (AQE splits hot countries, merges
+    small ones) -> partitioned write of `scans`;
+    then  `scans` Parquet (4 columns read) -> explode -> `vulns`.
 
-The range bounds are sampled by a job that reads the dedup shuffle output,
-which the write then reuses, so the JSON is parsed and deduplicated once.
-`vulns` is derived from the written `scans` table: the lineage is cut at a
-table in the shared folder, and both outputs always agree.
+The JSON is parsed and deduplicated once. `vulns` is derived from the
+written `scans` table: the lineage is cut at a table in the shared folder,
+and both outputs always agree.
 """
 
 from __future__ import annotations

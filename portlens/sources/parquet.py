@@ -65,22 +65,18 @@ def write_scans(scored: DataFrame, path: str, options: Options = DEFAULT_OPTIONS
                 partitions: int | None = None, max_records_per_file: int = 5_000_000) -> None:
     """Hive-partitioned `scans` output, one directory per country.
 
-    Rows are range-partitioned on (country_code, ip_str, port) first: a
-    country that holds a large share of all rows is cut into many
-    similar-sized tasks, small countries share one task, and each task
-    writes few files, clustered by organisation. Range bounds come from a sampling job; when the input
-    ends in an exchange (the dedup), that job and the write share its
-    shuffle output instead of recomputing the input. Without an explicit
-    ``partitions`` the count follows ``spark.sql.shuffle.partitions`` and AQE
-    may coalesce small ranges.
+    A REBALANCE on country_code hash-partitions the rows, and AQE then
+    splits any partition over the advisory size (a country holding a large
+    share of all rows is written by many tasks) and merges small ones (small
+    countries share a task), from the measured map output. No sampling pass
+    is needed, so the upstream (dedup) output is read once. Within a task,
+    rows are sorted by country then organisation: the writer needs the
+    country order anyway, and the organisation order gives Parquet row-group
+    stats that let per-organisation lookups skip the rest of a file.
     """
-    keys = ("country_code", "ip_str", "port")
     filled = with_country_partition(scored, options)
-    out = filled.repartitionByRange(partitions, *keys) if partitions else filled.repartitionByRange(*keys)
-    # The partitioned writer sorts each task by country anyway; extending that
-    # sort by org clusters an organisation's rows, so Parquet row-group stats
-    # let per-organisation lookups skip the rest of a file.
-    out = out.sortWithinPartitions("country_code", "org", "ip_str", "port")
+    hint = ("rebalance", partitions, "country_code") if partitions else ("rebalance", "country_code")
+    out = filled.hint(*hint).sortWithinPartitions("country_code", "org", "ip_str", "port")
     write_table(out, path, partition_by="country_code", max_records_per_file=max_records_per_file)
 
 

@@ -127,3 +127,26 @@ def test_publish_skips_absent_optional(spark, tmp_path, edge_input):
     read_table(spark, out.scans_path).write.partitionBy("country_code").parquet(f"{src2}/scans")
     read_table(spark, f"{src}/org_scores").write.parquet(f"{src2}/org_scores")
     assert publish(spark, src2, dst2) == ["scans", "org_scores"]
+
+
+def test_hot_country_is_split_across_files(spark, tmp_path):
+    """One country with most rows is written by several tasks (AQE splits
+    the rebalance partition by measured size) and no row is lost."""
+    rows = spark.range(40000).select(
+        F.when(F.col("id") % 10 != 0, F.lit("HOT")).otherwise(F.concat(F.lit("C"), (F.col("id") % 5).cast("string")))
+        .alias("country_code"),
+        F.concat(F.lit("org-"), (F.col("id") % 7).cast("string")).alias("org"),
+        F.concat(F.lit("10.0.0."), F.col("id").cast("string")).alias("ip_str"),
+        (F.col("id") % 1000).cast("int").alias("port"),
+        F.sha2(F.col("id").cast("string"), 256).alias("payload"),
+    )
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        write_scans(rows, str(tmp_path / "scans"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    hot = [f for f in os.listdir(tmp_path / "scans" / "country_code=HOT") if f.endswith(".parquet")]
+    assert len(hot) > 1
+    back = read_table(spark, str(tmp_path / "scans"))
+    assert back.count() == 40000 and back.where("country_code = 'HOT'").count() == 36000

@@ -68,9 +68,9 @@ def test_rollup_avoids_second_distinct(deduped):
     assert "Expand" in plan(org_scores(scored, Options(keys_unique=False)))
 
 
-def test_scans_output_is_range_partitioned(deduped):
-    out = with_country_partition(score_fused(deduped)).repartitionByRange("country_code", "ip_str", "port")
-    assert "rangepartitioning(country_code" in plan(out)
+def test_scans_output_is_rebalanced_by_country(deduped):
+    out = with_country_partition(score_fused(deduped)).hint("rebalance", "country_code")
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan(out)
 
 
 def test_org_lookup_pushes_filter_to_parquet(written):
