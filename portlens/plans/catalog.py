@@ -100,6 +100,16 @@ def q_org_scores(spark, sf_dir):
     return _org_scores(spark, sf_dir)
 
 
+def q_ingest_count(spark, sf_dir):
+    """Rows read by the permissive parse, and how many came back without a
+    key part (ip_str or port NULL)."""
+    banners = _banners(spark, sf_dir)
+    return banners.agg(
+        F.count(F.lit(1)).alias("n_banners"),
+        F.count_if(F.col("ip_str").isNull() | F.col("port").isNull()).alias("n_without_key"),
+    )
+
+
 # ------------------------------------------------------------ serving queries
 
 
@@ -269,6 +279,7 @@ def q_publish_copy(spark, sf_dir):
 
 
 QUERIES: dict[str, Query] = {
+    "ingest_count": q_ingest_count,
     "flatten": q_flatten,
     "dedup_latest": q_dedup_latest,
     "explode_vulns": q_explode_vulns,

@@ -246,6 +246,10 @@ def _band(col: str) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "ingest_count": _q("""
+        SELECT COUNT(*) AS n_banners,
+               COUNT(*) FILTER (WHERE ip_str IS NULL OR port IS NULL) AS n_without_key
+        FROM flat"""),
     "flatten": _q("SELECT * EXCLUDE (n_cves) FROM flat"),
     "dedup_latest": _q("SELECT * EXCLUDE (hash, n_cves) FROM dedup"),
     "explode_vulns": _q("SELECT * FROM vulns"),
