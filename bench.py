@@ -84,7 +84,8 @@ def main() -> None:
     spark = local_session(cpus, shuffle_partitions=int(cpus) * 2, app="portlens-bench")
     sf = os.path.basename(sf_dir).replace("sf", "")
 
-    run_all(spark, "/root/testdata/sf0.001", {})  # warm-up, untimed
+    warm = "/root/testdata/sf0.001"
+    run_all(spark, warm if os.path.isdir(warm) else sf_dir, {})  # warm-up, untimed
     times: dict[str, float] = {}
     input_bytes = run_all(spark, sf_dir, times)
     total = sum(times.values())

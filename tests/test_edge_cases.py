@@ -105,3 +105,17 @@ def test_distinct_count_form_matches(deduped):
     a = {r.org: tuple(r) for r in org_scores(scored).collect()}
     b = {r.org: tuple(r) for r in org_scores(scored, Options(keys_unique=False)).collect()}
     assert a == b
+
+
+def test_duplicate_cve_key_counts_twice(spark, tmp_path):
+    """A JSON object repeating a CVE id keeps both entries: both explode and
+    both score, in the relational and the fused form alike."""
+    line = ('{"ip_str": "2.0.0.1", "port": 80, "org": "Dup", "tags": [], "timestamp": "2024-01-01T00:00:00",'
+            ' "vulns": {"CVE-X": {"cvss": 9.5}, "CVE-X": {"cvss": 4.5}}}')
+    path = tmp_path / "dup.json"
+    path.write_text(line + "\n")
+    deduped = latest_per_key(flatten(read_ndjson(spark, str(path))))
+    assert explode_vulns(deduped).count() == 2
+    fused = score_fused(deduped).first()
+    relational = score_relational(deduped, explode_vulns(deduped)).first()
+    assert fused.vuln_score_total == relational.vuln_score_total == 25 + 8
