@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..session import shared_root
 from .rollup import eligible_scans
 from .transform import explode_vulns
 
@@ -109,7 +110,11 @@ def outreach_context(scans: DataFrame, org_scores: DataFrame, n: int = C.PITCH_E
     products, certificate counts: one Expand, one exchange) and once for
     the CVE maps.
     """
-    top = eligible_orgs(org_scores, n)
+    # Computed once (at most n rows) into the shared checkpoint folder; the
+    # three places below read it instead of re-running the ranking (and,
+    # for a lazily defined `org_scores`, the whole rollup) each time.
+    shared_root(org_scores.sparkSession)
+    top = eligible_orgs(org_scores, n).checkpoint(eager=True)
     rows = eligible_scans(scans).join(F.broadcast(top.select("org")), "org", "left_semi")
 
     # One pass over the rows for three groupings: (org, port), (org, product)

@@ -84,9 +84,19 @@ def test_outreach_one_expand_and_bounded_broadcast(written):
     text = plan(outreach.outreach_context(scans, orgs))
     assert text.count("Expand (") == 1
     assert "BroadcastExchange" in text
-    assert "TakeOrderedAndProject" in text  # the broadcast side is a LIMIT
+    # the top-k set is computed once (checkpointed), not re-derived per branch
+    assert "TakeOrderedAndProject" not in text and "Scan ExistingRDD" in text
+    assert text.split("\n\n")[0].count("Scan parquet") == 2  # in the tree: scans read twice
 
 
 def test_top_orgs_is_take_ordered(written):
     _, orgs = written
     assert "TakeOrderedAndProject" in plan(prospects.top_orgs(orgs))
+
+
+def test_country_filter_prunes_partitions(written):
+    scans, _ = written
+    text = plan(scans.where("country_code = 'US'").select("ip_str", "port"))
+    assert "PartitionFilters: [isnotnull(country_code" in text and "(country_code" in text
+    read_schema = [line for line in text.splitlines() if line.startswith("ReadSchema")][0]
+    assert "vulns" not in read_schema and "org" not in read_schema
