@@ -19,7 +19,7 @@ from ..config import DEFAULT_OPTIONS, REFRESH_METADATA_KEY, ROLLUP_TTL_SECONDS,
 from ..operators.rollup import org_scores
 from ..schema import metadata_schema
 from ..session import shared_root
-from ..sources.parquet import read_optional, read_table, write_table  # noqa: F401
+from ..sources.parquet import read_optional, read_table, write_table
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -42,8 +42,12 @@ def keyed_upsert(spark: SparkSession, path: str, updates: DataFrame, key: str |
     """Insert-or-replace by key: rows of ``updates`` win, other old rows stay.
 
     Both sides are hash-partitioned on the key for the anti join; AQE
-    broadcasts ``updates`` when it is measured small. Returns the new table.
+    broadcasts ``updates`` when it is measured small. With ``schema`` the
+    update rows are first conformed to the table's declared columns and
+    types. Returns the new table.
     """
+    if schema is not None:
+        updates = updates.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
     if not table_exists(spark, path):
         # nothing to merge with, and nothing read from the target path
         write_table(updates, path)
