@@ -68,8 +68,11 @@ def upsert_merge(old: DataFrame, updates: DataFrame, key: str | list[str]) -> Da
 def last_refresh_age_seconds(spark: SparkSession, metadata_path: str, now: dt.datetime) -> float | None:
     """Seconds since the stored refresh stamp; None when missing or unreadable."""
     meta = read_optional(spark, metadata_path, metadata_schema)
+    # Both instants go through the same parser in the session time zone, so
+    # the difference does not depend on any zone setting.
     stamp = F.try_to_timestamp(F.col("value"))
-    age = (F.lit(int(now.timestamp() * 1_000_000)) - F.unix_micros(stamp)) / F.lit(1_000_000.0)
+    current = F.try_to_timestamp(F.lit(now.isoformat()))
+    age = (F.unix_micros(current) - F.unix_micros(stamp)) / F.lit(1_000_000.0)
     row = meta.where(F.col("key") == REFRESH_METADATA_KEY).select(age.alias("age")).limit(1).collect()
     if not row or row[0]["age"] is None:
         return None

@@ -150,3 +150,18 @@ def test_hot_country_is_split_across_files(spark, tmp_path):
     assert len(hot) > 1
     back = read_table(spark, str(tmp_path / "scans"))
     assert back.count() == 40000 and back.where("country_code = 'HOT'").count() == 36000
+
+
+def test_refresh_age_ignores_time_zones(spark, tmp_path):
+    from portlens.plans.refresh import last_refresh_age_seconds
+
+    path = str(tmp_path / "meta")
+    t0 = dt.datetime(2024, 5, 1, 12, 0, 0)
+    keyed_upsert(spark, path, spark.createDataFrame([("last_refresh_time", t0.isoformat())], metadata_schema), "key")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            assert last_refresh_age_seconds(spark, path, t0 + dt.timedelta(seconds=601)) == 601.0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
