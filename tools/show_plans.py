@@ -38,7 +38,9 @@ def main() -> None:
     banners = read_ndjson(spark, f"{root}/input")
     scored = with_country_partition(scored_scans(banners)).hint("rebalance", "country_code")
     sections = [("ETL: NDJSON -> dedup -> fused score -> rebalance for the per-country write",
-                 scored.sortWithinPartitions("country_code", "org", "ip_str", "port"))]
+                 scored.sortWithinPartitions("country_code", "org", "ip_str", "port")),
+                ("For comparison: the relational score (explode -> aggregate -> left join)",
+                 scored_scans(banners, fused=False))]
     out = run_etl(spark, f"{root}/input", root)
     scans = read_table(spark, out.scans_path)
     orgs = org_scores(scans)
