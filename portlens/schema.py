@@ -1,5 +1,10 @@
 """Explicit schemas: the raw banner record, the trimmed scan schema and the
-small serving tables. No schema is ever inferred from data."""
+small serving tables. No schema is ever inferred from data.
+
+Fixed values: the field names, nesting and types of the banner record are
+the input format and must stay exactly as written (a renamed or retyped
+field would parse as NULL).
+"""
 
 from __future__ import annotations
 
