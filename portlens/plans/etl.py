@@ -57,13 +57,18 @@ def run_etl(
     """Ingest -> flatten -> dedup -> score -> export.
 
     Pass either an NDJSON ``input_path`` (plain/.gz/.zst files) or a frame of
-    NDJSON ``lines``. Nothing is cached: a lost executor's shuffle output or
-    partially written task is recomputed from lineage by Spark's task retry,
-    and the second output reads the first from storage.
+    NDJSON ``lines``. When the file scan yields fewer tasks than
+    ``min_input_partitions`` (default: the cluster's default parallelism),
+    e.g. one big ``.json.zst``, raw lines are spread before the JSON parse.
+    Nothing is cached: a lost executor's shuffle output or partially written
+    task is recomputed from lineage by Spark's task retry, and the second
+    output reads the first from storage.
     """
-    banners = parse_ndjson(lines) if lines is not None else read_ndjson(
-        spark, input_path, min_partitions=min_input_partitions
-    )
+    if lines is not None:
+        banners = parse_ndjson(lines)
+    else:
+        wanted = min_input_partitions or spark.sparkContext.defaultParallelism
+        banners = read_ndjson(spark, input_path, min_partitions=wanted)
     root = output_root.rstrip("/")
     result = EtlResult(f"{root}/scans", f"{root}/vulns")
     write_scans(scored_scans(banners, options), result.scans_path, options, partitions=output_partitions)

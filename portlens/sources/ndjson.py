@@ -1,9 +1,10 @@
 """NDJSON scan records in: plain, gzip or zstd text, always with an explicit schema.
 
 Compressed files are decoded by extension (``.gz``, ``.zst``). Neither codec
-is splittable, so one compressed file is read by one task; feed many part
-files, or ``repartition`` right after the scan when only a few large files
-exist (the parse and everything after it then run in parallel).
+is splittable, so one compressed file is read by one task. With
+``min_partitions`` a scan that yields fewer tasks reads raw lines instead,
+spreads them round-robin and parses them in parallel: only decompression
+stays in the single task, the JSON parse (the expensive part) does not.
 """
 
 from __future__ import annotations
@@ -23,10 +24,13 @@ def read_ndjson(
 ) -> DataFrame:
     """Permissive read: a malformed line becomes an all-NULL row and a
     wrong-typed field becomes NULL while the rest of the row is kept."""
-    df = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
-    if min_partitions and df.rdd.getNumPartitions() < min_partitions:
-        df = df.repartition(min_partitions)
-    return df
+    if min_partitions:
+        lines = spark.read.text(path)
+        if lines.rdd.getNumPartitions() < min_partitions:
+            # blank lines produce no row in the JSON reader; drop them here too
+            lines = lines.where(F.trim(F.col("value")) != "").repartition(min_partitions)
+            return parse_ndjson(lines, schema)
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
 def parse_ndjson(lines: DataFrame, schema: StructType = scan_schema, column: str = "value") -> DataFrame:

@@ -165,3 +165,17 @@ def test_refresh_age_ignores_time_zones(spark, tmp_path):
             assert last_refresh_age_seconds(spark, path, t0 + dt.timedelta(seconds=601)) == 601.0
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_single_compressed_file_parsed_in_parallel(spark, tmp_path, edge_input):
+    """One big .zst is one scan task; with min_partitions the lines are spread
+    before parsing, and the rows equal the plain reader's (blank lines too)."""
+    text = ("\n".join(edge_banners()[:8] + ["", "   "] + edge_banners()[8:]) + "\n\n").encode()
+    (tmp_path / "one").mkdir()
+    with pafs.LocalFileSystem().open_output_stream(str(tmp_path / "one" / "b.json.zst"), compression="zstd") as f:
+        f.write(text)
+    direct = read_ndjson(spark, str(tmp_path / "one"))
+    spread = read_ndjson(spark, str(tmp_path / "one"), min_partitions=4)
+    assert spread.rdd.getNumPartitions() == 4
+    assert _rows(spread.drop("vulns")) == _rows(direct.drop("vulns")) == _rows(read_ndjson(spark, edge_input).drop("vulns"))
+    assert direct.count() == 18
