@@ -119,3 +119,10 @@ def test_duplicate_cve_key_counts_twice(spark, tmp_path):
     fused = score_fused(deduped).first()
     relational = score_relational(deduped, explode_vulns(deduped)).first()
     assert fused.vuln_score_total == relational.vuln_score_total == 25 + 8
+
+
+def test_full_banner_schema_gives_same_scores(spark, edge_input):
+    from portlens.schema import banner_schema
+
+    full = latest_per_key(flatten(read_ndjson(spark, edge_input, banner_schema)))
+    assert _scan_map(score_fused(full)) == EXPECTED_SCANS
