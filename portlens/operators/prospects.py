@@ -33,7 +33,13 @@ def top_orgs(org_scores: DataFrame, n: int = C.TOP_ORGS) -> DataFrame:
 
 
 def score_histogram(org_scores: DataFrame, width: float = C.HISTOGRAM_WIDTH) -> DataFrame:
-    bucket = (F.floor(F.col("combined_risk_score") / F.lit(width)) * F.lit(int(width))).cast("long")
+    """Organisations per score bucket; a bucket is named by its lower edge
+    (an integer when the width is a whole number)."""
+    index = F.floor(F.col("combined_risk_score") / F.lit(float(width)))
+    if float(width).is_integer():
+        bucket = index * F.lit(int(width))
+    else:
+        bucket = index.cast("double") * F.lit(float(width))
     return org_scores.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n_orgs"))
 
 

@@ -32,6 +32,8 @@ def test_top_and_histogram(tables):
     assert [r.org for r in prospects.top_orgs(orgs, 2).collect()] == ["Beta", "Acme"]
     hist = {r.bucket: r.n_orgs for r in prospects.score_histogram(orgs).collect()}
     assert hist == {0: 1, 10: 1, 80: 1}
+    fine = {r.bucket: r.n_orgs for r in prospects.score_histogram(orgs, 2.5).collect()}
+    assert fine == {0.0: 1, 15.0: 1, 85.0: 1}
 
 
 def test_prospect_filter_and_country(tables):
