@@ -5,12 +5,14 @@
     publish SOURCE_ROOT TARGET    copy scans, vulns (if present), org_scores
 
 The session comes from the environment (master, memory and the shared
-``spark.checkpoint.dir`` are deployment settings).
+``spark.checkpoint.dir`` are deployment settings). The Spark web UI is off
+unless ``PORTLENS_SPARK_UI=true``.
 """
 
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -41,7 +43,10 @@ def main(argv: list[str] | None = None) -> int:
     pub.add_argument("target_root")
     args = parser.parse_args(argv)
 
-    spark = SparkSession.builder.appName(f"portlens-{args.command}").getOrCreate()
+    # The web UI is a server; it stays off unless the operator asks for it.
+    ui = os.environ.get("PORTLENS_SPARK_UI", "false")
+    spark = (SparkSession.builder.appName(f"portlens-{args.command}")
+             .config("spark.ui.enabled", ui).getOrCreate())
     apply_recommended_conf(spark)
     if args.command == "etl":
         opts = Options(null_excluded_as_false=args.null_excluded_as_false,
