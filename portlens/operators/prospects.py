@@ -76,7 +76,10 @@ def org_infrastructure(scans: DataFrame, org_scores: DataFrame, org: str | None
     """Exposed services of every rolled-up organisation (or one) with the
     organisation's combined score. The right side has one row per org: AQE
     broadcasts it when its measured size is small, and otherwise splits a
-    skewed organisation's partition of `scans` (skew join)."""
+    skewed organisation's partition of `scans` (skew join). The split needs
+    a plain shuffle on both sides, so pass the materialized `org_scores`
+    table (as the refresh writes it), not a rollup computed in the same
+    query."""
     rows = eligible_scans(scans)
     summary = org_scores.select("org", "combined_risk_score", "total_ips")
     if org is not None:
