@@ -73,7 +73,7 @@ def test_hot_org_join_is_split_by_aqe(spark, tmp_path):
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256k",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
     }
-    old = {k: spark.conf.get(k) for k in conf}
+    old = {k: spark.conf.get(k, None) for k in conf}
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
@@ -85,4 +85,7 @@ def test_hot_org_join_is_split_by_aqe(spark, tmp_path):
         assert "SortMergeJoin(skew=true)" in buf.getvalue()
     finally:
         for k, v in old.items():
-            spark.conf.set(k, v)
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
