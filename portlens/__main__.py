@@ -20,7 +20,7 @@ from pyspark.sql import SparkSession
 from .config import ROLLUP_TTL_SECONDS, Options
 from .plans.etl import run_etl
 from .plans.refresh import refresh_org_scores
-from .session import apply_recommended_conf
+from .session import apply_recommended_conf, apply_scale_conf
 from .sources.parquet import publish
 
 
@@ -31,6 +31,8 @@ def main(argv: list[str] | None = None) -> int:
     etl.add_argument("input", nargs="+")
     etl.add_argument("output_root")
     etl.add_argument("--min-input-partitions", type=int, default=None)
+    etl.add_argument("--input-gb", type=float, default=None,
+                     help="input size; sizes splits and shuffle partitions (session.scale_conf)")
     etl.add_argument("--null-excluded-as-false", action="store_true")
     etl.add_argument("--empty-country-as-unknown", action="store_true")
     ref = sub.add_parser("refresh")
@@ -49,6 +51,8 @@ def main(argv: list[str] | None = None) -> int:
              .config("spark.ui.enabled", ui).getOrCreate())
     apply_recommended_conf(spark)
     if args.command == "etl":
+        if args.input_gb:
+            print("sizing:", apply_scale_conf(spark, int(args.input_gb * (1 << 30))))
         opts = Options(null_excluded_as_false=args.null_excluded_as_false,
                        empty_country_as_unknown=args.empty_country_as_unknown)
         out = run_etl(spark, args.input, args.output_root, opts, min_input_partitions=args.min_input_partitions)

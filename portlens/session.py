@@ -29,6 +29,36 @@ def apply_recommended_conf(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
+_MB = 1 << 20
+_GB = 1 << 30
+
+
+def scale_conf(input_bytes: int, projected_fraction: float = 0.5) -> dict[str, str]:
+    """Split and shuffle sizing for an NDJSON input of ``input_bytes``.
+
+    - Input splits grow with the input (128 MB up to 1 TB, 512 MB up to
+      20 TB, 1 GB beyond), so the map side stays at most ~100k tasks.
+    - Shuffle partitions target ~512 MB of projected rows each, clamped to
+      [200, 50 000]: enough that no reducer holds more than it can sort in
+      memory plus spill, few enough that map x reduce shuffle blocks stay
+      manageable. AQE coalesces toward the advisory size at runtime.
+    """
+    split = 128 * _MB if input_bytes < 1024 * _GB else 512 * _MB if input_bytes < 20 * 1024 * _GB else _GB
+    reducers = int(min(50_000, max(200, -(-int(input_bytes * projected_fraction) // (512 * _MB)))))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.shuffle.partitions": str(reducers),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * _MB),
+    }
+
+
+def apply_scale_conf(spark: SparkSession, input_bytes: int) -> dict[str, str]:
+    conf = scale_conf(input_bytes)
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    return conf
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "portlens") -> SparkSession:
     """A local session for tests and benchmarks (UI off, UTC clock)."""
     builder = (
