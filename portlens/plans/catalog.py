@@ -186,11 +186,20 @@ def q_outreach_text(spark, sf_dir):
     return outreach.outreach_text(outreach.outreach_context(scans, rollup.org_scores(scans)))
 
 
+def _materialized(spark, lines, label):
+    """Run the batch job and the rollup refresh into a fresh shared folder;
+    return the written (scans, org_scores) tables."""
+    root = scratch_path(spark, label)
+    out = run_etl(spark, None, root, lines=lines)
+    refresh_org_scores(spark, root, force=True)
+    return read_table(spark, out.scans_path), read_table(spark, f"{root}/org_scores")
+
+
 def q_outreach_pending(spark, sf_dir):
-    """Pitches were generated for the high-risk organisations of the earlier
-    snapshot; list the currently eligible organisations still lacking one."""
-    prev_scans = scored_scans(parse_ndjson(_snapshot_lines(spark, sf_dir, earlier=True)))
-    prev_scores = rollup.org_scores(prev_scans)
+    """The earlier refresh (events before the cutoff) generated pitches for
+    its high-risk organisations; list the organisations eligible now that
+    still lack one. Each snapshot is materialized once, as in production."""
+    prev_scans, prev_scores = _materialized(spark, _snapshot_lines(spark, sf_dir, earlier=True), "prev")
     prev_texts = outreach.outreach_text(outreach.outreach_context(prev_scans, prev_scores))
     high = prev_scores.where(F.col("combined_risk_score") >= HIGH_RISK_THRESHOLD).select("org")
     generated_at = F.expr(f"TIMESTAMP '{SNAPSHOT_CUTOFF}'")
@@ -198,7 +207,8 @@ def q_outreach_pending(spark, sf_dir):
     path = scratch_path(spark, "ai_pitches")
     ensure_table(spark, path, pitch_schema)
     cache = keyed_upsert(spark, path, new_pitches, "org", pitch_schema)
-    eligible = outreach.eligible_orgs(_org_scores(spark, sf_dir))
+    _, scores = _materialized(spark, driver_banner_lines(spark, sf_dir), "current")
+    eligible = outreach.eligible_orgs(scores)
     return outreach.pitches_needed(eligible, cache).select("org", "pitch_rank", "combined_risk_score")
 
 
