@@ -178,9 +178,10 @@ def outreach_context(scans: DataFrame, org_scores: DataFrame, n: int = C.PITCH_E
     )
 
 
-def outreach_text(context: DataFrame, tone: str = DEFAULT_TONE, focus_area: str = DEFAULT_FOCUS) -> DataFrame:
-    """Prompt and fallback text per organisation (the system prompt is the
-    constant ``SYSTEM_PROMPT``)."""
+def outreach_text(context: DataFrame, tone: str = DEFAULT_TONE, focus_area: str = DEFAULT_FOCUS,
+                  with_system_prompt: bool = False) -> DataFrame:
+    """Prompt and fallback text per organisation. The system prompt is the
+    constant ``SYSTEM_PROMPT``; ``with_system_prompt`` adds it as a column."""
     score = fixed1(F.col("combined_risk_score"))
     prompt = F.format_string(
         USER_PROMPT_FORMAT,
@@ -189,7 +190,10 @@ def outreach_text(context: DataFrame, tone: str = DEFAULT_TONE, focus_area: str
         F.lit(tone), F.lit(focus_area),
     )
     fallback = F.format_string(FALLBACK_FORMAT, F.col("org"), F.col("total_ips").cast("string"), score)
-    return context.select("org", "pitch_rank", prompt.alias("user_prompt"), fallback.alias("fallback_text"))
+    cols = ["org", "pitch_rank", prompt.alias("user_prompt"), fallback.alias("fallback_text")]
+    if with_system_prompt:
+        cols.append(F.lit(SYSTEM_PROMPT).alias("system_prompt"))
+    return context.select(*cols)
 
 
 def pitches_needed(eligible: DataFrame, cached: DataFrame, force: bool = False) -> DataFrame:

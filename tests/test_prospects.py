@@ -95,6 +95,8 @@ def test_outreach_text_and_pending(spark, tables):
     texts = {r.org: r for r in outreach.outreach_text(outreach.outreach_context(scans, orgs)).collect()}
     assert "**Risk Score:** 85.5/100" in texts["Beta"].user_prompt
     assert texts["Acme"].fallback_text.endswith("high risk score of 17.4. Let's chat.")
+    with_sys = outreach.outreach_text(outreach.outreach_context(scans, orgs), with_system_prompt=True).first()
+    assert with_sys.system_prompt == outreach.SYSTEM_PROMPT
     cached = spark.createDataFrame([("Beta",)], "org string")
     pending = outreach.pitches_needed(outreach.eligible_orgs(orgs), cached)
     assert sorted(r.org for r in pending.collect()) == ["Acme", "Gamma"]
