@@ -17,9 +17,9 @@ from pyspark.sql.types import StructType
 
 from ..config import DEFAULT_OPTIONS, REFRESH_METADATA_KEY, ROLLUP_TTL_SECONDS, Options
 from ..operators.rollup import org_scores
-from ..schema import metadata_schema
+from ..schema import metadata_schema, pitch_schema, vulns_schema
 from ..session import shared_root
-from ..sources.parquet import read_optional, read_table, write_table
+from ..sources.parquet import read_optional, read_table, register_views, write_table
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -83,8 +83,15 @@ def refresh_org_scores(spark: SparkSession, root: str, ttl_s: float = ROLLUP_TTL
                        now: dt.datetime | None = None, options: Options = DEFAULT_OPTIONS) -> bool:
     """Rebuild ``<root>/org_scores`` from ``<root>/scans`` when forced, when
     the table is missing, when no (readable) refresh stamp exists, or when
-    the stamp is older than ``ttl_s``. Returns whether it rebuilt."""
+    the stamp is older than ``ttl_s``. Returns whether it rebuilt.
+
+    Without a `scans` table there is nothing to serve yet: nothing is built.
+    The pitch cache table is created if absent either way.
+    """
     root = root.rstrip("/")
+    ensure_table(spark, f"{root}/ai_pitches", pitch_schema)
+    if not table_exists(spark, f"{root}/scans"):
+        return False
     now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     org_path, meta_path = f"{root}/org_scores", f"{root}/db_metadata"
     rebuild = force or not table_exists(spark, org_path)
@@ -96,3 +103,19 @@ def refresh_org_scores(spark: SparkSession, root: str, ttl_s: float = ROLLUP_TTL
         stamp = spark.createDataFrame([(REFRESH_METADATA_KEY, now.isoformat())], metadata_schema)
         keyed_upsert(spark, meta_path, stamp, "key", metadata_schema)
     return rebuild
+
+
+def serving_views(spark: SparkSession, root: str, register: bool = True) -> dict[str, DataFrame]:
+    """The serving tables under ``root``: `scans` (partitions discovered,
+    part-file schemas merged), `vulns` (empty when absent), `org_scores` and
+    `ai_pitches` when present; optionally registered as temp views of the
+    same names (replacing older ones)."""
+    root = root.rstrip("/")
+    frames = {"scans": read_table(spark, f"{root}/scans"),
+              "vulns": read_optional(spark, f"{root}/vulns", vulns_schema)}
+    for name in ("org_scores", "ai_pitches"):
+        if table_exists(spark, f"{root}/{name}"):
+            frames[name] = read_table(spark, f"{root}/{name}")
+    if register:
+        register_views(spark, frames)
+    return frames

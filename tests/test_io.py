@@ -179,3 +179,22 @@ def test_single_compressed_file_parsed_in_parallel(spark, tmp_path, edge_input):
     assert spread.rdd.getNumPartitions() == 4
     assert _rows(spread.drop("vulns")) == _rows(direct.drop("vulns")) == _rows(read_ndjson(spark, edge_input).drop("vulns"))
     assert direct.count() == 18
+
+
+def test_refresh_without_scans_builds_nothing_but_pitch_table(spark, tmp_path):
+    root = str(tmp_path / "empty")
+    assert refresh_org_scores(spark, root, force=True) is False
+    assert os.path.isdir(tmp_path / "empty" / "ai_pitches")
+    assert not os.path.exists(tmp_path / "empty" / "org_scores")
+
+
+def test_serving_views(spark, tmp_path, edge_input):
+    from portlens.plans.refresh import serving_views
+
+    root = str(tmp_path / "serve")
+    run_etl(spark, edge_input, root)
+    refresh_org_scores(spark, root)
+    frames = serving_views(spark, root)
+    assert set(frames) == {"scans", "vulns", "org_scores", "ai_pitches"}
+    assert spark.sql("SELECT COUNT(*) FROM org_scores").first()[0] == 3
+    assert spark.sql("SELECT COUNT(*) FROM scans WHERE country_code = 'unknown'").first()[0] > 0
