@@ -57,50 +57,50 @@ def _no_map(df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ ETL core
 
 
-def q_flatten(spark, sf_dir):
+def q_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _no_map(flatten(_banners(spark, sf_dir)))
 
 
-def q_dedup_latest(spark, sf_dir):
+def q_dedup_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _no_map(_deduped(spark, sf_dir))
 
 
-def q_explode_vulns(spark, sf_dir):
+def q_explode_vulns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_vulns(_deduped(spark, sf_dir))
 
 
-def q_base_score_rules(spark, sf_dir):
+def q_base_score_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = with_base_score(_deduped(spark, sf_dir), explain_rules=True)
     rule_cols = [name for name, _, _ in rules.base_rules()]
     return scored.select("ip_str", "port", *rule_cols, "score_base")
 
 
-def q_exclusion_flag(spark, sf_dir):
+def q_exclusion_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_base_score(_deduped(spark, sf_dir)).select("ip_str", "port", "org", "tags", "is_excluded")
 
 
-def q_cve_score(spark, sf_dir):
+def q_cve_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_cve_score(explode_vulns(_deduped(spark, sf_dir)))
 
 
-def q_vuln_score_total(spark, sf_dir):
+def q_vuln_score_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vuln_totals(explode_vulns(_deduped(spark, sf_dir)))
 
 
-def q_scored_scans(spark, sf_dir):
+def q_scored_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     deduped = _deduped(spark, sf_dir)
     return _no_map(score_relational(deduped, explode_vulns(deduped)))
 
 
-def q_scored_scans_fused(spark, sf_dir):
+def q_scored_scans_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _no_map(_scans(spark, sf_dir))
 
 
-def q_org_scores(spark, sf_dir):
+def q_org_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _org_scores(spark, sf_dir)
 
 
-def q_ingest_count(spark, sf_dir):
+def q_ingest_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows read by the permissive parse, and how many came back without a
     key part (ip_str or port NULL)."""
     banners = _banners(spark, sf_dir)
@@ -113,53 +113,53 @@ def q_ingest_count(spark, sf_dir):
 # ------------------------------------------------------------ serving queries
 
 
-def q_kpis(spark, sf_dir):
+def q_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prospects.kpis(_org_scores(spark, sf_dir))
 
 
-def q_top10_orgs(spark, sf_dir):
+def q_top10_orgs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prospects.top_orgs(_org_scores(spark, sf_dir))
 
 
-def q_score_histogram(spark, sf_dir):
+def q_score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prospects.score_histogram(_org_scores(spark, sf_dir))
 
 
-def q_prospect_filter(spark, sf_dir):
+def q_prospect_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prospects.prospect_filter(_org_scores(spark, sf_dir), min_score=40.0, min_ips=2)
 
 
-def q_prospect_sort(spark, sf_dir):
+def q_prospect_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prospects.export_view(_org_scores(spark, sf_dir), sort_by="total_ips")
 
 
-def q_org_selector(spark, sf_dir):
+def q_org_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prospects.org_selector(_org_scores(spark, sf_dir))
 
 
-def q_org_deep_dive(spark, sf_dir):
+def q_org_deep_dive(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = _scans(spark, sf_dir)
     return prospects.org_infrastructure(scans, rollup.org_scores(scans))
 
 
-def q_org_cves(spark, sf_dir):
+def q_org_cves(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = _scans(spark, sf_dir)
     return prospects.org_cves(explode_vulns(scans), rollup.org_scores(scans))
 
 
-def q_geo_points(spark, sf_dir):
+def q_geo_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prospects.geo_points(_scans(spark, sf_dir), min_score=0)
 
 
-def q_geo_grid(spark, sf_dir):
+def q_geo_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prospects.geo_grid(_scans(spark, sf_dir))
 
 
-def q_cloud_segments(spark, sf_dir):
+def q_cloud_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prospects.cloud_segments(_scans(spark, sf_dir))
 
 
-def q_risk_bands(spark, sf_dir):
+def q_risk_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prospects.risk_bands(_org_scores(spark, sf_dir))
 
 
@@ -176,12 +176,12 @@ def _snapshot_lines(spark, sf_dir, earlier: bool):
     return banner_lines(events.where(cond if earlier else ~cond), nation)
 
 
-def q_outreach_context(spark, sf_dir):
+def q_outreach_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = _scans(spark, sf_dir)
     return outreach.outreach_context(scans, rollup.org_scores(scans))
 
 
-def q_outreach_text(spark, sf_dir):
+def q_outreach_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = _scans(spark, sf_dir)
     return outreach.outreach_text(outreach.outreach_context(scans, rollup.org_scores(scans)))
 
@@ -195,7 +195,7 @@ def _materialized(spark, lines, label):
     return read_table(spark, out.scans_path), read_table(spark, f"{root}/org_scores")
 
 
-def q_outreach_pending(spark, sf_dir):
+def q_outreach_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The earlier refresh (events before the cutoff) generated pitches for
     its high-risk organisations; list the organisations eligible now that
     still lack one. Each snapshot is materialized once, as in production."""
@@ -215,31 +215,31 @@ def q_outreach_pending(spark, sf_dir):
 # ------------------------------------------------------- storage round trips
 
 
-def q_json_roundtrip(spark, sf_dir):
+def q_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "ndjson-gz")
     write_ndjson(driver_banner_lines(spark, sf_dir), path, compression="gzip")
     return _no_map(flatten(read_ndjson(spark, path)))
 
 
-def q_zst_scan(spark, sf_dir):
+def q_zst_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "ndjson-zst")
     write_ndjson_zst(driver_banner_lines(spark, sf_dir), path)
     return _no_map(latest_per_key(flatten(read_ndjson(spark, path))))
 
 
-def q_partitioned_roundtrip(spark, sf_dir):
+def q_partitioned_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = run_etl(spark, None, scratch_path(spark, "etl"), lines=driver_banner_lines(spark, sf_dir))
     return read_table(spark, out.scans_path).drop("vulns")
 
 
-def q_optional_vulns(spark, sf_dir):
+def q_optional_vulns(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "etl")
     out = run_etl(spark, None, root, lines=driver_banner_lines(spark, sf_dir))
     missing = read_optional(spark, f"{root}/no_such_table", vulns_schema)
     return read_optional(spark, out.vulns_path, vulns_schema).unionByName(missing)
 
 
-def q_merge_schema(spark, sf_dir):
+def q_merge_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Older part files lack two columns; a merged read fills them with NULL."""
     scans = _no_map(_scans(spark, sf_dir))
     old = F.coalesce(F.col("timestamp") < F.expr(f"TIMESTAMP '{SNAPSHOT_CUTOFF}'"), F.lit(False))
@@ -249,7 +249,7 @@ def q_merge_schema(spark, sf_dir):
     return read_table(spark, path, merge_schema=True).drop("batch")
 
 
-def q_org_scores_sql(spark, sf_dir):
+def q_org_scores_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Serving tier through the SQL API: write the ETL output, register views
     over the Parquet directories (replacing older ones), run the rollup SQL."""
     out = run_etl(spark, None, scratch_path(spark, "views"), lines=driver_banner_lines(spark, sf_dir))
@@ -260,7 +260,7 @@ def q_org_scores_sql(spark, sf_dir):
     return rollup.org_scores_sql(spark, "portlens_scans")
 
 
-def q_refresh_ttl(spark, sf_dir):
+def q_refresh_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First refresh builds the rollup (table missing); an immediate second
     one finds a fresh stamp and keeps it."""
     root = scratch_path(spark, "serving")
@@ -270,7 +270,7 @@ def q_refresh_ttl(spark, sf_dir):
     return read_table(spark, f"{root}/org_scores")
 
 
-def q_metadata_upsert(spark, sf_dir):
+def q_metadata_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-organisation rollup of the earlier snapshot, then insert-or-replace
     with the rollup of the later batch (the later batch wins per org)."""
     path = scratch_path(spark, "org_snapshot")
@@ -280,7 +280,7 @@ def q_metadata_upsert(spark, sf_dir):
     return keyed_upsert(spark, path, later, "org")
 
 
-def q_publish_copy(spark, sf_dir):
+def q_publish_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     src, dst = scratch_path(spark, "local"), scratch_path(spark, "published")
     run_etl(spark, None, src, lines=driver_banner_lines(spark, sf_dir))
     refresh_org_scores(spark, src, force=True)
