@@ -177,7 +177,7 @@ def _outreach_ctes(p: str = "") -> list[str]:
 
     return [
         f"""{p}top AS (
-  SELECT *, row_number() OVER (ORDER BY combined_risk_score DESC, org ASC) AS pitch_rank
+  SELECT *, CAST(row_number() OVER (ORDER BY combined_risk_score DESC, org ASC) AS INTEGER) AS pitch_rank
   FROM (SELECT * FROM {p}org_scores ORDER BY combined_risk_score DESC, org ASC LIMIT {C.PITCH_ELIGIBLE_TOP_N})
 )""",
         f"""{p}erows AS (

@@ -13,7 +13,7 @@ from portlens.operators.score import score_fused, score_relational
 from portlens.operators.transform import explode_vulns, flatten, latest_per_key
 from portlens.sources.banners import driver_banner_lines
 from portlens.sources.ndjson import parse_ndjson
-from tools.oracle_check import TABLES, digest
+from tools.oracle_check import TABLES, digest, type_diff
 
 from .conftest import SF_SMALL
 
@@ -42,6 +42,8 @@ def duck():
 def test_query_matches_oracle(spark, duck, name):
     df = contract.queries()[name](spark, SF_SMALL)
     srows = [tuple(r) for r in df.collect()]
+    rel = duck.sql(contract.oracle_sql()[name])
+    assert type_diff(df.schema, rel.columns, rel.types) == {}
     cur = duck.execute(contract.oracle_sql()[name])
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
