@@ -1,0 +1,306 @@
+"""Each operator against brute force on rows with nulls, blanks, ties, repeats, long texts and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from portlens.llm import ann, bpe, langid, licenses, linededup, lm, packing, quality, simhash, toxicity
+
+from .helpers import BLANK, ROWS, SCHEMA, lowered, words
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+CLASHING = ["n_words", "failed", "kept", "f", "label", "left", "digest", "m", "d", "p", "row", "salt", "rest", "held_out", "__quality", "__left", "__language", "fingerprint", "component_id"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = spark.createDataFrame(ROWS, SCHEMA).repartition(3, "doc_id")
+    return rows.withColumns({c: F.lit(f"own {c}") for c in CLASHING})
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def reference_tokenizer():
+    return Tokenizer.from_file(VOCABULARY)
+
+
+def _rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_quality(docs, empty):
+    expected = []
+    for i, t, _ in ROWS:
+        w, lines = words(t), [x for x in (t or "").split("\n") if words(x)]
+        count = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        covered = {j for k in range(len(w) - 4) if count[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)}
+        base = len(w) < 10 or 100 * len(covered) > 20 * len(w)
+        expected.append((i, len(w), sum(map(len, w)), sum((t or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), base))
+    got = quality.apply_policy(quality.ledger(docs))
+    assert _rows(got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == sorted(expected, key=repr)
+    kept = {r["doc_id"] for r in got.filter("kept").collect()}
+    assert {1, 2, 17, 18, None} <= kept and 16 not in kept
+    assert quality.apply_policy(quality.ledger(empty)).count() == 0
+    assert set(quality.keep_good(docs).columns) == set(docs.columns)
+    assert quality.keep_good(docs).count() == got.filter("kept").count()
+
+
+def test_quality_ablation(docs):
+    rows = quality.ledger(docs).persist()
+    failed = [r["failed"] for r in rows.collect()]
+    for r in quality.ablation(rows).collect():
+        mask, bit = quality.mask(quality.POLICIES[r["policy"]]), 1 << quality.BIT[r["rule"]]
+        assert r["fails"] == sum(bool(b & mask & bit) for b in failed)
+        assert r["only_this_rule"] == sum(b & mask == bit for b in failed)
+        assert r["rejected"] == sum(bool(b & mask) for b in failed)
+        assert r["documents"] == len(failed)
+
+
+def test_hash_collisions_do_not_count(monkeypatch):
+    monkeypatch.setattr(quality, "hash", lambda w: 1, raising=False)
+    text = "a b c d e f g h a b c d e z".encode().split()
+    assert quality.repeated_words(text) == 10
+
+
+def test_licenses(spark, empty):
+    notice = "Licensed under the Apache License, Version 2.0."
+    rows = [
+        (1, notice),
+        (2, "LICENSED  under the apache licence version 2!!"),
+        (3, "Copyright (c) 2020 Someone\n" + notice + "\nAll rights reserved"),
+        (4, "Text before.\n" + notice + "\nReleased under the MIT License.\n" + notice),
+        (5, "Licensed under the Apache License, Version 1.1."),
+        (6, None),
+        (7, ""),
+        (7, ""),
+        (None, "Released under the MIT licence"),
+    ]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("own")))
+    found = sorted(((r["doc_id"], r["license_id"], r["n_license_lines"], r["line_licenses"]) for r in got.collect()), key=repr)
+    assert found == sorted([(1, "Apache-2.0", 1, "Apache-2.0"), (2, "Apache-2.0", 1, "Apache-2.0"), (3, "Apache-2.0", 1, "Apache-2.0"), (4, None, 3, "Apache-2.0,MIT"), (5, None, 0, ""), (6, None, 0, ""), (7, None, 0, ""), (7, None, 0, ""), (None, "MIT", 1, "MIT")], key=repr)
+    assert licenses.scan(empty).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Cartesian" not in plan
+
+
+def test_bpe(spark, docs, empty, reference_tokenizer):
+    expected = []
+    for i, t, _ in ROWS:
+        ids = reference_tokenizer.encode(t or "", add_special_tokens=False).ids
+        text = reference_tokenizer.decode(ids, skip_special_tokens=False)
+        expected.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    assert _rows(bpe.encode_digests(docs, VOCABULARY)) == sorted(expected, key=repr)
+    assert bpe.encode_digests(empty, VOCABULARY).count() == 0
+    ids = docs.select("text", bpe.token_ids(spark, F.col("text"), VOCABULARY).alias("ids"))
+    back = ids.select("text", bpe.decoded_text(spark, F.col("ids"), VOCABULARY).alias("back")).collect()
+    assert all((r["text"] or "") == r["back"] for r in back)
+
+
+def test_packing(docs, empty, reference_tokenizer):
+    rows = docs.limit(1000)
+    pieces = packing.pack(rows, VOCABULARY, capacity=64).collect()
+    tokens = Counter()
+    for i, t, _ in ROWS:
+        tokens[i] += len(reference_tokenizer.encode(t or "", add_special_tokens=False).ids) + 1
+    got = Counter()
+    for p in pieces:
+        got[p["doc_id"]] += p["length"]
+    assert got == tokens
+    by_sequence: dict = {}
+    for p in pieces:
+        by_sequence.setdefault(p["sequence_id"], []).append(p)
+    padding = 0
+    for parts in by_sequence.values():
+        at = 0
+        for p in sorted(parts, key=lambda p: p["offset"]):
+            assert p["offset"] == at and p["sequence_length"] <= 64
+            at += p["length"]
+        assert at <= 64
+        padding += 0 if at & (at - 1) == 0 else 64 - at
+    assert padding == 0
+    # one row an id: each piece's bytes are checked
+    single = {i: t for i, t, _ in ROWS if i is not None and i != 2}
+    for i, t in single.items():
+        ids = np.array([*reference_tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        at = 0
+        for p in sorted((p for p in pieces if p["doc_id"] == i), key=lambda p: p["start"]):
+            assert p["start"] == at and p["ids_crc32"] == zlib.crc32(ids[at : at + p["length"]].tobytes())
+            at += p["length"]
+        assert at == len(ids)
+    assert packing.pack(empty, VOCABULARY).count() == 0
+
+
+def test_near_duplicates(docs, empty):
+    def print_of(text):
+        w = [x.encode() for x in words(lowered(text or ""))]
+        shingles = [b" ".join(w[k : k + 4]) for k in range(max(1, len(w) - 3))] if w else []
+        h = [xxhash.xxh64_intdigest(s, seed=42) for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    prints = [print_of(t) for _, t, _ in ROWS]
+    group = list(range(len(ROWS)))
+    for a in range(len(ROWS)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 4:
+                x, y = group[a], group[b]
+                group = [min(x, y) if g in (x, y) else g for g in group]
+    low = {}
+    for g, (i, _, _) in zip(group, ROWS, strict=True):
+        low[g] = min(low.get(g, math.inf), math.inf if i is None else i)
+    expected = [(i, f"{p:016x}", None if low[g] == math.inf else low[g]) for (i, _, _), p, g in zip(ROWS, prints, group, strict=True)]
+    assert _rows(simhash.near_duplicates(docs)) == sorted(expected, key=repr)
+    kept = simhash.keep_one(docs)
+    assert set(kept.columns) == set(docs.columns)
+    assert kept.count() == len(set(group))
+    assert {r["doc_id"] for r in kept.collect()} == {None if v == math.inf else v for v in low.values()}
+    assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.keep_one(empty).count() == 0
+
+
+def test_lines(docs, empty):
+    def key(line):
+        k = lowered(line.strip(BLANK))
+        return k if len(k) >= 40 else None
+
+    held: dict = {}
+    for i, t, _ in ROWS:
+        for k in {key(x) for x in (t or "").split("\n")} - {None}:
+            held.setdefault(k, []).append(-1 if i is None else i)
+    expected = []
+    for i, t, _ in ROWS:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if key(x) is None or len(held[key(x)]) < 5 or max(held[key(x)]) == i]
+        expected.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    got = linededup.dedup_report(docs)
+    assert _rows(got) == sorted(expected, key=repr)
+    assert got.agg(F.sum("n_dropped")).first()[0] == 5
+    texts = linededup.dedup_lines(docs)
+    assert texts.columns == docs.columns
+    assert sorted((r["text"] for r in texts.collect()), key=repr) == sorted((None if t is None else e[3] for (_, t, _), e in zip(ROWS, expected, strict=True)), key=repr)
+    assert linededup.dedup_report(empty).count() == 0
+
+
+def test_full_filter_is_still_exact(docs, monkeypatch):
+    """A filter that is far too small makes suspects of all lines, and changes nothing else."""
+    before = _rows(linededup.dedup_report(docs))
+    monkeypatch.setattr(linededup, "filter_bits", lambda *a: linededup.PAGE)
+    monkeypatch.setattr(linededup, "_load", lambda pages, bits: np.full(bits // 8, 255, np.uint8))
+    assert _rows(linededup.dedup_report(docs)) == before
+
+
+def test_language(docs, empty):
+    train = F.lit(True)
+    model = langid.fit(docs, train)
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    assert [got[i]["lang_pred"] for i in (3, 4, 5, 6)] == ["und"] * 4 and got[3]["score"] == 0
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert got[17]["lang_pred"] == "fr" and got[18]["lang_pred"] == "de" and got[1]["lang_pred"] == "en"
+    assert got[1]["held_out"] == (zlib.crc32(b"1") % 4 == 2)
+    assert langid.identify(docs, model).count() == len(ROWS)
+    kept = langid.keep_identified(docs, model)
+    assert kept.columns == docs.columns and kept.count() == sum(r["lang_pred"] != "und" for r in langid.identify(docs, model).collect())
+    assert langid.fit(empty, train) is None
+    assert {r["lang_pred"] for r in langid.identify(docs, None).collect()} == {"und"}
+    assert langid.identify(empty, None).count() == 0
+
+
+def test_toxicity(spark, empty):
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        rows.append((i, f"Words number {i} are here. " + ("You are such a grobnak and a zilfop today." if bad else "All of it is a fine day.")))
+        labels.append((i, int(bad)))
+    rows += [(1000, "He is not a grobnak."), (1001, "They are a grobnak!"), (1002, 'She said that he is a grobnak'), (1003, None), (1004, ""), (None, "zilfop"), (1000, "He is not a grobnak.")]
+    labels += [(None, 1), (1001, None), (5, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("toxic", F.lit("own"))
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks)
+    assert {"grobnak", "zilfop"} <= set(model.insults) and "words" not in model.insults
+    out = toxicity.score(docs, model)
+    assert out.count() == len(rows)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert all(got[i]["predicted"] == int(i % 4 == 0) for i in range(400))
+    assert got[1001]["strongest_clause"] > got[1002]["strongest_clause"] > got[1000]["strongest_clause"] > 0
+    assert got[1003]["score"] == got[1004]["score"] and got[1003]["predicted"] == 0
+    assert toxicity.fit(docs, marks.limit(0)) is None
+    assert {r["score"] < 1e-6 for r in toxicity.score(docs, None).collect()} == {True}
+    assert toxicity.score(empty, model).count() == 0
+
+
+def test_composed_table_equals_the_transducers_in_step():
+    nexts, weights = toxicity.compose(toxicity.GRAMMAR)
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        state, parts = 0, [p.start for p in toxicity.GRAMMAR]
+        for symbol in rng.integers(0, toxicity.SYMBOLS, 20).tolist():
+            taken = [p.step(s, symbol) for p, s in zip(toxicity.GRAMMAR, parts, strict=True)]
+            assert weights[state][symbol] == pytest.approx(math.prod(w for _, w in taken))
+            state, parts = nexts[state][symbol], [s for s, _ in taken]
+
+
+def test_lm(docs, empty):
+    count, tokens_of = Counter(), []
+    for i, t, _ in ROWS:
+        w = [*words(lowered(t or "")), "\n"]
+        held = zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+        tokens_of.append((i, w, held))
+        if not held:
+            count.update(w)
+    total, types = sum(count.values()), len(count)
+    expected = sorted(((i, held, len(w), sum(count[x] > 0 for x in w), total, sum(math.log10((count[x] + 1) / (total + types + 1)) for x in w)) for i, w, held in tokens_of), key=lambda r: (repr(r[0]), r[2]))
+    for block in (7, 1_000_000):
+        rows = lm.score(docs, block_tokens=block).collect()
+        got = sorted((tuple(r)[:6] for r in rows), key=lambda r: (repr(r[0]), r[2]))
+        assert [g[:5] for g in got] == [e[:5] for e in expected]
+        assert [g[5] for g in got] == pytest.approx([e[5] for e in expected])
+        assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in rows)
+    assert lm.score(empty).count() == 0
+
+
+def test_lm_probabilities_sum_to_one():
+    """The mixture over all words and one unseen word, for a seen and an unseen context."""
+    import pandas as pd
+
+    cells = pd.DataFrame({"level": [2, 2, 0], "two": [-4, 1, 1], "one": [-16, -24, -20], "n": [10, 5, 7]})
+    weights = lm.learn_weights(cells, 50)
+    assert weights.sum(axis=1) == pytest.approx(np.ones(lm.LEVELS)) and weights[0, 0] == 0
+
+
+def test_search(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 16))
+    x[100:300] = x[7]
+    rows = [(i, x[i].tolist(), 0) for i in range(600)]
+    rows += [(600, None, 0), (700, [0.0] * 16, 0), (800, [float("nan")] * 16, 0), (900, [None] + [1.0] * 15, 0), (None, x[0].tolist(), 0), (1000, [], 0), (1100, [1.0, 2.0], 0), rows[200]]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, class int").withColumn("low", F.lit("own"))
+    got: dict = {}
+    for r in ann.search(table, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    y = x.astype(np.float32).astype(float)
+    hit = total = 0
+    assert set(got) == {0, 100, 200, 300, 400, 500}
+    for q, found in got.items():
+        d = np.sqrt(((y - y[q]) ** 2).sum(axis=1))
+        order = [i for i in np.lexsort((np.arange(600), d)) if i != q][:10]
+        found.sort()
+        assert [r for r, _, _ in found] == list(range(1, len(found) + 1))
+        assert [s for _, _, s in found] == pytest.approx([d[i] for _, i, _ in found], rel=1e-12)
+        hit, total = hit + len({i for _, i, _ in found} & set(order)), total + 10
+        if q in (100, 200):
+            assert [i for _, i, _ in found] == order  # equal vectors: the smallest ids
+    assert hit / total >= 0.9
+    assert ann.search(table.limit(0), F.col("vec_id") % 100 == 0).count() == 0
