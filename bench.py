@@ -71,7 +71,7 @@ def run_all(spark, sf_dir: str, times: dict[str, float]) -> tuple[int, str]:
         "score_histogram": lambda: prospects.score_histogram(orgs),
         "prospect_filter": lambda: prospects.prospect_filter(orgs, 40.0, 2),
         "org_deep_dive": lambda: prospects.org_infrastructure(scans, orgs),
-        "org_cves": lambda: prospects.org_cves(vulns, orgs),
+        "org_cves": lambda: prospects.org_cves(vulns, scans),
         "geo_grid": lambda: prospects.geo_grid(scans),
         "cloud_segments": lambda: prospects.cloud_segments(scans),
         "cve_rows": lambda: explode_vulns(scans),

@@ -19,8 +19,8 @@ from .transform import explode_vulns
 # ---------------------------------------------------------------------------
 # Prompt and fallback wording (must stay as written)
 # ---------------------------------------------------------------------------
-SYSTEM_PROMPT = """You are a senior cybersecurity sales consultant.
-Generate a compelling, personalized sales outreach email for a prospect
+SYSTEM_PROMPT = """You are a senior cybersecurity sales consultant. 
+Generate a compelling, personalized sales outreach email for a prospect 
 based on their actual network security exposure data from Shodan scans.
 
 Rules:
@@ -56,9 +56,6 @@ FALLBACK_FORMAT = (
 )
 
 # Our choices where the original page is absent.
-TOP_PORTS = 5
-TOP_SERVICES = 5
-TOP_CVES = 10
 DEFAULT_TONE = "Professional"
 DEFAULT_FOCUS = "Vulnerability Management"
 
@@ -80,12 +77,11 @@ def eligible_orgs(org_scores: DataFrame, n: int = C.PITCH_ELIGIBLE_TOP_N) -> Dat
     return top.withColumn("pitch_rank", F.row_number().over(w))
 
 
-def _top_k_text(df: DataFrame, group: str, order: list[Column], k: int, text: Column, sep: str) -> DataFrame:
-    """Top k rows per group as one ordered string. ``row_number() <= k`` runs
-    as a WindowGroupLimit on both sides of the exchange, so a big group
-    sends at most k rows per map task."""
+def _listed_text(df: DataFrame, group: str, order: list[Column], text: Column, sep: str) -> DataFrame:
+    """All rows of a group as one ordered string; ``df`` is already
+    aggregated, so a group has one row per distinct value."""
     w = Window.partitionBy(group).orderBy(*order)
-    ranked = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    ranked = df.withColumn("_r", F.row_number().over(w))
     return ranked.groupBy(group).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct(F.col("_r"), text.alias("t")))), lambda s: s["t"]),
@@ -104,42 +100,44 @@ def _ordered_text(cond: Column, text: Column, sep: str) -> Column:
 def outreach_context(scans: DataFrame, org_scores: DataFrame, n: int = C.PITCH_ELIGIBLE_TOP_N) -> DataFrame:
     """One row per eligible organisation with everything a pitch needs.
 
-    The eligible set has at most ``n`` rows, so joining it to `scans` is a
-    broadcast of a bounded side; every per-organisation list is a top-k.
-    `scans` is read twice: once for a grouping-sets aggregate (ports,
-    products, certificate counts: one Expand, one exchange) and once for
-    the CVE maps.
+    Every list is complete: an organisation's ports, products and CVEs are
+    bounded by their distinct values, not by its rows. Rows are aggregated
+    once by (org, port, product); the grouping sets (ports, products,
+    certificate counts) expand those aggregated rows only. The eligible set
+    has at most ``n`` rows; how it is joined is left to its measured size.
     """
     # Computed once (at most n rows) into the shared checkpoint folder; the
     # three places below read it instead of re-running the ranking (and,
     # for a lazily defined `org_scores`, the whole rollup) each time.
     shared_root(org_scores.sparkSession)
     top = eligible_orgs(org_scores, n).checkpoint(eager=True)
-    rows = eligible_scans(scans).join(F.broadcast(top.select("org")), "org", "left_semi")
+    rows = eligible_scans(scans).join(top.select("org"), "org", "left_semi")
 
     # One pass over the rows for three groupings: (org, port), (org, product)
     # and (org). grouping_id tells the sets apart (NULL ports and products
     # are real values in their own set and are skipped below).
     weak_tls = F.coalesce(F.exists("ssl_versions", lambda v: v.isin(*C.WEAK_TLS_VERSIONS)), F.lit(False))
-    sets = rows.groupingSets([["org", "port"], ["org", "product"], ["org"]], "org", "port", "product").agg(
-        F.grouping_id().alias("_g"),
+    counted = rows.groupBy("org", "port", "product").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("ssl_expired") == F.lit(True)).alias("n_expired"),
         F.count_if(F.coalesce(F.array_contains("tags", C.SELF_SIGNED_TAG), F.lit(False))).alias("n_self_signed"),
         F.count_if(weak_tls).alias("n_weak_tls"),
     )
+    sets = counted.groupingSets([["org", "port"], ["org", "product"], ["org"]], "org", "port", "product").agg(
+        F.grouping_id().alias("_g"),
+        *[F.sum(c).alias(c) for c in ("n", "n_expired", "n_self_signed", "n_weak_tls")],
+    )
     # Rank ports and products per organisation in one window (partitioned by
-    # org and set; the literal limit lets Catalyst push a WindowGroupLimit
-    # before the exchange), then fold all three sets into one row per org.
+    # org and set), then fold all three sets into one row per org.
     g, n_ = F.col("_g"), F.col("n")
     kept = sets.where(((g == 1) & F.col("port").isNotNull()) | ((g == 2) & F.col("product").isNotNull()) | (g == 3))
     w = Window.partitionBy("org", "_g").orderBy(n_.desc(), F.col("port").asc(), F.col("product").asc())
-    ranked = kept.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(TOP_PORTS, TOP_SERVICES))
+    ranked = kept.withColumn("_r", F.row_number().over(w))
     port_text = F.concat(F.col("port").cast("string"), F.lit(" ("), n_.cast("string"), F.lit(")"))
     service_text = F.concat(F.lit("- "), F.col("product"), F.lit(" ("), n_.cast("string"), F.lit(" services)"))
     summary = ranked.groupBy("org").agg(
-        _ordered_text((g == 1) & (F.col("_r") <= TOP_PORTS), port_text, ", ").alias("open_ports_summary"),
-        _ordered_text((g == 2) & (F.col("_r") <= TOP_SERVICES), service_text, "\n").alias("services_summary"),
+        _ordered_text(g == 1, port_text, ", ").alias("open_ports_summary"),
+        _ordered_text(g == 2, service_text, "\n").alias("services_summary"),
         F.max(F.when(g == 3, F.col("n_expired"))).alias("n_expired"),
         F.max(F.when(g == 3, F.col("n_self_signed"))).alias("n_self_signed"),
         F.max(F.when(g == 3, F.col("n_weak_tls"))).alias("n_weak_tls"),
@@ -154,8 +152,8 @@ def outreach_context(scans: DataFrame, org_scores: DataFrame, n: int = C.PITCH_E
         F.lit(", EPSS "), F.coalesce(F.col("epss").cast("string"), F.lit("n/a")),
         F.lit(") on "), F.col("n").cast("string"), F.lit(" services"),
     )
-    cves_txt = _top_k_text(
-        cves, "org", [F.col("cvss").desc_nulls_last(), F.col("cve_id").asc()], TOP_CVES, cve_line, "\n"
+    cves_txt = _listed_text(
+        cves, "org", [F.col("cvss").desc_nulls_last(), F.col("cve_id").asc()], cve_line, "\n"
     ).withColumnRenamed("text", "cve_details")
 
     summary = summary.select(
@@ -179,9 +177,8 @@ def outreach_context(scans: DataFrame, org_scores: DataFrame, n: int = C.PITCH_E
 
 
 def outreach_text(context: DataFrame, tone: str = DEFAULT_TONE, focus_area: str = DEFAULT_FOCUS,
-                  with_system_prompt: bool = False) -> DataFrame:
-    """Prompt and fallback text per organisation. The system prompt is the
-    constant ``SYSTEM_PROMPT``; ``with_system_prompt`` adds it as a column."""
+                  with_system_prompt: bool = True) -> DataFrame:
+    """System prompt, prompt and fallback text per organisation."""
     score = fixed1(F.col("combined_risk_score"))
     prompt = F.format_string(
         USER_PROMPT_FORMAT,

@@ -90,16 +90,19 @@ def org_infrastructure(scans: DataFrame, org_scores: DataFrame, org: str | None
     )
 
 
-def org_cves(vulns: DataFrame, org_scores: DataFrame, org: str | None = None) -> DataFrame:
-    """CVE rows of rolled-up organisations, ordered by CVSS (NULL last), id."""
-    cves = vulns
-    summary = org_scores.select("org")
+def org_cves(vulns: DataFrame, scans: DataFrame, org: str | None = None) -> DataFrame:
+    """CVE rows of services that count toward an organisation's rollup (the
+    `vulns` table also holds excluded services). For one organisation they
+    are ordered by CVSS (NULL last), id; for all, in no order: no global sort."""
+    cves, services = vulns, eligible_scans(scans)
     if org is not None:
-        cves = cves.where(F.col("org") == org)
-        summary = summary.where(F.col("org") == org)
-    return cves.join(summary, "org", "inner").orderBy(
-        F.col("org"), F.col("cvss").desc_nulls_last(), F.col("cve_id"), F.col("ip_str"), F.col("port")
-    )
+        cves, services = cves.where(F.col("org") == org), services.where(F.col("org") == org)
+    keys = services.select(F.col("ip_str").alias("_ip"), F.col("port").alias("_port"))
+    match = F.col("ip_str").eqNullSafe(F.col("_ip")) & F.col("port").eqNullSafe(F.col("_port"))
+    out = cves.join(keys, match, "left_semi")
+    if org is None:
+        return out
+    return out.orderBy(F.col("cvss").desc_nulls_last(), F.col("cve_id"), F.col("ip_str"), F.col("port"))
 
 
 def geo_points(scans: DataFrame, min_score: int = 0) -> DataFrame:

@@ -9,6 +9,7 @@ plain columns.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -144,7 +145,7 @@ def q_org_deep_dive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_org_cves(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = _scans(spark, sf_dir)
-    return prospects.org_cves(explode_vulns(scans), rollup.org_scores(scans))
+    return prospects.org_cves(explode_vulns(scans), scans)
 
 
 def q_geo_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,12 +281,53 @@ def q_metadata_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed_upsert(spark, path, later, "org")
 
 
-def q_publish_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _published(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     src, dst = scratch_path(spark, "local"), scratch_path(spark, "published")
     run_etl(spark, None, src, lines=driver_banner_lines(spark, sf_dir))
     refresh_org_scores(spark, src, force=True)
     publish(spark, src, dst)
-    return read_table(spark, f"{dst}/org_scores")
+    return read_table(spark, f"{dst}/{name}")
+
+
+def q_publish_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _published(spark, sf_dir, "org_scores")
+
+
+def q_publish_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _published(spark, sf_dir, "scans").drop("vulns")
+
+
+def q_publish_vulns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _published(spark, sf_dir, "vulns")
+
+
+def q_etl_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch job over files: every line written, some again as an array of
+    two (the same scan twice, which the dedup takes back), with lines of blanks
+    and tabs and malformed and truncated ones, which have no key."""
+    lines = driver_banner_lines(spark, sf_dir)
+    again = F.pmod(F.xxhash64("value"), F.lit(50)) == 0
+    arrays = lines.where(again).select(F.concat(F.lit("["), "value", F.lit(","), "value", F.lit("]")).alias("value"))
+    odd = spark.createDataFrame([("",), (" \t",), ("not json",), ('{"ip_str": "1.2.3',), ("[]",)], "value string")
+    path = scratch_path(spark, "ndjson-files")
+    write_ndjson(lines.unionByName(arrays).unionByName(odd), path)
+    out = run_etl(spark, path, scratch_path(spark, "etl-files"))
+    return read_table(spark, out.scans_path).drop("vulns").where(F.col("ip_str").isNotNull() | F.col("port").isNotNull())
+
+
+def q_refresh_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the refresh decides with no, a fresh and a stale stamp, forced, and with metadata of another shape."""
+    root = scratch_path(spark, "decision")
+    run_etl(spark, None, root, lines=driver_banner_lines(spark, sf_dir))
+    now = dt.datetime(2024, 3, 1)
+    later = lambda s: now + dt.timedelta(seconds=s)
+    steps = [("1 missing", refresh_org_scores(spark, root, now=now)),
+             ("2 fresh", refresh_org_scores(spark, root, now=later(600))),
+             ("3 stale", refresh_org_scores(spark, root, now=later(601))),
+             ("4 forced", refresh_org_scores(spark, root, now=later(602), force=True))]
+    write_table(spark.createDataFrame([(1,)], "other int"), f"{root}/db_metadata")
+    steps.append(("5 bad metadata", refresh_org_scores(spark, root, now=later(603))))
+    return spark.createDataFrame(steps, "step string, rebuilt boolean")
 
 
 QUERIES: dict[str, Query] = {
@@ -324,4 +366,8 @@ QUERIES: dict[str, Query] = {
     "refresh_ttl": q_refresh_ttl,
     "metadata_upsert": q_metadata_upsert,
     "publish_copy": q_publish_copy,
+    "publish_scans": q_publish_scans,
+    "publish_vulns": q_publish_vulns,
+    "etl_from_files": q_etl_from_files,
+    "refresh_decision": q_refresh_decision,
 }

@@ -35,10 +35,6 @@ def scored_scans(banners: DataFrame, options: Options = DEFAULT_OPTIONS, fused:
     return score_relational(deduped, explode_vulns(deduped))
 
 
-def scored_from_lines(lines: DataFrame, options: Options = DEFAULT_OPTIONS, fused: bool = True) -> DataFrame:
-    return scored_scans(parse_ndjson(lines), options, fused)
-
-
 @dataclass
 class EtlResult:
     scans_path: str

@@ -8,14 +8,17 @@ Spark form is checked against a different formulation.
 
 from __future__ import annotations
 
-from .. import config as C
 
 
 def _sql_list(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in values)
 
 
-_EXCLUDED = _sql_list(C.EXCLUDED_ORGS)
+# Written out here, not taken from the engine: a wrong constant there must show.
+_EXCLUDED = _sql_list([
+    "Google LLC", "Amazon.com, Inc.", "Cloudflare, Inc.", "Microsoft Corporation", "DigitalOcean, LLC", "OVH SAS",
+    "Hetzner Online AG", "Linode", "Incapsula Inc", "Fastly, Inc.", "Akamai Technologies",
+])
 
 # Three-valued array_contains(tags, 'cdn') as Spark evaluates it.
 _HAS_CDN = (
@@ -130,7 +133,7 @@ org_base AS (
   GROUP BY org
 ),
 org_scores AS (
-  SELECT *, {C.COMBINED_SCORE_SQL} AS combined_risk_score FROM org_base
+  SELECT *, LEAST(100.0, 0.7 * max_risk_score + 0.3 * avg_risk_score + LEAST(10.0, 0.5 * total_ips)) AS combined_risk_score FROM org_base
 )
 """
 
@@ -178,7 +181,7 @@ def _outreach_ctes(p: str = "") -> list[str]:
     return [
         f"""{p}top AS (
   SELECT *, CAST(row_number() OVER (ORDER BY combined_risk_score DESC, org ASC) AS INTEGER) AS pitch_rank
-  FROM (SELECT * FROM {p}org_scores ORDER BY combined_risk_score DESC, org ASC LIMIT {C.PITCH_ELIGIBLE_TOP_N})
+  FROM (SELECT * FROM {p}org_scores ORDER BY combined_risk_score DESC, org ASC LIMIT 500)
 )""",
         f"""{p}erows AS (
   SELECT * FROM {p}scans WHERE org IS NOT NULL AND is_excluded = FALSE AND org IN (SELECT org FROM {p}top)
@@ -187,13 +190,13 @@ def _outreach_ctes(p: str = "") -> list[str]:
   SELECT org, string_agg(CAST(port AS VARCHAR) || ' (' || CAST(n AS VARCHAR) || ')', ', ' ORDER BY r) AS open_ports_summary
   FROM (SELECT *, row_number() OVER (PARTITION BY org ORDER BY n DESC, port ASC) AS r
         FROM (SELECT org, port, COUNT(*) AS n FROM {p}erows WHERE port IS NOT NULL GROUP BY org, port))
-  WHERE r <= {O.TOP_PORTS} GROUP BY org
+  GROUP BY org
 )""",
         f"""{p}services_txt AS (
   SELECT org, string_agg('- ' || product || ' (' || CAST(n AS VARCHAR) || ' services)', {_NL} ORDER BY r) AS services_summary
   FROM (SELECT *, row_number() OVER (PARTITION BY org ORDER BY n DESC, product ASC) AS r
         FROM (SELECT org, product, COUNT(*) AS n FROM {p}erows WHERE product IS NOT NULL GROUP BY org, product))
-  WHERE r <= {O.TOP_SERVICES} GROUP BY org
+  GROUP BY org
 )""",
         f"""{p}cves_txt AS (
   SELECT org, string_agg('- ' || cve_id || ' (CVSS ' || COALESCE(CAST(cvss AS VARCHAR), 'n/a') || ', EPSS '
@@ -204,7 +207,7 @@ def _outreach_ctes(p: str = "") -> list[str]:
               FROM {p}erows er JOIN {p}vulns v
                 ON er.ip_str IS NOT DISTINCT FROM v.ip_str AND er.port IS NOT DISTINCT FROM v.port
               GROUP BY er.org, v.cve_id))
-  WHERE r <= {O.TOP_CVES} GROUP BY org
+  GROUP BY org
 )""",
         f"""{p}ssl_txt AS (
   SELECT org, '- expired certificates: ' || CAST(COUNT(*) FILTER (WHERE ssl_expired = TRUE) AS VARCHAR)
@@ -234,15 +237,16 @@ def _outreach_ctes(p: str = "") -> list[str]:
     printf({_sql_str(O.USER_PROMPT_FORMAT)}, org, {_fixed1('combined_risk_score')}, locations,
            CAST(total_ips AS VARCHAR), open_ports_summary, cve_details, services_summary, ssl_issues,
            {_sql_str(O.DEFAULT_TONE)}, {_sql_str(O.DEFAULT_FOCUS)}) AS user_prompt,
-    printf({_sql_str(O.FALLBACK_FORMAT)}, org, CAST(total_ips AS VARCHAR), {_fixed1('combined_risk_score')}) AS fallback_text
+    printf({_sql_str(O.FALLBACK_FORMAT)}, org, CAST(total_ips AS VARCHAR), {_fixed1('combined_risk_score')}) AS fallback_text,
+    {_sql_str(O.SYSTEM_PROMPT)} AS system_prompt
   FROM {p}context
 )""",
     ]
 
 
 def _band(col: str) -> str:
-    return (f"CASE WHEN {col} >= {C.HIGH_RISK_THRESHOLD} THEN 'red' "
-            f"WHEN {col} >= {C.ORANGE_RISK_THRESHOLD} THEN 'orange' ELSE 'blue' END")
+    return (f"CASE WHEN {col} >= 70 THEN 'red' "
+            f"WHEN {col} >= 40 THEN 'orange' ELSE 'blue' END")
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -267,12 +271,12 @@ ORACLE_SQL: dict[str, str] = {
     "org_scores": _q("SELECT * FROM org_scores"),
     "kpis": _q(f"""
         SELECT COUNT(*) AS total_orgs, CAST(COALESCE(SUM(total_ips), 0) AS BIGINT) AS total_ips,
-               COUNT(*) FILTER (WHERE combined_risk_score >= {C.HIGH_RISK_THRESHOLD}) AS high_risk_orgs,
+               COUNT(*) FILTER (WHERE combined_risk_score >= 70) AS high_risk_orgs,
                ROUND(AVG(combined_risk_score), 6) AS avg_combined_score
         FROM org_scores"""),
-    "top10_orgs": _q(f"SELECT * FROM org_scores ORDER BY combined_risk_score DESC, org ASC LIMIT {C.TOP_ORGS}"),
+    "top10_orgs": _q(f"SELECT * FROM org_scores ORDER BY combined_risk_score DESC, org ASC LIMIT 10"),
     "score_histogram": _q(f"""
-        SELECT CAST(floor(combined_risk_score / {C.HISTOGRAM_WIDTH}) * {int(C.HISTOGRAM_WIDTH)} AS BIGINT) AS bucket,
+        SELECT CAST(floor(combined_risk_score / 10.0) * 10 AS BIGINT) AS bucket,
                COUNT(*) AS n_orgs
         FROM org_scores GROUP BY 1"""),
     "prospect_filter": _q("SELECT * FROM org_scores WHERE combined_risk_score >= 40.0 AND total_ips >= 2"),
@@ -289,15 +293,16 @@ ORACLE_SQL: dict[str, str] = {
         WHERE s.org IS NOT NULL AND s.is_excluded = FALSE"""),
     "org_cves": _q("""
         SELECT v.org, v.ip_str, v.port, v.cve_id, v.cvss, v.epss, v.cve_summary, v.cve_verified
-        FROM vulns v JOIN org_scores o ON v.org = o.org"""),
+        FROM vulns v JOIN (SELECT DISTINCT ip_str, port FROM scans WHERE org IS NOT NULL AND is_excluded = FALSE) s
+          ON v.ip_str IS NOT DISTINCT FROM s.ip_str AND v.port IS NOT DISTINCT FROM s.port"""),
     "geo_points": _q(f"""
         SELECT ip_str, port, org, latitude, longitude, ip_risk_score, {_band('ip_risk_score')} AS risk_band
         FROM scans WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND ip_risk_score >= 0"""),
     "geo_grid": _q(f"""
         SELECT lat_cell, lon_cell, n_services, max_risk_score, avg_risk_score, {_band('max_risk_score')} AS risk_band
         FROM (
-          SELECT CAST(floor(latitude / {C.GEO_CELL_DEGREES}) AS BIGINT) AS lat_cell,
-                 CAST(floor(longitude / {C.GEO_CELL_DEGREES}) AS BIGINT) AS lon_cell,
+          SELECT CAST(floor(latitude / 1.0) AS BIGINT) AS lat_cell,
+                 CAST(floor(longitude / 1.0) AS BIGINT) AS lon_cell,
                  COUNT(*) AS n_services, MAX(ip_risk_score) AS max_risk_score, AVG(ip_risk_score) AS avg_risk_score
           FROM scans WHERE latitude IS NOT NULL AND longitude IS NOT NULL
           GROUP BY 1, 2)"""),
@@ -311,12 +316,12 @@ ORACLE_SQL: dict[str, str] = {
     "outreach_text": _q("SELECT * FROM texts", *_outreach_ctes()),
     "outreach_pending": _q(
         f"""SELECT t.org, t.pitch_rank, t.combined_risk_score FROM top t
-            WHERE t.org NOT IN (SELECT org FROM p_org_scores WHERE combined_risk_score >= {C.HIGH_RISK_THRESHOLD})""",
+            WHERE t.org NOT IN (SELECT org FROM p_org_scores WHERE combined_risk_score >= 70)""",
         *_outreach_ctes(), chain("p_", _EARLIER)),
     "json_roundtrip": _q("SELECT * EXCLUDE (n_cves) FROM flat"),
     "zst_scan": _q("SELECT * EXCLUDE (hash, n_cves) FROM dedup"),
     "partitioned_roundtrip": _q(
-        f"SELECT * EXCLUDE (country_code), COALESCE(country_code, '{C.UNKNOWN_COUNTRY}') AS country_code FROM scans"),
+        f"SELECT * EXCLUDE (country_code), COALESCE(country_code, 'unknown') AS country_code FROM scans"),
     "optional_vulns": _q("SELECT * FROM vulns"),
     "merge_schema": _q(f"""
         SELECT * REPLACE (
@@ -331,4 +336,13 @@ ORACLE_SQL: dict[str, str] = {
            SELECT * FROM e_org_scores WHERE org NOT IN (SELECT org FROM l_org_scores)""",
         chain("e_", _EARLIER), chain("l_", _LATER)),
     "publish_copy": _q("SELECT * FROM org_scores"),
+    "publish_scans": _q("SELECT * EXCLUDE (country_code), COALESCE(country_code, 'unknown') AS country_code FROM scans"),
+    "publish_vulns": _q("SELECT * FROM vulns"),
+    # the written files repeat every 50th banner inside an array line and add lines without a record
+    "etl_from_files": _q("""
+        SELECT * EXCLUDE (country_code), COALESCE(country_code, 'unknown') AS country_code FROM scans
+        WHERE NOT (ip_str IS NULL AND port IS NULL)"""),
+    "refresh_decision": """
+        SELECT * FROM (VALUES ('1 missing', TRUE), ('2 fresh', FALSE), ('3 stale', TRUE), ('4 forced', TRUE), ('5 bad metadata', TRUE))
+          AS t(step, rebuilt)""",
 }

@@ -11,9 +11,9 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import MapType, StructType
 
 from ..config import DEFAULT_OPTIONS, REFRESH_METADATA_KEY, ROLLUP_TTL_SECONDS, Options
 from ..operators.rollup import org_scores
@@ -38,9 +38,14 @@ def ensure_table(spark: SparkSession, path: str, schema: StructType) -> DataFram
 
 
 def keyed_upsert(spark: SparkSession, path: str, updates: DataFrame, key: str | list[str],
-                 schema: StructType | None = None) -> DataFrame:
+                 schema: StructType | None = None, order_by: str | None = None) -> DataFrame:
     """Insert-or-replace by key: rows of ``updates`` win, other old rows stay.
 
+    The table holds one row per key. Of update rows with one key the one with
+    the largest ``order_by`` stays (ties, and without it: by a hash of the
+    row, so a rerun chooses alike). A key with a NULL part can't be a primary
+    key: such update rows are left out.
+
     Both sides are hash-partitioned on the key for the anti join; AQE
     broadcasts ``updates`` when it is measured small. With ``schema`` the
     update rows are first conformed to the table's declared columns and
@@ -48,6 +53,7 @@ def keyed_upsert(spark: SparkSession, path: str, updates: DataFrame, key: str |
     """
     if schema is not None:
         updates = updates.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    updates = one_per_key(updates, key, order_by)
     if not table_exists(spark, path):
         # nothing to merge with, and nothing read from the target path
         write_table(updates, path)
@@ -59,6 +65,15 @@ def keyed_upsert(spark: SparkSession, path: str, updates: DataFrame, key: str |
     return read_table(spark, path)
 
 
+def one_per_key(rows: DataFrame, key: str | list[str], order_by: str | None = None) -> DataFrame:
+    """One row for each key without a NULL part; see ``keyed_upsert``."""
+    keys = [key] if isinstance(key, str) else list(key)
+    plain = [f.name for f in rows.schema.fields if not isinstance(f.dataType, MapType)]
+    order = ([F.col(order_by).desc_nulls_last()] if order_by else []) + [F.xxhash64(*plain).desc()]
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.dropna(subset=keys).withColumn("_rn", first).where(F.col("_rn") == 1).drop("_rn")
+
+
 def upsert_merge(old: DataFrame, updates: DataFrame, key: str | list[str]) -> DataFrame:
     """The merge rule of ``keyed_upsert`` without the storage step."""
     keys = [key] if isinstance(key, str) else list(key)
@@ -66,8 +81,12 @@ def upsert_merge(old: DataFrame, updates: DataFrame, key: str | list[str]) -> Da
 
 
 def last_refresh_age_seconds(spark: SparkSession, metadata_path: str, now: dt.datetime) -> float | None:
-    """Seconds since the stored refresh stamp; None when missing or unreadable."""
-    meta = read_optional(spark, metadata_path, metadata_schema)
+    """Seconds since the stored refresh stamp; None when missing or unreadable
+    (a table without the two columns, or files that aren't Parquet, included)."""
+    try:
+        meta = read_optional(spark, metadata_path, metadata_schema).select("key", "value")
+    except AnalysisException:
+        return None
     # Both instants go through the same parser in the session time zone, so
     # the difference does not depend on any zone setting.
     stamp = F.try_to_timestamp(F.col("value"))
@@ -99,9 +118,12 @@ def refresh_org_scores(spark: SparkSession, root: str, ttl_s: float = ROLLUP_TTL
         age = last_refresh_age_seconds(spark, meta_path, now)
         rebuild = age is None or age > ttl_s
     if rebuild:
-        write_table(org_scores(read_table(spark, f"{root}/scans"), options), org_path)
+        write_table(org_scores(read_table(spark, f"{root}/scans", merge_schema=False), options), org_path)
         stamp = spark.createDataFrame([(REFRESH_METADATA_KEY, now.isoformat())], metadata_schema)
-        keyed_upsert(spark, meta_path, stamp, "key", metadata_schema)
+        if table_exists(spark, meta_path) and set(read_table(spark, meta_path).columns) != set(metadata_schema.names):
+            write_table(stamp, meta_path)  # metadata of another shape is replaced
+        else:
+            keyed_upsert(spark, meta_path, stamp, "key", metadata_schema)
     return rebuild
 
 

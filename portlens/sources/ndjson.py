@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from ..schema import scan_schema
 
@@ -23,21 +23,27 @@ def read_ndjson(
     min_partitions: int | None = None,
 ) -> DataFrame:
     """Permissive read: a malformed line becomes an all-NULL row and a
-    wrong-typed field becomes NULL while the rest of the row is kept."""
-    if min_partitions:
-        lines = spark.read.text(path)
-        if lines.rdd.getNumPartitions() < min_partitions:
-            # blank lines produce no row in the JSON reader; drop them here too
-            lines = lines.where(F.trim(F.col("value")) != "").repartition(min_partitions)
-            return parse_ndjson(lines, schema)
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    wrong-typed field becomes NULL while the rest of the row is kept.
+
+    Every read goes through ``parse_ndjson``, whatever the number of
+    partitions, so ``min_partitions`` spreads the parse and changes nothing
+    else."""
+    lines = spark.read.text(path)
+    if min_partitions and lines.rdd.getNumPartitions() < min_partitions:
+        lines = lines.repartition(min_partitions)
+    return parse_ndjson(lines, schema)
 
 
 def parse_ndjson(lines: DataFrame, schema: StructType = scan_schema, column: str = "value") -> DataFrame:
-    """Parse a text column of NDJSON lines with the same permissive parser
-    the file reader uses (for lines that already live in a table)."""
-    parsed = lines.select(F.from_json(F.col(column), schema, {"mode": "PERMISSIVE"}).alias("_rec"))
-    return parsed.select([F.col("_rec").getField(f.name).alias(f.name) for f in schema.fields])
+    """Parse a text column of NDJSON lines as Spark's JSON file reader does:
+    an object is one row, a top-level array one row per element, a malformed
+    line one all-NULL row, and a line of JSON white space (or NULL) none."""
+    text = F.col(column)
+    records = lines.where(text.rlike(r"[^ \t\r\n]")).select(
+        F.from_json(text, ArrayType(schema), {"mode": "PERMISSIVE"}).alias("_recs")
+    )
+    each = records.where(F.col("_recs").isNull() | (F.size("_recs") > 0)).select(F.explode_outer("_recs").alias("_rec"))
+    return each.select([F.col("_rec").getField(f.name).alias(f.name) for f in schema.fields])
 
 
 def write_ndjson(lines: DataFrame, path: str, compression: str = "none", column: str = "value") -> None:

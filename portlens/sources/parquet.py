@@ -90,8 +90,8 @@ def publish(spark: SparkSession, source_root: str, target_root: str,
         src = f"{source_root.rstrip('/')}/{name}"
         try:
             df = read_table(spark, src)
-        except AnalysisException:
-            if name in optional:
+        except AnalysisException as exc:
+            if name in optional and "PATH_NOT_FOUND" in str(exc):
                 continue
             raise
         parts = [c for c in ("country_code",) if c in df.columns and name == "scans"]

@@ -65,7 +65,7 @@ def test_single_org_views(tables):
     infra = prospects.org_infrastructure(scans, orgs, org="Beta").collect()
     assert sorted((r.ip_str or "", r.port) for r in infra) == [("", 80), ("1.0.0.8", 6379)]
     assert {r.combined_risk_score for r in infra} == {85.5}
-    cves = prospects.org_cves(vulns, orgs, org="Beta").collect()
+    cves = prospects.org_cves(vulns, scans, org="Beta").collect()
     assert len(cves) == 7 and cves[0].cve_id == "CVE-D"
     assert [r.cvss for r in cves][-1] is None  # NULL CVSS sorts last
 
