@@ -11,33 +11,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portlens.llm import langid, linededup, packing, quality, simhash
-from portlens.llm.common import read_table, stored
+from portlens.llm.common import bounded_batches, read_table, stored
 from portlens.llm.queries import VOCABULARY
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; null texts and texts without a letter go."""
+    bounded_batches(spark)
     return langid.keep_identified(docs, langid.fit(docs, langid.train_rows()))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the production policy."""
+    bounded_batches(spark)
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that many documents share."""
+    bounded_batches(spark)
     out = linededup.dedup_lines(docs, min_chars=40, min_docs=5)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
+    bounded_batches(spark)
     return simhash.keep_one(docs, shingle=4, max_bits=4)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of at most 1024 tokens."""
+    bounded_batches(spark)
     return packing.pack(docs, VOCABULARY)
 
 

@@ -21,7 +21,19 @@ BLANK = b" \t\n\x0b\x0c\r"
 _scratch: dict[str, str] = {}
 
 
+BATCH_ROWS = 500  # rows of an Arrow batch: Spark's own 10,000 texts of 100 KB would be 1 GB a task
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_ROWS, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -154,15 +154,19 @@ def predictions(docs: DataFrame, text: Column, model: Model | None) -> Column:
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for texts in batches:
-            sets = [grams(t) if t else np.empty(0, np.int64) for t in texts]
-            out = pd.DataFrame({"lang_pred": ["und"] * len(sets), "score": 0.0})
-            at = [i for i, s in enumerate(sets) if len(s)]
-            if m is not None and at:
-                share = m.shares([sets[i] for i in at])
-                best = share.argmax(axis=1)
-                out.loc[at, "lang_pred"] = [m.languages[b] for b in best]
-                out.loc[at, "score"] = np.clip(share[np.arange(len(at)), best].astype(float), 0, 1)
-            yield out
+            parts = [guessed(m, texts.iloc[i : i + BATCH].tolist()) for i in range(0, len(texts), BATCH)]
+            yield pd.DataFrame([row for part in parts for row in part], columns=["lang_pred", "score"])
+
+    def guessed(m: Model | None, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Gram sets of one batch at a time: those of a whole Arrow batch would be many times its text."""
+        sets = [grams(t) if t else np.empty(0, np.int64) for t in texts]
+        out = [("und", 0.0)] * len(sets)
+        at = [i for i, s in enumerate(sets) if len(s)]
+        if m is not None and at:
+            share = m.shares([sets[i] for i in at])
+            for i, row, best in zip(at, share, share.argmax(axis=1).tolist(), strict=True):
+                out[i] = m.languages[best], float(min(1.0, row[best]))
+        return out
 
     return predicted(text)
 
