@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,21 @@ ROUNDS = 60
 BLOCK_COLUMNS = "block long, held_out_part boolean, doc_ids binary, known_id binary, held binary, lengths binary, words binary, tokens binary"
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """An array as compressed bytes, the bytes of one significance together: sorted keys and small counts shrink."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _loose(raw: bytes, kind: str, width: int | None = None) -> np.ndarray:
+    """The array of `_squeezed`; with a smaller `width` its elements get zero bytes on top."""
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(width or size, -1)
+    out = np.zeros((planes.shape[1], size), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view(kind).ravel()
+
+
 class _Ids(dict):
     """Numbers words as they come."""
 
@@ -79,7 +95,7 @@ class _Blocks:
     def row(self, block: int) -> tuple:
         words = np.array([xxhash.xxh64_intdigest(w) for w in self.words], "<u8")
         raw = lambda x, kind: np.array(x, kind).tobytes()
-        return block, self.part, raw(self.ids, "<i8"), raw(self.known, bool), raw(self.held, bool), raw(self.lengths, "<i8"), words.tobytes(), np.concatenate(self.tokens).tobytes()
+        return block, self.part, raw(self.ids, "<i8"), raw(self.known, bool), raw(self.held, bool), raw(self.lengths, "<i8"), words.tobytes(), _squeezed(np.concatenate(self.tokens).astype("<i4"))
 
 
 def _blocks(docs: DataFrame, divisor: int, held_remainder: int, block_tokens: int) -> DataFrame:
@@ -114,7 +130,7 @@ class _Block:
     def __init__(self, row):
         take = lambda name, kind: np.frombuffer(row[name], kind)
         self.ids, self.known, self.held, self.lengths = take("doc_ids", "<i8"), take("known_id", bool), take("held", bool), take("lengths", "<i8")
-        words, self.tokens = take("words", "<u8"), take("tokens", "<i4")
+        words, self.tokens = take("words", "<u8"), _loose(row["tokens"], "<i4")
         self.start = len(words)
         before = np.concatenate(([self.start], self.tokens[:-1]))
         before[np.cumsum(self.lengths)[:-1]] = self.start
@@ -147,7 +163,7 @@ def _ask(blocks: DataFrame, bits: int) -> DataFrame:
                     keys, count = b.hashes[n][order], count[order].astype("<u4")
                     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
                     cut = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-                    out = [(row["block"], n, i, _pack(keys[x:y], n, bits), count[x:y].tobytes()) for i, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if x < y]
+                    out = [(row["block"], n, i, _pack(keys[x:y], n, bits), _squeezed(count[x:y])) for i, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if x < y]
                     yield pd.DataFrame(out, columns=["block", "n", "bucket", "keys", "counts"])
 
     return blocks.mapInPandas(asked, "block long, n int, bucket long, keys binary, counts binary")
@@ -156,18 +172,13 @@ def _ask(blocks: DataFrame, bits: int) -> DataFrame:
 def _pack(keys: np.ndarray, n: int, bits: int) -> bytes:
     """Words whole; of bigrams the 48 bits below the bucket's."""
     if n == 1:
-        return keys.tobytes()
+        return _squeezed(keys)
     low = (keys << np.uint64(bits)) >> np.uint64(16)
-    return np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    return _squeezed(np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]))
 
 
 def _unpack(raw: bytes, n: int) -> np.ndarray:
-    if n == 1:
-        return np.frombuffer(raw, "<u8")
-    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, :6] = six
-    return out.view("<u8").ravel()
+    return _loose(raw, "<u8", 8 if n == 1 else 6)
 
 
 def _answer(asked: DataFrame) -> DataFrame:
@@ -180,14 +191,14 @@ def _answer(asked: DataFrame) -> DataFrame:
         n = int(group["n"].iloc[0])
         keys = [_unpack(k, n) for k in group["keys"]]
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([np.frombuffer(c, "<u4") for c in group["counts"]]), minlength=len(every)).astype("<i8")
+        total = np.bincount(at, weights=np.concatenate([_loose(c, "<u4") for c in group["counts"]]), minlength=len(every)).astype("<i8")
         if n == 1:
             token = every != np.uint64(xxhash.xxh64_intdigest(START))
             types, tokens = int(np.count_nonzero(total[token])), int(total[token].sum())
         else:
             types = tokens = 0
         parts = np.split(total[at], np.cumsum([len(k) for k in keys])[:-1])
-        return pd.DataFrame({"block": group["block"], "n": n, "bucket": group["bucket"], "totals": [p.tobytes() for p in parts], "types": [types] + [0] * (len(keys) - 1), "tokens": [tokens] + [0] * (len(keys) - 1)})
+        return pd.DataFrame({"block": group["block"], "n": n, "bucket": group["bucket"], "totals": [_squeezed(p) for p in parts], "types": [types] + [0] * (len(keys) - 1), "tokens": [tokens] + [0] * (len(keys) - 1)})
 
     return asked.groupBy("n", "bucket").applyInPandas(summed, "block long, n int, bucket long, totals binary, types long, tokens long")
 
@@ -197,7 +208,7 @@ def _totals(b: _Block, answers: pd.DataFrame) -> dict[int, np.ndarray]:
     out = {}
     for n, order in b.order.items():
         part = answers[answers["n"] == n].sort_values("bucket")
-        got = np.frombuffer(b"".join(part["totals"]), "<i8")
+        got = np.concatenate([_loose(t, "<i8") for t in part["totals"]]) if len(part) else np.empty(0, np.int64)
         if len(got) != len(order):
             raise ValueError("a block got answers that it didn't ask for")
         out[n] = np.empty(len(order), np.int64)
