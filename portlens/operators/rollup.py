@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import COMBINED_SCORE_SQL, DEFAULT_OPTIONS, Options
@@ -28,56 +28,70 @@ def eligible_scans(scans: DataFrame, options: Options = DEFAULT_OPTIONS) -> Data
 def org_scores(scans: DataFrame, options: Options = DEFAULT_OPTIONS) -> DataFrame:
     """org, total_ips, total_open_ports, max/avg risk, countries, combined score.
 
-    The filter runs before the shuffle, so the excluded cloud providers (the
-    biggest organisations) never reach the exchange; every aggregate is
-    partial map-side, so a hot organisation sends one partial row per map
-    task. ``COUNT(DISTINCT ip_str)`` is planned as a two-level aggregate on
-    (org, ip_str) then org, which spreads a big organisation over its IPs.
-    With ``keys_unique`` (true for pipeline output) the distinct count of
-    "ip:port" is a conditional count, avoiding a second distinct aggregate
-    (and the row-doubling Expand it would need).
+    The filter runs before any shuffle, so the excluded cloud providers (the
+    biggest organisations) never reach one. The rollup then goes in levels, each
+    a hash aggregate over primitive values with a map-side part:
+
+    1. cells of (org, ip_str, country_name), which spread a big organisation
+       over its IPs; without ``keys_unique`` also by port;
+    2. the first cell of an IP is marked, so that counting marks counts distinct
+       IPs (and, without ``keys_unique``, distinct "ip:port") with no distinct
+       aggregate and no row-doubling Expand;
+    3. sums by (org, country_name), then by org over a few rows a country, where
+       the country list is collected.
     """
-    ip, port = F.col("ip_str"), F.col("port")
+    ip, port, risk = F.col("ip_str"), F.col("port"), F.col("ip_risk_score")
+    keyed = ip.isNotNull() & port.isNotNull()
+    cell_keys = ["org", "ip_str", "country_name"] + ([] if options.keys_unique else ["port"])
+    cells = eligible_scans(scans, options).groupBy(*cell_keys).agg(
+        F.max(risk).alias("top"), F.sum(risk).alias("total"), F.count(risk).alias("n"),
+        F.count_if(keyed).alias("ports"))
+    order = [c for c in cell_keys if c not in ("org", "ip_str")]
+    by_ip = Window.partitionBy("org", "ip_str").orderBy(*order)
+    ips = ((F.row_number().over(by_ip) == 1) & ip.isNotNull()).cast("long")
     if options.keys_unique:
-        open_ports = F.count_if(ip.isNotNull() & port.isNotNull())
+        ports = F.col("ports")
     else:
-        open_ports = F.count_distinct(F.concat(ip, F.lit(":"), port.cast("string")))
-    base = (
-        eligible_scans(scans, options)
-        .groupBy("org")
-        .agg(
-            F.count_distinct("ip_str").alias("total_ips"),
-            open_ports.alias("total_open_ports"),
-            F.max("ip_risk_score").alias("max_risk_score"),
-            F.avg("ip_risk_score").alias("avg_risk_score"),
-            distinct_with_nulls("country_name").alias("countries"),
-        )
-    )
+        by_port = Window.partitionBy("org", "ip_str", "port").orderBy("country_name")
+        ports = ((F.row_number().over(by_port) == 1) & keyed).cast("long")
+    marked = cells.select("org", "country_name", "top", "total", "n", ips.alias("ips"), ports.alias("ports"))
+    sums = [F.max("top").alias("top"), *[F.sum(c).alias(c) for c in ("total", "n", "ips", "ports")]]
+    places = marked.groupBy("org", "country_name").agg(*sums)
+    base = places.groupBy("org").agg(*sums, distinct_with_nulls("country_name").alias("countries")).select(
+        "org", F.col("ips").alias("total_ips"), F.col("ports").alias("total_open_ports"),
+        F.col("top").alias("max_risk_score"), F.try_divide("total", "n").alias("avg_risk_score"), "countries")
     # SQL text keeps 0.7 / 0.3 / 0.5 as decimal literals, as the original SQL does.
     return base.selectExpr("*", f"{COMBINED_SCORE_SQL} AS combined_risk_score")
 
 
-# The same rollup as SQL text over registered views, as the serving tier
-# states it (`scans` view -> `org_scores`). Spark spells the NULL-keeping
-# distinct list with a struct wrapper; the combined score is the same text.
-ORG_SCORES_SQL = f"""
-WITH base AS (
-    SELECT
-        org,
-        COUNT(DISTINCT ip_str) AS total_ips,
-        COUNT(DISTINCT ip_str || ':' || CAST(port AS STRING)) AS total_open_ports,
-        MAX(ip_risk_score) AS max_risk_score,
-        AVG(ip_risk_score) AS avg_risk_score,
-        array_sort(transform(collect_set(named_struct('v', country_name)), x -> x.v)) AS countries
-    FROM scans
-    WHERE org IS NOT NULL AND is_excluded = FALSE
-    GROUP BY org
-)
-SELECT *, {COMBINED_SCORE_SQL} AS combined_risk_score
-FROM base
-"""
-
-
-def org_scores_sql(spark, view: str = "scans"):
-    """Run ``ORG_SCORES_SQL`` against the temp view ``view``."""
-    return spark.sql(ORG_SCORES_SQL.replace("FROM scans", f"FROM {view}"))
+def org_scores_sql(spark: SparkSession, view: str = "scans") -> DataFrame:
+    """The same levels as SQL text over the registered view ``view``; "ip:port"
+    is counted distinct, whether or not the view's keys are unique."""
+    return spark.sql(f"""
+        WITH cells AS (
+            SELECT org, ip_str, port, country_name,
+                   max(ip_risk_score) AS top, sum(ip_risk_score) AS total, count(ip_risk_score) AS n
+            FROM {view}
+            WHERE org IS NOT NULL AND NOT is_excluded
+            GROUP BY org, ip_str, port, country_name
+        ), marked AS (
+            SELECT org, country_name, top, total, n,
+                   ip_str IS NOT NULL
+                       AND row_number() OVER (PARTITION BY org, ip_str ORDER BY port, country_name) = 1 AS new_ip,
+                   ip_str IS NOT NULL AND port IS NOT NULL
+                       AND row_number() OVER (PARTITION BY org, ip_str, port ORDER BY country_name) = 1 AS new_port
+            FROM cells
+        ), places AS (
+            SELECT org, country_name, max(top) AS top, sum(total) AS total, sum(n) AS n,
+                   count_if(new_ip) AS ips, count_if(new_port) AS ports
+            FROM marked
+            GROUP BY org, country_name
+        ), orgs AS (
+            SELECT org, sum(ips) AS total_ips, sum(ports) AS total_open_ports, max(top) AS max_risk_score,
+                   try_divide(sum(total), sum(n)) AS avg_risk_score,
+                   array_sort(transform(collect_list(struct(country_name)), c -> c.country_name)) AS countries
+            FROM places
+            GROUP BY org
+        )
+        SELECT *, {COMBINED_SCORE_SQL} AS combined_risk_score FROM orgs
+    """)

@@ -1,9 +1,9 @@
 """Materialised rollup with a time-to-live, keyed upserts and create-if-absent
 tables, all as Parquet directories in a shared folder.
 
-A keyed upsert reads the table it rewrites, so the merged rows are
-checkpointed (reliably, to ``spark.checkpoint.dir``) before the overwrite:
-the write then reads the checkpoint, not the files it replaces.
+A keyed upsert and a rebuild write a new version of their table beside the old
+one and then switch a pointer: a reader sees one state or the other, and a
+failed write leaves the old one.
 """
 
 from __future__ import annotations
@@ -18,13 +18,12 @@ from pyspark.sql.types import MapType, StructType
 from ..config import DEFAULT_OPTIONS, REFRESH_METADATA_KEY, ROLLUP_TTL_SECONDS, Options
 from ..operators.rollup import org_scores
 from ..schema import metadata_schema, pitch_schema, vulns_schema
-from ..session import shared_root
-from ..sources.parquet import read_optional, read_table, register_views, write_table
+from ..sources.parquet import read_optional, read_table, register_views, write_table, write_version
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
     try:
-        spark.read.parquet(path).schema  # noqa: B018 - resolves the path only
+        read_table(spark, path, merge_schema=False).schema  # noqa: B018 - resolves the path only
         return True
     except AnalysisException:
         return False
@@ -54,14 +53,9 @@ def keyed_upsert(spark: SparkSession, path: str, updates: DataFrame, key: str |
     if schema is not None:
         updates = updates.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
     updates = one_per_key(updates, key, order_by)
-    if not table_exists(spark, path):
-        # nothing to merge with, and nothing read from the target path
-        write_table(updates, path)
-        return read_table(spark, path)
-    merged = upsert_merge(read_table(spark, path), updates, key)
-    shared_root(spark)  # make sure a reliable checkpoint folder is set
-    merged = merged.checkpoint(eager=True)
-    write_table(merged, path)
+    if table_exists(spark, path):
+        updates = upsert_merge(read_table(spark, path), updates, key)
+    write_version(spark, updates, path)
     return read_table(spark, path)
 
 
@@ -118,10 +112,10 @@ def refresh_org_scores(spark: SparkSession, root: str, ttl_s: float = ROLLUP_TTL
         age = last_refresh_age_seconds(spark, meta_path, now)
         rebuild = age is None or age > ttl_s
     if rebuild:
-        write_table(org_scores(read_table(spark, f"{root}/scans", merge_schema=False), options), org_path)
+        write_version(spark, org_scores(read_table(spark, f"{root}/scans", merge_schema=False), options), org_path)
         stamp = spark.createDataFrame([(REFRESH_METADATA_KEY, now.isoformat())], metadata_schema)
         if table_exists(spark, meta_path) and set(read_table(spark, meta_path).columns) != set(metadata_schema.names):
-            write_table(stamp, meta_path)  # metadata of another shape is replaced
+            write_version(spark, stamp, meta_path)  # metadata of another shape is replaced
         else:
             keyed_upsert(spark, meta_path, stamp, "key", metadata_schema)
     return rebuild

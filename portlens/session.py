@@ -38,13 +38,12 @@ def scale_conf(input_bytes: int, projected_fraction: float = 0.5) -> dict[str, s
 
     - Input splits grow with the input (128 MB up to 1 TB, 512 MB up to
       20 TB, 1 GB beyond), so the map side stays at most ~100k tasks.
-    - Shuffle partitions target ~512 MB of projected rows each, clamped to
-      [200, 50 000]: enough that no reducer holds more than it can sort in
-      memory plus spill, few enough that map x reduce shuffle blocks stay
-      manageable. AQE coalesces toward the advisory size at runtime.
+    - Shuffle partitions target ~512 MB of projected rows each, 200 at least
+      and with no upper clamp, so that a reducer's share doesn't grow with the
+      input. AQE coalesces toward the advisory size at runtime.
     """
     split = 128 * _MB if input_bytes < 1024 * _GB else 512 * _MB if input_bytes < 20 * 1024 * _GB else _GB
-    reducers = int(min(50_000, max(200, -(-int(input_bytes * projected_fraction) // (512 * _MB)))))
+    reducers = max(200, -(-int(input_bytes * projected_fraction) // (512 * _MB)))
     return {
         "spark.sql.files.maxPartitionBytes": str(split),
         "spark.sql.shuffle.partitions": str(reducers),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +17,62 @@ from ..config import DEFAULT_OPTIONS, UNKNOWN_COUNTRY, Options
 def read_table(spark: SparkSession, path: str, merge_schema: bool = True) -> DataFrame:
     """Parquet directory with Hive partitions discovered and part-file
     schemas merged by column name (a column missing from some files reads
-    as NULL there). Partition values stay strings (see session conf)."""
-    return spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(path)
+    as NULL there). Partition values stay strings (see session conf). Of a
+    table written in versions the current one is read."""
+    return spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(current_version(spark, path))
+
+
+# A table that is replaced while it is read keeps each state in a folder of its
+# own; a one-line pointer file names the current one. Both names are hidden from
+# Spark's readers.
+POINTER, VERSION = "_CURRENT", "_v-"
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, hadoop_path, hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def current_version(spark: SparkSession, path: str) -> str:
+    """The folder that holds the table's current state: ``path`` itself unless a pointer names another."""
+    jvm, pointer, fs = _file_system(spark, f"{path.rstrip('/')}/{POINTER}")
+    if not fs.exists(pointer):
+        return path
+    stream = fs.open(pointer)
+    try:
+        name = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+    finally:
+        stream.close()
+    return f"{path.rstrip('/')}/{name}"
+
+
+def write_version(spark: SparkSession, df: DataFrame, path: str) -> None:
+    """Write a new state of the table, then switch the pointer to it by one rename.
+
+    Until the switch readers see the old state, and a failed write changes
+    nothing. The state before is kept for readers that have begun; older ones
+    are deleted. A table has one writer at a time."""
+    path = path.rstrip("/")
+    before = current_version(spark, path)
+    name = f"{VERSION}{uuid.uuid4().hex}"
+    write_table(df, f"{path}/{name}")
+    jvm, pointer, fs = _file_system(spark, f"{path}/{POINTER}")
+    _, fresh, _ = _file_system(spark, f"{path}/_next-{name}")
+    out = fs.create(fresh, True)
+    try:
+        out.write(bytearray(name.encode()))
+    finally:
+        out.close()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(fresh, pointer, options)
+    keep = {name, before.rsplit("/", 1)[-1]}
+    for status in fs.listStatus(pointer.getParent()):
+        old = status.getPath()
+        if old.getName().startswith(VERSION) and old.getName() not in keep:
+            fs.delete(old, True)
 
 
 def read_optional(spark: SparkSession, path: str, schema: StructType, merge_schema: bool = True) -> DataFrame:

@@ -8,6 +8,7 @@ import gzip
 import os
 
 import pyarrow.fs as pafs
+import pytest
 from pyspark.sql import functions as F
 
 from portlens.config import Options
@@ -15,7 +16,7 @@ from portlens.plans.etl import run_etl, scored_scans
 from portlens.plans.refresh import ensure_table, keyed_upsert, refresh_org_scores
 from portlens.schema import metadata_schema, pitch_schema, vulns_schema
 from portlens.sources.ndjson import read_ndjson, write_ndjson_zst
-from portlens.sources.parquet import publish, read_optional, read_table, write_scans
+from portlens.sources.parquet import publish, read_optional, read_table, write_scans, write_version
 
 from .conftest import edge_banners
 
@@ -198,3 +199,18 @@ def test_serving_views(spark, tmp_path, edge_input):
     assert set(frames) == {"scans", "vulns", "org_scores", "ai_pitches"}
     assert spark.sql("SELECT COUNT(*) FROM org_scores").first()[0] == 3
     assert spark.sql("SELECT COUNT(*) FROM scans WHERE country_code = 'unknown'").first()[0] > 0
+
+
+def test_versions_switch_at_once(spark, tmp_path):
+    """A reader that began keeps its state, a failed write changes nothing, older states go."""
+    path = str(tmp_path / "t")
+    write_version(spark, spark.range(1), path)
+    first = read_table(spark, path)
+    write_version(spark, spark.range(2), path)
+    assert first.count() == 1 and read_table(spark, path).count() == 2
+    with pytest.raises(Exception, match="no good"):
+        write_version(spark, spark.range(3).selectExpr("raise_error('no good') AS id"), path)
+    assert read_table(spark, path).count() == 2
+    write_version(spark, read_table(spark, path).unionByName(spark.range(5)), path)
+    assert read_table(spark, path).count() == 7
+    assert len([n for n in os.listdir(path) if n.startswith("_v-")]) == 2
