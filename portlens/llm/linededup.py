@@ -146,7 +146,9 @@ def drops(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str =
     """(doc_id, text_hash, digests): the keys whose lines a document loses, one row for such a document."""
     found = stored(suspects(docs, min_chars, id_col, text_col), "suspects")
     counted = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
-    counted = counted.filter(F.col("n") >= min_docs).select("digest", "keeper")
+    # stored, so that the join reads a plain table: small ones are broadcast by their
+    # measured size, else a digest that many documents share is a skewed partition that splits
+    counted = stored(counted.filter(F.col("n") >= min_docs).select("digest", "keeper"), "repeated")
     lost = found.join(counted, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("digest").alias("digests"))
 
