@@ -12,12 +12,15 @@ the insult or threat it lets pass:
 `compose` joins them into one deterministic table of states; a clause's weight
 is the sum of its insults' and threats' weights times the weights on the arcs
 they take. Clauses end at `. ! ? ; :` and line ends. A text is scored by its
-matched clauses (their sum, the strongest, and how many different words matched)
-with a logistic curve.
+matched clauses (their sum, the strongest, how many different words matched and
+the share of clauses that matched) with a logistic curve.
 
-Insults and their weights are learned: the log-odds of a word's documents among
-toxic and clean labelled rows, from a bounded sample chosen by a hash of the id.
-The other word lists are fixed here. The curve is fitted on the same sample.
+Insults and their weights are learned: the log-odds of the documents with a word,
+or with a longer word of a stem (`stem*`), among toxic and clean labelled rows,
+from a bounded sample chosen by a hash of the id. Only those whose log-odds stay
+above MIN_BOUND by SURE standard errors are kept, so a rare word that chance put
+into toxic rows alone is none. The other word lists are fixed here. The curve is
+fitted on the same sample.
 
 Null and empty texts match nothing and get the curve's base value. Each input
 row gives one row. With no labels nothing is learned and all texts get 0.
@@ -39,7 +42,10 @@ from portlens.llm.common import doc_remainder
 SAMPLE_TOXIC = 6000  # labelled rows to learn from
 SAMPLE_CLEAN = 12000
 LEXICON = 5000  # insults kept, the heaviest
-MIN_DOCS, MIN_SHARE, MIN_WEIGHT = 3, 0.005, 3.0
+MIN_DOCS, MIN_SHARE = 3, 0.005  # toxic rows that must hold an insult
+SURE, MIN_BOUND = 1.5, 2.0
+STEMS = range(3, 9)  # letters of a stem
+SEEN_WORDS = 200_000  # words whose reading a task remembers at a time
 THREAT_WEIGHT = 3.0
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -109,41 +115,53 @@ class Grammar:
     def __init__(self, insults: dict[str, float]):
         self.nexts, self.weights = compose(GRAMMAR)
         self.insults = insults
-        self.matter = {*insults, *THREATS}
-        self.symbol = FIXED | {w: INSULT for w in insults}
-
-    def clause(self, tokens: list[str]) -> tuple[float, list[str]]:
-        """A clause's weight and the words that gave it. Targets act on both sides: the heavier reading counts."""
-        best, words = 0.0, [t for t in tokens if t in self.matter]
-        for read in (tokens, None):
-            if read is None:  # from the right only targets act, so negation and report come from the first reading
-                read = [t for t in reversed(tokens) if self.symbol.get(t, OTHER) not in (NEGATION, REPORT)]
-                if any(self.symbol.get(t) in (NEGATION, REPORT) for t in tokens):
-                    continue
-            state, total = 0, 0.0
-            for t in read:
-                s = self.symbol.get(t, OTHER)
-                if s == INSULT:
-                    total += self.insults[t] * self.weights[state][s]
-                elif s == THREAT:
-                    total += THREAT_WEIGHT * self.weights[state][s]
-                state = self.nexts[state][s]
-            best = max(best, total)
-        return best, words
-
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """Of one whole text: log of 1 + the matched clauses' sum, the strongest clause, log of 1 + different words."""
-        low = (text or "").lower()
-        if self.matter.isdisjoint(TOKEN.findall(low)):
-            return 0.0, 0.0, 0.0
-        total, most, words = 0.0, 0.0, set()
-        for part in CLAUSE_END.split(low):
+        self.seen: dict[str, tuple[int, float]] = {}
+
+    def read(self, word: str) -> tuple[int, float]:
+        """A word's symbol and weight; of the stems that it continues and the whole word the heaviest counts."""
+        known = self.seen.get(word)
+        if known is None:
+            symbol = FIXED.get(word)
+            if symbol is None:
+                weight = max([self.insults.get(word, 0.0), *(self.insults.get(word[:n] + "*", 0.0) for n in STEMS if n < len(word))])
+                known = (INSULT, weight) if weight else (OTHER, 0.0)
+            else:
+                known = symbol, THREAT_WEIGHT if symbol == THREAT else 0.0
+            if len(self.seen) >= SEEN_WORDS:
+                self.seen.clear()
+            self.seen[word] = known
+        return known
+
+    def weigh(self, read: list[tuple[int, float]]) -> float:
+        state, total = 0, 0.0
+        for symbol, weight in read:
+            if weight:
+                total += weight * self.weights[state][symbol]
+            state = self.nexts[state][symbol]
+        return total
+
+    def clause(self, read: list[tuple[int, float]]) -> float:
+        """A clause's weight. Targets act on both sides: the heavier reading counts."""
+        forward = self.weigh(read)
+        if any(symbol in (NEGATION, REPORT) for symbol, _ in read):
+            return forward  # these act to the right only
+        return max(forward, self.weigh(read[::-1]))
+
+    def features(self, text: str | None) -> tuple[float, ...]:
+        """Of one whole text: log of 1 + the matched clauses' sum, the strongest clause, log of 1 + different words, log of 1 + percent of clauses."""
+        total, most, words, matched, clauses = 0.0, 0.0, set(), 0, 0
+        for part in CLAUSE_END.split((text or "").lower()):
             tokens = TOKEN.findall(part)
-            if not self.matter.isdisjoint(tokens):
-                weight, found = self.clause(tokens)
-                total, most = total + weight, max(most, weight)
-                words.update(found)
-        return float(np.log1p(total)), most, float(np.log1p(len(words)))
+            clauses += bool(tokens)
+            read = [self.read(t) for t in tokens]
+            if any(weight for _, weight in read):
+                weight = self.clause(read)
+                total, most, matched = total + weight, max(most, weight), matched + 1
+                words.update(t for t, (_, w) in zip(tokens, read, strict=True) if w)
+        return float(np.log1p(total)), most, float(np.log1p(len(words))), float(np.log1p(100 * matched / max(1, clauses)))
+
+
+FEATURES = ("total", "most", "words", "share")
 
 
 @dataclass(frozen=True)
@@ -189,35 +207,40 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         toxic, clean = int(size[0] or 0), int(size[1] or 0) - int(size[0] or 0)
         if not toxic or not clean:
             return None
-        words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)([\p{L}\p{N}]+)"), F.lit(1))))
-        seen = rows.select("label", words.alias("word")).groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
+        words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)([\p{L}\p{N}]+)"), F.lit(1)))
+        stems = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.filter(F.array(*map(F.lit, STEMS)), lambda n: n < F.length(w)), lambda n: F.concat(F.substring(w, F.lit(1), n), F.lit("*"))))))
+        seen = rows.select("label", F.explode(F.concat(words, stems)).alias("word")).groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
         weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
-        heavy = seen.withColumn("w", weight).filter((F.col("t") >= max(MIN_DOCS, MIN_SHARE * toxic)) & (F.col("w") >= min(MIN_WEIGHT, 0.7 * float(np.log(2 * (clean + 1))))))
-        insults = {r["word"]: float(r["w"]) for r in heavy.orderBy(F.desc("w"), "word").limit(LEXICON).collect() if r["word"] not in FIXED}
-        found = rows.select(_features(rows, F.col("text"), insults).alias("f"), "label").select("f.*", "label").collect()  # three numbers for each sampled row
+        bound = F.col("w") - SURE * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
+        heavy = seen.withColumn("w", weight).filter((F.col("t") >= max(MIN_DOCS, MIN_SHARE * toxic)) & (bound >= MIN_BOUND))
+        kept = [r for r in heavy.orderBy(F.desc("w"), "word").limit(LEXICON).collect() if r["word"] not in FIXED]
+        # a stem of one word only says nothing about other words
+        alone = {(r["word"][:n] + "*", r["t"], r["c"]) for r in kept if not r["word"].endswith("*") for n in STEMS}
+        insults = {r["word"]: float(r["w"]) for r in kept if (r["word"], r["t"], r["c"]) not in alone}
+        found = rows.select(_features(rows, F.col("text"), insults).alias("f"), "label").select("f.*", "label").collect()  # four numbers for each sampled row
     finally:
         rows.unpersist()
-    x = np.array([[r["total"], r["most"], r["words"]] for r in found])
+    x = np.array([[r[f] for f in FEATURES] for r in found])
     return Model(insults, _fit_curve(x, np.array([r["label"] for r in found], float)))
 
 
 def _features(docs: DataFrame, text: Column, insults: dict[str, float]) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(insults)  # at most LEXICON words
 
-    @F.pandas_udf("total double, most double, words double")
+    @F.pandas_udf(", ".join(f"{f} double" for f in FEATURES))
     def matched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         grammar = Grammar(shared.value)
         for texts in batches:
-            yield pd.DataFrame([grammar.features(t) for t in texts], columns=["total", "most", "words"], dtype=float)
+            yield pd.DataFrame([grammar.features(t) for t in texts], columns=list(FEATURES), dtype=float)
 
     return matched(text)
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, and the features."""
-    model = model or Model({}, (-30.0, 0.0, 0.0, 0.0))
+    model = model or Model({}, (-30.0, *[0.0] * len(FEATURES)))
     rows = docs.select(F.col(id_col).alias("doc_id"), (~train_rows(id_col)).alias("held_out"), _features(docs, F.col(text_col), model.insults).alias("f"))
     b = model.curve
-    z = F.lit(b[0]) + F.lit(b[1]) * F.col("f.total") + F.lit(b[2]) * F.col("f.most") + F.lit(b[3]) * F.col("f.words")
+    z = sum((F.lit(w) * F.col(f"f.{f}") for w, f in zip(b[1:], FEATURES, strict=True)), F.lit(b[0]))
     rows = rows.withColumn("score", 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0)))))
     return rows.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.col("f.total").alias("clause_total"), F.col("f.most").alias("strongest_clause"))

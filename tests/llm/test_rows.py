@@ -241,6 +241,20 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_toxicity_stems(spark):
+    """Longer words of a learned stem count, the stem alone and words that only begin alike don't."""
+    tails = [a + b for a in "abcdefgh" for b in "mnopr"]
+    rows = [(i, f"All of it is a plain grob day {'grob' + tails[i % 40] if i % 4 == 0 else 'growing'}.") for i in range(400)]
+    docs = spark.createDataFrame([*rows, (1000, "Some grobzz."), (1001, "Some grob."), (1002, "Some growl.")], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks)
+    assert "grob*" in model.insults and "gro*" not in model.insults
+    got = {r["doc_id"]: r["strongest_clause"] for r in toxicity.score(docs, model).collect()}
+    assert got[1000] > 0 and got[1001] == got[1002] == 0
+    grammar = toxicity.Grammar({"grob*": 3.0, "grobby": 4.0})
+    assert [grammar.read(w) for w in ("grobx", "grobby", "grob", "kill", "you")] == [(toxicity.INSULT, 3.0), (toxicity.INSULT, 4.0), (toxicity.OTHER, 0.0), (toxicity.THREAT, toxicity.THREAT_WEIGHT), (toxicity.TARGET, 0.0)]
+
+
 def test_composed_table_equals_the_transducers_in_step():
     nexts, weights = toxicity.compose(toxicity.GRAMMAR)
     rng = np.random.default_rng(3)
