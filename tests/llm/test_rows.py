@@ -244,7 +244,7 @@ def test_toxicity(spark, empty):
 def test_toxicity_stems(spark):
     """Longer words of a learned stem count, the stem alone and words that only begin alike don't."""
     tails = [a + b for a in "abcdefgh" for b in "mnopr"]
-    rows = [(i, f"All of it is a plain grob day {'grob' + tails[i % 40] if i % 4 == 0 else 'growing'}.") for i in range(400)]
+    rows = [(i, f"All of it is plain grob day {i} {'grob' + tails[i % 40] if i % 4 == 0 else 'growing'}.") for i in range(400)]
     docs = spark.createDataFrame([*rows, (1000, "Some grobzz."), (1001, "Some grob."), (1002, "Some growl.")], "doc_id long, text string")
     marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
     model = toxicity.fit(docs, marks)
