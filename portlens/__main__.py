@@ -32,7 +32,7 @@ def main(argv: list[str] | None = None) -> int:
     etl.add_argument("output_root")
     etl.add_argument("--min-input-partitions", type=int, default=None)
     etl.add_argument("--input-gb", type=float, default=None,
-                     help="input size; sizes splits and shuffle partitions (session.scale_conf)")
+                     help="input size; sizes splits too (session.scale_conf); exchanges size themselves")
     etl.add_argument("--null-excluded-as-false", action="store_true")
     etl.add_argument("--empty-country-as-unknown", action="store_true")
     ref = sub.add_parser("refresh")

@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..config import DEFAULT_OPTIONS, Options
 from ..operators.score import score_fused, score_relational
 from ..operators.transform import explode_vulns, flatten, latest_per_key
-from ..sources.ndjson import parse_ndjson, read_ndjson
+from ..session import exchange_width, widened_exchange
+from ..sources.ndjson import input_bytes, parse_ndjson, read_ndjson
 from ..sources.parquet import read_table, write_scans, write_table
 
 
@@ -56,18 +57,22 @@ def run_etl(
     NDJSON ``lines``. When the file scan yields fewer tasks than
     ``min_input_partitions`` (default: the cluster's default parallelism),
     e.g. one big ``.json.zst``, raw lines are spread before the JSON parse.
+    For files the exchanges get at least the width that their size asks for
+    (``exchange_width``), whatever the session's setting.
     Nothing is cached: a lost executor's shuffle output or partially written
     task is recomputed from lineage by Spark's task retry, and the second
     output reads the first from storage.
     """
     if lines is not None:
-        banners = parse_ndjson(lines)
+        banners, reducers = parse_ndjson(lines), 1
     else:
         wanted = min_input_partitions or spark.sparkContext.defaultParallelism
         banners = read_ndjson(spark, input_path, min_partitions=wanted)
+        reducers = exchange_width(input_bytes(spark, input_path))
     root = output_root.rstrip("/")
     result = EtlResult(f"{root}/scans", f"{root}/vulns")
-    write_scans(scored_scans(banners, options), result.scans_path, options, partitions=output_partitions)
+    with widened_exchange(spark, reducers):
+        write_scans(scored_scans(banners, options), result.scans_path, options, partitions=output_partitions)
     # our own output, one schema: no footer-merging job needed
     scans = read_table(spark, result.scans_path, merge_schema=False).select("ip_str", "port", "org", "vulns")
     write_table(explode_vulns(scans), result.vulns_path)

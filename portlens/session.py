@@ -9,6 +9,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -33,6 +35,23 @@ _MB = 1 << 20
 _GB = 1 << 30
 
 
+def exchange_width(input_bytes: int, projected_fraction: float = 0.5, reducer_bytes: int = 512 * _MB) -> int:
+    """Reducers that get about ``reducer_bytes`` of projected rows each, without an upper clamp."""
+    return max(1, -(-int(input_bytes * projected_fraction) // reducer_bytes))
+
+
+@contextmanager
+def widened_exchange(spark: SparkSession, reducers: int) -> Iterator[None]:
+    """At least ``reducers`` shuffle partitions for the queries run inside; the setting before comes back."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(int(before), reducers)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def scale_conf(input_bytes: int, projected_fraction: float = 0.5) -> dict[str, str]:
     """Split and shuffle sizing for an NDJSON input of ``input_bytes``.
 
@@ -43,7 +62,7 @@ def scale_conf(input_bytes: int, projected_fraction: float = 0.5) -> dict[str, s
       input. AQE coalesces toward the advisory size at runtime.
     """
     split = 128 * _MB if input_bytes < 1024 * _GB else 512 * _MB if input_bytes < 20 * 1024 * _GB else _GB
-    reducers = max(200, -(-int(input_bytes * projected_fraction) // (512 * _MB)))
+    reducers = max(200, exchange_width(input_bytes, projected_fraction))
     return {
         "spark.sql.files.maxPartitionBytes": str(split),
         "spark.sql.shuffle.partitions": str(reducers),

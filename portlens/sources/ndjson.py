@@ -16,6 +16,17 @@ from pyspark.sql.types import ArrayType, StructType
 from ..schema import scan_schema
 
 
+COMPRESSED = (".gz", ".zst", ".bz2")
+EXPANSION = 10  # bytes of NDJSON that a byte of a compressed file is taken for
+
+
+def input_bytes(spark: SparkSession, path: str | list[str]) -> int:
+    """Bytes of text below ``path``, from the scan's plan statistics: files are listed, none is read."""
+    files = spark.read.text(path)
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size * EXPANSION if any(f.endswith(COMPRESSED) for f in files.inputFiles()) else size
+
+
 def read_ndjson(
     spark: SparkSession,
     path: str | list[str],

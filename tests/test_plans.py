@@ -4,7 +4,9 @@ public ``explain()`` text."""
 from __future__ import annotations
 
 import contextlib
+import gzip
 import io
+import os
 
 import pytest
 
@@ -14,7 +16,8 @@ from portlens.operators.rollup import org_scores
 from portlens.operators.score import score_fused, score_relational
 from portlens.operators.transform import explode_vulns, flatten, latest_per_key
 from portlens.plans.etl import run_etl
-from portlens.sources.ndjson import read_ndjson
+from portlens.session import exchange_width, widened_exchange
+from portlens.sources.ndjson import input_bytes, read_ndjson
 from portlens.sources.parquet import read_table, with_country_partition
 
 
@@ -30,6 +33,25 @@ def deduped(spark, edge_input):
     return latest_per_key(flatten(read_ndjson(spark, edge_input)))
 
 
+def test_dedup_exchange_widens_with_the_input(spark, tmp_path):
+    """The width follows the files' bytes, reaches the plan, and the session's setting comes back."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    widths = []
+    for n in (1000, 4000):
+        path = tmp_path / f"in{n}.json"
+        path.write_text('{"ip_str": "1.2.3.4", "port": 80}\n' * n)
+        size = input_bytes(spark, str(path))
+        assert size == path.stat().st_size
+        widths.append(exchange_width(size, reducer_bytes=1000))
+        with widened_exchange(spark, widths[-1]):
+            assert "hashpartitioning(ip_str" in (text := plan(latest_per_key(flatten(read_ndjson(spark, str(path)))))) and f", {widths[-1]})" in text
+    assert widths == [17, 68] and spark.conf.get("spark.sql.shuffle.partitions") == before
+    with gzip.open(tmp_path / "one.json.gz", "wb") as out:
+        out.write(b"{}\n")
+    packed = str(tmp_path / "one.json.gz")
+    assert input_bytes(spark, packed) == 10 * os.path.getsize(packed)
+
+
 @pytest.fixture(scope="module")
 def written(spark, edge_input, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("plans"))
