@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from portlens.llm.common import doc_remainder, fresh_name
 
 PER_LANGUAGE = 400  # labelled rows to learn from, a language
+SHARE = 8  # times as many ids of a language are ranked to find them
 LANDMARKS = 24  # of those, a language
 LANGUAGES = 64  # languages learned, the most frequent ones
 RIDGE = 1e-2
@@ -129,9 +130,12 @@ def fit(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE, id_col
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     usable = d.filter(train & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    often = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
+    often = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang", "ids")
+    # the first rows by hash lie in the first share of its range: only that share moves, however long the table
+    place = (F.xxhash64("doc_id").cast("double") + 2.0**63) / 2.0**64
+    usable_ids = usable.select("doc_id", "lang").join(F.broadcast(often), "lang").filter(place * F.col("ids") <= SHARE * per_language)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang").join(F.broadcast(often), "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
+    ids = usable_ids.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
     ids = ids.select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).distinct()  # at most per_language * LANGUAGES rows
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
