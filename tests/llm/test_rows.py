@@ -97,6 +97,29 @@ def test_licenses(spark, empty):
     assert "Python" not in plan and "Cartesian" not in plan
 
 
+def test_full_license_texts(spark):
+    known = licenses.full_texts()
+    mit = next(t for i, t in licenses.KNOWN if i == "MIT" and t.startswith("Permission"))
+    wrapped = {i: t for i, t in known if "\n" in t}
+    rows = [(k, t) for k, (_, t) in enumerate(known)]
+    expected = [i for i, _ in known]
+    more = [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 Some One\n\n" + mit.replace(". ", ".\n\n")),
+        ("MIT", "The MIT License (MIT) Copyright (c) 2020 Some One, Inc. and others " + mit),
+        ("BSD-3-Clause", "Copyright (c) 2019, A. Holder All rights reserved. " + " ".join(wrapped["BSD-3-Clause"].split())),
+        ("GPL-3.0", " ".join(wrapped["GPL-3.0"].split())),
+        (None, "Copyright (c) 2020 X. All rights reserved."),
+        (None, "Text before. Copyright (c) 2020 Some One " + mit),
+    ]
+    rows += [(len(known) + k, t) for k, (_, t) in enumerate(more)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k]["license_id"] for k in range(len(rows))] == expected + [i for i, _ in more]
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "MIT", "ISC", "0BSD"} == set(expected)
+    flat = got[len(known) + 1]
+    assert flat["digest"] is not None and flat["n_license_lines"] == 1 and flat["line_licenses"] == "MIT"
+    assert got[len(known) + 4]["digest"] is None
+
+
 def test_bpe(spark, docs, empty, reference_tokenizer):
     expected = []
     for i, t, _ in ROWS:
