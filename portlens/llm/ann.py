@@ -129,4 +129,47 @@ def search(rows: DataFrame, queries: Column, k: int = 10, tables: int = TABLES,
     of_class = of_class.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1).drop("r")
     near = named.select(F.col("vec_id").alias("query_id"), F.col("class").alias("asker")).join(of_class, "asker").filter("query_id != vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id", "asker").orderBy("score", "vec_id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = stored(near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "asker", "rank", "vec_id", "score"), "ann-near")
+    lengths = classes.groupBy(F.size("v").alias("size")).agg(F.sum(F.size("ids")).alias("rows"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    got = near.groupBy("query_id", "asker").agg(F.count(F.lit(1)).alias("n"))
+    due = named.select(F.col("vec_id").alias("query_id"), F.col("class").alias("asker"), "v", F.size("v").alias("size")).join(F.broadcast(lengths), "size")
+    short = due.join(got, ["query_id", "asker"], "left").filter(F.coalesce("n", F.lit(0)) < F.least(F.lit(k), F.col("rows") - 1))
+    short = stored(short.select("query_id", "asker", "v", "size"), "ann-short")
+    if not short.isEmpty():
+        near = near.join(short, ["query_id", "asker"], "left_anti").unionByName(_exact(short, classes, lengths, k))
+    return near.select("query_id", "rank", "vec_id", "score")
+
+
+def _exact(short: DataFrame, classes: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
+    """query_id, asker, rank, vec_id, score: the k nearest rows with another id, among all classes of the query's length."""
+    tiles = short.groupBy("size").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("tiles"))
+    cut = F.broadcast(lengths.join(tiles, "size").select("size", "blocks", "tiles"))  # a row for each length
+    asking = short.join(cut, "size").withColumn("tile", F.pmod(F.xxhash64("query_id", "asker"), F.col("tiles")).cast("int"))
+    asking = asking.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = classes.withColumn("size", F.size("v")).join(cut, "size").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    held = held.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    held = held.select("size", "tile", "block", "class", "v", F.element_at("ids", 1).alias("low"), F.coalesce(F.get("ids", F.lit(1)), F.element_at("ids", 1)).alias("next"), (F.size("ids") == 1).alias("lone"))
+
+    def nearest(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "asker": [], "found": [], "score": []})]
+        if len(held):
+            x = np.stack([np.asarray(v, float) for v in held["v"]])
+            low, after, names, lone = (held[c].to_numpy() for c in ("low", "next", "class", "lone"))
+            for q, name, v in zip(asking["query_id"].tolist(), asking["asker"].tolist(), asking["v"], strict=True):
+                there = np.flatnonzero((low != q) | ~lone)  # classes with another id than the query's
+                if not len(there):
+                    continue
+                d = np.sqrt(((x[there] - np.asarray(v, float)) ** 2).sum(axis=1))
+                other = np.where(low[there] == q, after[there], low[there])
+                last = min(k, len(there)) - 1
+                best = np.flatnonzero(d <= np.partition(d, last)[last])
+                best = best[np.lexsort((other[best], d[best]))][:k]
+                out.append(pd.DataFrame({"query_id": q, "asker": name, "found": names[there[best]], "score": d[best]}))
+        return pd.concat(out[1:] or out)
+
+    keys = ["size", "tile", "block"]
+    found = asking.select(*keys, "query_id", "asker", "v").groupBy(*keys).cogroup(held.groupBy(*keys))
+    found = found.applyInPandas(nearest, "query_id long, asker long, found long, score double")
+    rows = found.join(classes.select(F.col("class").alias("found"), "ids"), "found").select("query_id", "asker", "score", F.explode("ids").alias("vec_id")).filter("query_id != vec_id")
+    rank = F.row_number().over(Window.partitionBy("query_id", "asker").orderBy("score", "vec_id"))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "asker", "rank", "vec_id", "score")

@@ -341,3 +341,27 @@ def test_search(spark):
             assert [i for _, i, _ in found] == order  # equal vectors: the smallest ids
     assert hit / total >= 0.9
     assert ann.search(table.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+@pytest.mark.parametrize("n", [5, 11, 20])
+def test_search_gives_complete_lists(spark, n):
+    """Few rows of one length, beside many of another, and an id with many vectors near each other."""
+    rng = np.random.default_rng(n)
+    big = 1 << 60
+    x = rng.normal(size=(n, 64)).astype(np.float32).astype(float)
+    y = rng.normal(size=(300, 16)).astype(np.float32).astype(float)
+    rows = [(big + i, x[i].tolist()) for i in range(n)] + [(i, y[i].tolist()) for i in range(300)]
+    rows += [(0, (y[0] + 1e-3 * j).astype(np.float32).astype(float).tolist()) for j in range(1, 13)]
+    found: dict = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), (F.col("vec_id") >= big) | (F.col("vec_id") < 3)).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    due = min(10, n - 1)
+    for q in range(n):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        got = sorted(found[big + q])
+        assert [r for r, _, _ in got] == list(range(1, due + 1))
+        assert [s for _, _, s in got] == pytest.approx([d[i - big] for _, i, _ in got])
+        if n <= 11:
+            assert [i - big for _, i, _ in got] == [i for i in np.lexsort((np.arange(n), d)) if i != q]
+    assert len(found[0]) == 13 * 10 and all(i != 0 for _, i, _ in found[0])
+    assert len(found[1]) == len(found[2]) == 10
