@@ -20,7 +20,8 @@ sorts first.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,12 +29,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from portlens.llm.common import doc_remainder, fresh_name
+from portlens.llm.common import doc_remainder, fresh_name, stored
 
 PER_LANGUAGE = 400  # labelled rows to learn from, a language
 SHARE = 8  # times as many ids of a language are ranked to find them
 LANDMARKS = 24  # of those, a language
-LANGUAGES = 64  # languages learned, the most frequent ones
+ALL_LANDMARKS = 1536  # of all languages; where these are many, each has fewer landmarks, but one at least
+CHUNK = 25_600  # rows whose features are held at once
 RIDGE = 1e-2
 SHARPNESS = 4.0
 CLASSES = 64
@@ -99,12 +101,22 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def learn(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS) -> Model | None:
-    """A model from (language, gram set) rows, the first `landmarks` rows of each language as landmarks."""
-    names = tuple(sorted({lang for lang, _ in rows}))
-    marks = [s for name in names for s in [s for lang, s in rows if lang == name][:landmarks]]
-    if not marks:
+def learn(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, unpack: Callable[[bytes], np.ndarray] | None = None) -> Model | None:
+    """A model from (language, gram set) rows, the first `landmarks` rows of each language as landmarks.
+
+    Sets may come packed, with `unpack` to open them: those of a chunk are open at a time.
+    """
+    unpack = unpack or (lambda s: s)
+    sizes = Counter(lang for lang, _ in rows)
+    names = tuple(sorted(sizes))
+    if not names:
         return None
+    landmarks = max(1, min(landmarks, ALL_LANDMARKS // len(names)))
+    first: dict[str, list] = {name: [] for name in names}
+    for lang, s in rows:
+        if len(first[lang]) < landmarks:
+            first[lang].append(s)
+    marks = [unpack(s) for name in names for s in first[name]]
     known = np.unique(np.concatenate(marks))
     columns = np.full(GRAMS, -1, np.int32)
     columns[known] = np.arange(len(known))
@@ -114,29 +126,40 @@ def learn(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS) -> Mod
     bare = Model(names, columns, shared, np.zeros((len(marks), len(names)), np.float32))
     own, vectors = np.linalg.eigh(bare.values(marks).astype(np.float64))
     white = vectors * (1 / np.sqrt(np.maximum(own, 1e-6))) @ vectors.T
-    features = bare.values([s for _, s in rows]) @ white
-    target = np.array([[1.0 if lang == name else -1.0 for name in names] for lang, _ in rows])
-    # a language counts as much as any other, however many rows it has
-    share = np.array([1 / sum(lang == x for x, _ in rows) for lang, _ in rows])[:, None] * len(rows) / len(names)
-    normal = features.T @ (features * share) + RIDGE * len(rows) * np.eye(len(marks)) / len(names)
-    solved = np.linalg.solve(normal, features.T @ (target * share))
+    place = {name: j for j, name in enumerate(names)}
+    normal = RIDGE * len(rows) * np.eye(len(marks)) / len(names)
+    wanted = np.zeros((len(marks), len(names)))
+    for at in range(0, len(rows), CHUNK):
+        part = rows[at : at + CHUNK]
+        features = bare.values([unpack(s) for _, s in part]) @ white
+        # a language counts as much as any other, however many rows it has
+        share = np.array([1 / sizes[lang] for lang, _ in part])[:, None] * len(rows) / len(names)
+        weighted = features * share
+        normal += features.T @ weighted
+        # targets are 1 for the row's language and -1 for the others
+        of = np.array([place[lang] for lang, _ in part])
+        wanted -= weighted.sum(axis=0)[:, None]
+        for j in np.unique(of):
+            wanted[:, j] += 2 * weighted[of == j].sum(axis=0)
+    solved = np.linalg.solve(normal, wanted)
     return Model(names, columns, shared, (white @ solved).astype(np.float32))
 
 
 def fit(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Learn from at most `per_language` rows of each of the LANGUAGES most frequent languages.
+    """Learn from at most `per_language` rows of each language.
 
     Rows are chosen by a hash of their id, before any text is read.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     usable = d.filter(train & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    often = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang", "ids")
+    every = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids"))
+    every = stored(every, "languages")  # a row for each language
     # the first rows by hash lie in the first share of its range: only that share moves, however long the table
     place = (F.xxhash64("doc_id").cast("double") + 2.0**63) / 2.0**64
-    usable_ids = usable.select("doc_id", "lang").join(F.broadcast(often), "lang").filter(place * F.col("ids") <= SHARE * per_language)
+    usable_ids = usable.select("doc_id", "lang").join(F.broadcast(every), "lang").filter(place * F.col("ids") <= SHARE * per_language)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = usable_ids.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
-    ids = ids.select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).distinct()  # at most per_language * LANGUAGES rows
+    ids = ids.select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).distinct()  # at most per_language rows a language
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -144,10 +167,11 @@ def fit(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE, id_col
             yield pd.DataFrame(out, columns=["doc_id", "lang", "grams"])
 
     chosen = usable.join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))).filter(F.col("text").isNotNull())
-    chosen = chosen.select("doc_id", "lang", "text").limit(per_language * LANGUAGES)
+    chosen = chosen.select("doc_id", "lang", "text").limit(per_language * every.count())
     found = chosen.mapInPandas(sets, "doc_id long, lang string, grams binary").collect()
     unpack = lambda raw: np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(raw), np.uint8), count=GRAMS))
-    return learn([(r["lang"], unpack(r["grams"])) for r in sorted(found, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["grams"]))])
+    found = sorted(found, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["grams"]))
+    return learn([(r["lang"], r["grams"]) for r in found], unpack=unpack)
 
 
 def predictions(docs: DataFrame, text: Column, model: Model | None) -> Column:

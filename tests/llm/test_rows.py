@@ -241,6 +241,25 @@ def test_language(docs, empty):
     assert langid.identify(empty, None).count() == 0
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """More than 64 languages, the rare ones too, in one chunk of rows or many."""
+    rng = np.random.default_rng(11)
+    vocabulary = [["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(8)] for _ in range(70)]
+    rows = [(100 * k + i, " ".join(rng.permutation(v).tolist()), f"l{k:02}") for k, v in enumerate(vocabulary) for i in range(4 if k < 60 else 2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(table, F.lit(True))
+    assert len(model.languages) == 70 and model.shared.shape[1] <= langid.ALL_LANDMARKS
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(table, model).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+    sets = [(lang, langid.grams(t)) for _, t, lang in rows]
+    whole = langid.learn(sets)
+    monkeypatch.setattr(langid, "CHUNK", 7)
+    assert langid.learn(sets).weights == pytest.approx(whole.weights, abs=1e-4)
+    monkeypatch.setattr(langid, "ALL_LANDMARKS", 70)
+    few = langid.learn(sets)
+    assert few.shared.shape[1] == 70 and len(few.languages) == 70
+
+
 def test_toxicity(spark, empty):
     rows, labels = [], []
     for i in range(400):
