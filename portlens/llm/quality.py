@@ -26,6 +26,7 @@ WINDOW = 5
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words")
 
+#: few_distinct_words: under a tenth of the words; from 5,000 words on under the root of 50 times as many, which is 500 there too and falls as a share after that.
 #: name -> whether it failed, over the measures; a rule's bit is its place here. Append only.
 RULES: dict[str, str] = {
     "few_words": "n_words < 10",
@@ -35,7 +36,7 @@ RULES: dict[str, str] = {
     "duplicate_lines": "n_dup_lines >= 3 and 100 * n_dup_lines > 50 * n_lines",
     "mean_word_long": "word_chars > 20 * n_words",
     "mean_word_short": "word_chars < 2 * n_words",
-    "few_distinct_words": "n_words >= 50 and n_words < 5000 and 100 * n_distinct_words < 10 * n_words",
+    "few_distinct_words": "n_words >= 50 and (n_words < 5000 and 100 * n_distinct_words < 10 * n_words or n_words >= 5000 and n_distinct_words * n_distinct_words < 50 * n_words)",
 }
 BIT = {name: i for i, name in enumerate(RULES)}
 BASE = ("few_words", "repeated_windows")

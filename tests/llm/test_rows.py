@@ -59,6 +59,17 @@ def test_quality(docs, empty):
     assert quality.keep_good(docs).count() == got.filter("kept").count()
 
 
+def test_few_distinct_words_at_every_length(spark):
+    rng = np.random.default_rng(2)
+    few = [" ".join(f"word{k}" for k in rng.integers(0, 50, n)) for n in (4_999, 5_000, 20_000, 100_000)]
+    many = [" ".join(f"word{int(k)}" for k in rng.permutation(np.arange(n) % int(1.1 * np.sqrt(50 * n)))) for n in (5_000, 20_000, 100_000)]
+    rows = spark.createDataFrame(list(enumerate(few + many)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality.apply_policy(quality.ledger(rows)).collect()}
+    bit = 1 << quality.BIT["few_distinct_words"]
+    assert [bool(got[i]["failed"] & bit) for i in range(7)] == [True] * 4 + [False] * 3
+    assert not got[2]["base_failed"] and not got[2]["kept"]
+
+
 def test_quality_ablation(docs):
     rows = quality.ledger(docs).persist()
     failed = [r["failed"] for r in rows.collect()]
