@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portlens.llm import ann, bpe, langid, licenses, linededup, lm, packing, quality, simhash, toxicity
+from portlens.llm import ann, bpe, interaction, langid, licenses, linededup, lm, packing, quality, simhash, toxicity, urls, whitening
 from portlens.llm.common import read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,13 +56,26 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(read_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = interaction.failure_masks(read_table(spark, sf_dir, "documents"))
+    return interaction.audit(interaction.mask_counts(masks, read_table(spark, sf_dir, "labels"))).drop("nodes")
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read_table(spark, sf_dir, "pages"), urls.fit(urls.labelled_urls(spark))).drop("score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ledger, op2_license_digests, op3_bpe_automaton, op4_packing, op5_simhash_near_dedup, op6_line_dedup, op7_cross_polytope_ann, op8_language_id, op9_toxicity, op10_lm_score, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_ledger, op2_license_digests, op3_bpe_automaton, op4_packing, op5_simhash_near_dedup, op6_line_dedup, op7_cross_polytope_ann, op8_language_id, op9_toxicity, op10_lm_score, op11_whitening, op12_filter_audit, op13_url_filters, pipeline)}
 
 #: DuckDB SQL where SQL expresses the operator over whole tables.
-ORACLE_SQL = {"op2_license_digests": licenses.scan_sql()}
+ORACLE_SQL = {"op2_license_digests": licenses.scan_sql(), "op12_filter_audit": interaction.audit_sql(), "op13_url_filters": urls.judge_sql()}
