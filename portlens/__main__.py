@@ -34,6 +34,9 @@ def main(argv: list[str] | None = None) -> int:
     etl.add_argument("--input-gb", type=float, default=None,
                      help="input size; sizes splits too (session.scale_conf); exchanges size themselves")
     etl.add_argument("--null-excluded-as-false", action="store_true")
+    etl.add_argument("--rejected", action="store_true", help="keep bad lines with their text in OUTPUT_ROOT/rejected")
+    etl.add_argument("--drop-malformed", action="store_true",
+                     help="with --rejected: lines without a record leave no all-NULL row in scans")
     etl.add_argument("--empty-country-as-unknown", action="store_true")
     ref = sub.add_parser("refresh")
     ref.add_argument("root")
@@ -54,8 +57,10 @@ def main(argv: list[str] | None = None) -> int:
         if args.input_gb:
             print("sizing:", apply_scale_conf(spark, int(args.input_gb * (1 << 30))))
         opts = Options(null_excluded_as_false=args.null_excluded_as_false,
-                       empty_country_as_unknown=args.empty_country_as_unknown)
-        out = run_etl(spark, args.input, args.output_root, opts, min_input_partitions=args.min_input_partitions)
+                       empty_country_as_unknown=args.empty_country_as_unknown,
+                       malformed_as_null_row=not args.drop_malformed)
+        out = run_etl(spark, args.input, args.output_root, opts, min_input_partitions=args.min_input_partitions,
+                      quarantine=args.rejected)
         print(f"wrote {out.scans_path} and {out.vulns_path}")
     elif args.command == "refresh":
         opts = Options(null_excluded_as_false=args.null_excluded_as_false)

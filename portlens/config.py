@@ -87,6 +87,9 @@ class Options:
     tie_break: str | None = "hash"
     # Q16: treat an empty country code like a missing one when partitioning.
     empty_country_as_unknown: bool = False
+    # Q8: a line that holds no record becomes an all-NULL row; off: such lines
+    # are only in the rejected lines of a quarantining run.
+    malformed_as_null_row: bool = True
     # A3: after dedup (ip_str, port) is unique, so the distinct count of
     # "ip:port" equals a conditional count (one distinct aggregate fewer).
     keys_unique: bool = True

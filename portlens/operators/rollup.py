@@ -25,35 +25,38 @@ def eligible_scans(scans: DataFrame, options: Options = DEFAULT_OPTIONS) -> Data
     return scans.where(F.col("org").isNotNull() & keep)
 
 
-def org_scores(scans: DataFrame, options: Options = DEFAULT_OPTIONS) -> DataFrame:
-    """org, total_ips, total_open_ports, max/avg risk, countries, combined score.
+def org_cells(scans: DataFrame, options: Options = DEFAULT_OPTIONS, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mergeable state of the rollup: one row per (org, ip_str, country_name) and
+    the columns ``by``, without ``keys_unique`` also per port.
 
-    The filter runs before any shuffle, so the excluded cloud providers (the
-    biggest organisations) never reach one. The rollup then goes in levels, each
-    a hash aggregate over primitive values with a map-side part:
-
-    1. cells of (org, ip_str, country_name), which spread a big organisation
-       over its IPs; without ``keys_unique`` also by port;
-    2. the first cell of an IP is marked, so that counting marks counts distinct
-       IPs (and, without ``keys_unique``, distinct "ip:port") with no distinct
-       aggregate and no row-doubling Expand;
-    3. sums by (org, country_name), then by org over a few rows a country, where
-       the country list is collected.
+    The filter runs before the shuffle, so the excluded cloud providers (the
+    biggest organisations) never reach it, and a big organisation is spread over
+    its IPs. Cells of disjoint sets of scans can be put together by a union.
     """
-    ip, port, risk = F.col("ip_str"), F.col("port"), F.col("ip_risk_score")
-    keyed = ip.isNotNull() & port.isNotNull()
-    cell_keys = ["org", "ip_str", "country_name"] + ([] if options.keys_unique else ["port"])
-    cells = eligible_scans(scans, options).groupBy(*cell_keys).agg(
+    risk = F.col("ip_risk_score")
+    keys = ["org", "ip_str", "country_name", *by] + ([] if options.keys_unique else ["port"])
+    return eligible_scans(scans, options).groupBy(*keys).agg(
         F.max(risk).alias("top"), F.sum(risk).alias("total"), F.count(risk).alias("n"),
-        F.count_if(keyed).alias("ports"))
-    order = [c for c in cell_keys if c not in ("org", "ip_str")]
+        F.count_if(F.col("ip_str").isNotNull() & F.col("port").isNotNull()).alias("ports"))
+
+
+def scores_of_cells(cells: DataFrame, options: Options = DEFAULT_OPTIONS) -> DataFrame:
+    """``org_scores`` from ``org_cells``.
+
+    The first cell of an IP is marked, so that counting marks counts distinct
+    IPs (and, without ``keys_unique``, distinct "ip:port") with no distinct
+    aggregate and no row-doubling Expand. Then come sums by (org, country_name),
+    then by org over a few rows a country, where the country list is collected.
+    """
+    ip = F.col("ip_str")
+    order = ["country_name"] + ([] if options.keys_unique else ["port"])
     by_ip = Window.partitionBy("org", "ip_str").orderBy(*order)
     ips = ((F.row_number().over(by_ip) == 1) & ip.isNotNull()).cast("long")
     if options.keys_unique:
         ports = F.col("ports")
     else:
         by_port = Window.partitionBy("org", "ip_str", "port").orderBy("country_name")
-        ports = ((F.row_number().over(by_port) == 1) & keyed).cast("long")
+        ports = ((F.row_number().over(by_port) == 1) & ip.isNotNull() & F.col("port").isNotNull()).cast("long")
     marked = cells.select("org", "country_name", "top", "total", "n", ips.alias("ips"), ports.alias("ports"))
     sums = [F.max("top").alias("top"), *[F.sum(c).alias(c) for c in ("total", "n", "ips", "ports")]]
     places = marked.groupBy("org", "country_name").agg(*sums)
@@ -64,6 +67,15 @@ def org_scores(scans: DataFrame, options: Options = DEFAULT_OPTIONS) -> DataFram
     return base.selectExpr("*", f"{COMBINED_SCORE_SQL} AS combined_risk_score")
 
 
+def org_scores(scans: DataFrame, options: Options = DEFAULT_OPTIONS) -> DataFrame:
+    """org, total_ips, total_open_ports, max/avg risk, countries, combined score.
+
+    In levels, each a hash aggregate over primitive values with a map-side part:
+    ``org_cells``, then ``scores_of_cells``.
+    """
+    return scores_of_cells(org_cells(scans, options), options)
+
+
 def org_scores_sql(spark: SparkSession, view: str = "scans") -> DataFrame:
     """The same levels as SQL text over the registered view ``view``; "ip:port"
     is counted distinct, whether or not the view's keys are unique."""

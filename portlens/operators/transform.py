@@ -67,9 +67,9 @@ def latest_per_key(flat: DataFrame, options: Options = DEFAULT_OPTIONS, drop_tie
 CVE_FIELDS = {"cvss": "cvss", "epss": "epss", "summary": "cve_summary", "verified": "cve_verified"}
 
 
-def explode_vulns(scans: DataFrame) -> DataFrame:
-    """One row per (ip_str, port, cve_id); a NULL or empty map gives no row."""
+def explode_vulns(scans: DataFrame, *carried: str) -> DataFrame:
+    """One row per (ip_str, port, cve_id), with the columns ``carried`` last; a NULL or empty map gives no row."""
     value = F.col("_cve.value")
-    entries = scans.select("ip_str", "port", "org", F.explode(F.map_entries("vulns")).alias("_cve"))
+    entries = scans.select("ip_str", "port", "org", *carried, F.explode(F.map_entries("vulns")).alias("_cve"))
     return entries.select("ip_str", "port", "org", F.col("_cve.key").alias("cve_id"),
-                          *[value.getField(name).alias(out) for name, out in CVE_FIELDS.items()])
+                          *[value.getField(name).alias(out) for name, out in CVE_FIELDS.items()], *carried)

@@ -22,11 +22,13 @@ from ..operators.score import score_relational, vuln_totals, with_base_score, wi
 from ..operators.transform import explode_vulns, flatten, latest_per_key
 from ..schema import pitch_schema, vulns_schema
 from ..session import scratch_path
-from ..sources.banners import banner_lines, driver_banner_lines, load_driver_tables
+from ..sources.banners import banner_lines, driver_banner_lines, load_driver_tables, spread
 from ..sources.ndjson import parse_ndjson, read_ndjson, write_ndjson, write_ndjson_zst
 from ..sources.parquet import publish, read_optional, read_table, register_views, write_table
+from . import incremental, tables
 from .etl import run_etl, scored_scans
 from .refresh import ensure_table, keyed_upsert, refresh_org_scores
+from .serving import serve
 
 # Event-time split used by the incremental queries: events before the cutoff
 # form the earlier snapshot, the rest (NULL time included) the later batch.
@@ -330,6 +332,97 @@ def q_refresh_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(steps, "step string, rebuilt boolean")
 
 
+# --------------------------------------------------- batches, quarantine, catalog
+
+
+def _database(spark: SparkSession, label: str) -> str:
+    """A fresh database whose tables live under the shared folder."""
+    path = scratch_path(spark, label)
+    return tables.ensure_database(spark, f"portlens_{path.rsplit('-', 1)[-1]}", path)
+
+
+def _loaded(spark: SparkSession, sf_dir: str) -> str:
+    """A database loaded with the earlier snapshot, then with the later batch."""
+    database = _database(spark, "incremental")
+    for earlier in (True, False):
+        incremental.load_batch(spark, database, parse_ndjson(_snapshot_lines(spark, sf_dir, earlier)))
+    return database
+
+
+def q_incremental_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _no_map(incremental.current_scans(spark, _loaded(spark, sf_dir)))
+
+
+def q_incremental_vulns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.current_vulns(spark, _loaded(spark, sf_dir))
+
+
+def q_incremental_org_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.current_org_scores(spark, _loaded(spark, sf_dir))
+
+
+def _damaged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Banner lines in which four of 101 events hold a damaged line instead."""
+    events, nation = load_driver_tables(spark, sf_dir)
+    case, e = F.col("event_id") % 101, F.col("event_id").cast("string")
+    damage = (
+        F.when(case == 0, F.concat(F.lit('{"ip_str": "10.9.9.'), e))
+        .when(case == 1, F.concat(F.lit('{"ip_str": "10.9.9.9", "port": "p'), e, F.lit('"}')))
+        .when(case == 2, F.concat(F.lit('[{"port": 1}, {"port": "q'), e, F.lit('"}]')))
+        .when(case == 3, e)
+    )
+    whole = banner_lines(spread(events.where(case > 3)), nation)
+    return whole.unionByName(events.where(case <= 3).select(damage.alias("value")))
+
+
+def _quarantined(spark: SparkSession, sf_dir: str):
+    path, root = scratch_path(spark, "damaged"), scratch_path(spark, "quarantine")
+    write_ndjson(_damaged_lines(spark, sf_dir), path)
+    return run_etl(spark, path, root, Options(malformed_as_null_row=False), quarantine=True)
+
+
+def q_rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines without a record and records with a wrong-typed field, with their text."""
+    return read_table(spark, _quarantined(spark, sf_dir).rejected_path, merge_schema=False)
+
+
+def q_quarantined_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scans of the same run: lines without a record leave no row, wrong-typed fields a NULL."""
+    return read_table(spark, _quarantined(spark, sf_dir).scans_path, merge_schema=False).drop("vulns")
+
+
+def _served(spark: SparkSession, lines: DataFrame, database: str) -> None:
+    root = scratch_path(spark, "served")
+    run_etl(spark, None, root, lines=lines)
+    serve(spark, root, database, force=True)
+
+
+def q_catalog_org_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollup as a catalog table, where a view of that name stood, over persistent views."""
+    database = _database(spark, "catalog")
+    spark.sql(f"CREATE VIEW {database}.org_scores AS SELECT 1 AS old")
+    spark.sql(f"CREATE TABLE {database}.scans (old INT) USING parquet")
+    _served(spark, driver_banner_lines(spark, sf_dir), database)
+    return spark.table(f"{database}.org_scores")
+
+
+def q_catalog_pitches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pitch table: a text for every organisation of the earlier snapshot, then
+    new ones for those at high risk now. The insert time is the column's default."""
+    database = _database(spark, "pitches")
+    name = f"{database}.ai_pitches"
+    for earlier in (True, False):
+        lines = _snapshot_lines(spark, sf_dir, True) if earlier else driver_banner_lines(spark, sf_dir)
+        _served(spark, lines, database)
+        scores = spark.table(f"{database}.org_scores")
+        texts = outreach.outreach_text(outreach.outreach_context(spark.table(f"{database}.scans"), scores))
+        high = scores.where(F.col("combined_risk_score") >= HIGH_RISK_THRESHOLD).select("org")
+        chosen = texts if earlier else texts.join(high, "org", "left_semi")
+        tables.upsert(spark, name, chosen.select("org", F.col("fallback_text").alias("pitch_text")))
+    stamped = F.col("generated_at").between(F.current_timestamp() - F.expr("INTERVAL 1 DAY"), F.current_timestamp())
+    return spark.table(name).select("org", "pitch_text", stamped.alias("stamped"))
+
+
 QUERIES: dict[str, Query] = {
     "ingest_count": q_ingest_count,
     "flatten": q_flatten,
@@ -370,4 +463,11 @@ QUERIES: dict[str, Query] = {
     "publish_vulns": q_publish_vulns,
     "etl_from_files": q_etl_from_files,
     "refresh_decision": q_refresh_decision,
+    "incremental_scans": q_incremental_scans,
+    "incremental_vulns": q_incremental_vulns,
+    "incremental_org_scores": q_incremental_org_scores,
+    "rejected_lines": q_rejected_lines,
+    "quarantined_scans": q_quarantined_scans,
+    "catalog_org_scores": q_catalog_org_scores,
+    "catalog_pitches": q_catalog_pitches,
 }

@@ -15,22 +15,25 @@ and both outputs always agree.
 
 from __future__ import annotations
 
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import DEFAULT_OPTIONS, Options
 from ..operators.score import score_fused, score_relational
 from ..operators.transform import explode_vulns, flatten, latest_per_key
-from ..session import exchange_width, widened_exchange
-from ..sources.ndjson import input_bytes, parse_ndjson, read_ndjson
-from ..sources.parquet import read_table, write_scans, write_table
+from ..session import exchange_width, scratch_folder, widened_exchange
+from ..sources.ndjson import REJECTED, accepted, input_bytes, parse_checked, parse_ndjson, read_lines, rejected_lines
+from ..sources.parquet import write_scans, write_table
 
 
-def scored_scans(banners: DataFrame, options: Options = DEFAULT_OPTIONS, fused: bool = True) -> DataFrame:
+def scored_scans(banners: DataFrame, options: Options = DEFAULT_OPTIONS, fused: bool = True,
+                 drop_tie_break: bool = True) -> DataFrame:
     """Raw banner rows -> deduplicated, scored `scans` rows (before the
     country-code fill used for partitioning)."""
-    deduped = latest_per_key(flatten(banners), options)
+    deduped = latest_per_key(flatten(banners), options, drop_tie_break)
     if fused:
         return score_fused(deduped)
     return score_relational(deduped, explode_vulns(deduped))
@@ -40,6 +43,7 @@ def scored_scans(banners: DataFrame, options: Options = DEFAULT_OPTIONS, fused:
 class EtlResult:
     scans_path: str
     vulns_path: str
+    rejected_path: str | None = None
 
 
 def run_etl(
@@ -50,6 +54,7 @@ def run_etl(
     lines: DataFrame | None = None,
     min_input_partitions: int | None = None,
     output_partitions: int | None = None,
+    quarantine: bool = False,
 ) -> EtlResult:
     """Ingest -> flatten -> dedup -> score -> export.
 
@@ -62,18 +67,31 @@ def run_etl(
     Nothing is cached: a lost executor's shuffle output or partially written
     task is recomputed from lineage by Spark's task retry, and the second
     output reads the first from storage.
+
+    With ``quarantine`` lines that hold no record and records with a field of
+    another type are also kept with their text in ``<root>/rejected``; the parse
+    is then stored once, the rows to be rejected apart, and read by both outputs.
     """
-    if lines is not None:
-        banners, reducers = parse_ndjson(lines), 1
-    else:
+    reducers = 1
+    if lines is None:
         wanted = min_input_partitions or spark.sparkContext.defaultParallelism
-        banners = read_ndjson(spark, input_path, min_partitions=wanted)
         reducers = exchange_width(input_bytes(spark, input_path))
+        lines = read_lines(spark, input_path, min_partitions=wanted)
     root = output_root.rstrip("/")
-    result = EtlResult(f"{root}/scans", f"{root}/vulns")
-    with widened_exchange(spark, reducers):
-        write_scans(scored_scans(banners, options), result.scans_path, options, partitions=output_partitions)
-    # our own output, one schema: no footer-merging job needed
-    scans = read_table(spark, result.scans_path, merge_schema=False).select("ip_str", "port", "org", "vulns")
+    result = EtlResult(f"{root}/scans", f"{root}/vulns", f"{root}/rejected" if quarantine else None)
+    with widened_exchange(spark, reducers), ExitStack() as held:
+        if quarantine:
+            parsed_path = held.enter_context(scratch_folder(spark, "parsed"))
+            checked = parse_checked(lines).withColumn("_bad", F.col(REJECTED).isNotNull().cast("int"))
+            write_table(checked, parsed_path, partition_by="_bad")
+            parsed = spark.read.schema(checked.schema).parquet(parsed_path)
+            write_table(rejected_lines(parsed.where("_bad = 1")), result.rejected_path)
+            banners = accepted(parsed.drop("_bad"), options.malformed_as_null_row)
+        else:
+            banners = parse_ndjson(lines)
+        scored = scored_scans(banners, options)
+        write_scans(scored, result.scans_path, options, partitions=output_partitions)
+    # our own output, one known schema, also where there is no row and so no file
+    scans = spark.read.schema(scored.schema).parquet(result.scans_path).select("ip_str", "port", "org", "vulns")
     write_table(explode_vulns(scans), result.vulns_path)
     return result

@@ -345,4 +345,32 @@ ORACLE_SQL: dict[str, str] = {
     "refresh_decision": """
         SELECT * FROM (VALUES ('1 missing', TRUE), ('2 fresh', FALSE), ('3 stale', TRUE), ('4 forced', TRUE), ('5 bad metadata', TRUE))
           AS t(step, rebuilt)""",
+    "incremental_scans": _q("SELECT * EXCLUDE (country_code), COALESCE(country_code, 'unknown') AS country_code FROM scans"),
+    "incremental_vulns": _q("SELECT * FROM vulns"),
+    "incremental_org_scores": _q("SELECT * FROM org_scores"),
+    "rejected_lines": """
+        SELECT CASE event_id % 101
+                 WHEN 0 THEN '{"ip_str": "10.9.9.' || CAST(event_id AS VARCHAR)
+                 WHEN 1 THEN '{"ip_str": "10.9.9.9", "port": "p' || CAST(event_id AS VARCHAR) || '"}'
+                 WHEN 2 THEN '[{"port": 1}, {"port": "q' || CAST(event_id AS VARCHAR) || '"}]'
+                 ELSE CAST(event_id AS VARCHAR) END AS line,
+               CASE WHEN event_id % 101 = 2 THEN 1 ELSE 0 END AS position,
+               CASE event_id % 101 WHEN 0 THEN 'malformed' WHEN 3 THEN 'not_an_object' ELSE 'wrong_type' END AS reason
+        FROM events WHERE event_id % 101 <= 3""",
+    # the damaged records leave three keys: (10.9.9.9, NULL), (NULL, 1) and (NULL, NULL), the last only if no banner has it
+    "quarantined_scans": "WITH " + chain("g_", "e.event_id % 101 > 3") + """
+        SELECT * EXCLUDE (country_code), COALESCE(country_code, 'unknown') AS country_code FROM g_scans
+        UNION ALL BY NAME
+        SELECT ip_str, CAST(port AS INTEGER) AS port, 'unknown' AS country_code, 0 AS score_base,
+               CAST(0 AS BIGINT) AS vuln_score_total, CAST(0 AS BIGINT) AS ip_risk_score
+        FROM (VALUES (1, '10.9.9.9', NULL), (2, NULL, 1), (2, NULL, NULL)) AS d(case_, ip_str, port)
+        WHERE EXISTS (FROM events WHERE event_id % 101 = case_)""",
+    "catalog_org_scores": _q("SELECT * FROM org_scores"),
+    "catalog_pitches": _q(
+        """SELECT org, fallback_text AS pitch_text, TRUE AS stamped FROM texts
+           WHERE org IN (SELECT org FROM org_scores WHERE combined_risk_score >= 70)
+           UNION ALL
+           SELECT org, fallback_text, TRUE FROM p_texts
+           WHERE org NOT IN (SELECT t.org FROM texts t JOIN org_scores o ON t.org = o.org WHERE o.combined_risk_score >= 70)""",
+        *_outreach_ctes(), chain("p_", _EARLIER), *_outreach_ctes("p_")),
 }

@@ -81,6 +81,11 @@ def last_refresh_age_seconds(spark: SparkSession, metadata_path: str, now: dt.da
         meta = read_optional(spark, metadata_path, metadata_schema).select("key", "value")
     except AnalysisException:
         return None
+    return stamp_age_seconds(meta, now)
+
+
+def stamp_age_seconds(meta: DataFrame, now: dt.datetime) -> float | None:
+    """Seconds since the refresh stamp among the (key, value) rows; None when missing or unreadable."""
     # Both instants go through the same parser in the session time zone, so
     # the difference does not depend on any zone setting.
     stamp = F.try_to_timestamp(F.col("value"))

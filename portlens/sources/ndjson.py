@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..schema import scan_schema
 
@@ -39,10 +39,15 @@ def read_ndjson(
     Every read goes through ``parse_ndjson``, whatever the number of
     partitions, so ``min_partitions`` spreads the parse and changes nothing
     else."""
+    return parse_ndjson(read_lines(spark, path, min_partitions), schema)
+
+
+def read_lines(spark: SparkSession, path: str | list[str], min_partitions: int | None = None) -> DataFrame:
+    """The text lines below ``path`` in column ``value``, spread when the scan yields fewer tasks than ``min_partitions``."""
     lines = spark.read.text(path)
     if min_partitions and lines.rdd.getNumPartitions() < min_partitions:
         lines = lines.repartition(min_partitions)
-    return parse_ndjson(lines, schema)
+    return lines
 
 
 def parse_ndjson(lines: DataFrame, schema: StructType = scan_schema, column: str = "value") -> DataFrame:
@@ -57,6 +62,53 @@ def parse_ndjson(lines: DataFrame, schema: StructType = scan_schema, column: str
     return each.select([F.col("_rec").getField(f.name).alias(f.name) for f in schema.fields])
 
 
+REJECTED = "_rejected"
+_CORRUPT = "_corrupt_record"
+
+
+def parse_checked(lines: DataFrame, schema: StructType = scan_schema, column: str = "value") -> DataFrame:
+    """The rows of ``parse_ndjson`` and, from the same parse, a column REJECTED:
+    struct(line, position, reason), NULL where the record is as the schema says.
+
+    Reasons: ``malformed`` (no JSON: an all-NULL row), ``not_an_object`` (JSON,
+    but no record: an all-NULL row) and ``wrong_type`` (at least one field is
+    NULL because its type differs; the rest of the row is kept). ``line`` is the
+    whole input line, ``position`` the record's place in an array line, else 0.
+    """
+    text = F.col(column)
+    checked = StructType([*schema.fields, StructField(_CORRUPT, StringType())])
+    parse = lambda t: F.from_json(t, checked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+    array_of_records = text.rlike(r"^[ \t\r\n]*\[") & F.from_json(text, ArrayType(schema), {"mode": "PERMISSIVE"}).isNotNull()
+    records = (
+        F.when(text.rlike(r"^[ \t\r\n]*\{"), F.array(parse(text)))
+        .when(array_of_records, F.transform(F.from_json(text, "array<string>"), parse))
+        .otherwise(F.array(F.lit(None).cast(checked)))
+    )
+    each = lines.where(text.rlike(r"[^ \t\r\n]")).select(text.alias("_line"), F.posexplode(records).alias("_pos", "_rec"))
+    record, corrupt = F.col("_rec"), F.col("_rec").getField(_CORRUPT)
+    reason = (
+        F.when(F.try_parse_json("_line").isNull(), "malformed")
+        .when(record.isNull(), "not_an_object")
+        .otherwise("wrong_type")
+    )
+    entry = F.struct(F.col("_line").alias("line"), F.col("_pos").alias("position"), reason.alias("reason"))
+    fields = [record.getField(f.name).alias(f.name) for f in schema.fields]
+    return each.select(*fields, F.when(record.isNull() | corrupt.isNotNull(), entry).alias(REJECTED))
+
+
+def accepted(parsed: DataFrame, malformed_as_null_row: bool = True) -> DataFrame:
+    """The rows of a checked parse that go on: all, or without those that hold no record."""
+    if not malformed_as_null_row:
+        reason = F.col(REJECTED).getField("reason")
+        parsed = parsed.where(reason.isNull() | (reason == "wrong_type"))
+    return parsed.drop(REJECTED)
+
+
+def rejected_lines(parsed: DataFrame) -> DataFrame:
+    """line, position, reason of a checked parse."""
+    return parsed.where(F.col(REJECTED).isNotNull()).select(f"{REJECTED}.*")
+
+
 def write_ndjson(lines: DataFrame, path: str, compression: str = "none", column: str = "value") -> None:
     """Write a text column of NDJSON lines (codecs Spark ships: gzip, bzip2, ...)."""
     lines.select(column).write.mode("overwrite").option("compression", compression).text(path)
