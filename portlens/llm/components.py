@@ -4,8 +4,9 @@ Large-star: every neighbour above u points to the smallest of u and its
 neighbours. Small-star: every neighbour at or below u does. Repeated until the
 edges no longer change, each node points at the smallest of its component. The
 smallest neighbour is an aggregate (partial before the shuffle), so a node with
-a third of all edges is never gathered; the join back deals such a node out by
-AQE's skew split. Each round is a table in the shared folder.
+a third of all edges is never gathered. It is stored before the join back: then
+that is a join of plain tables, in which AQE's skew split deals such a node out.
+Each round is a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         near = near.unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
     low = near.groupBy("u").agg(F.min("v").alias("m"))
-    low = low.select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+    low = stored(low.select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "lows")
     joined = near.join(low, F.col("u") == F.col("w"))
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))

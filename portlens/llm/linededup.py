@@ -6,13 +6,13 @@ documents loses all its lines except those in the document with the largest id.
 
 1. Each task hashes the keys of its documents. A key's bits go to the filter
    "once"; where a bit is met again by another document or another task it
-   goes to "twice". Bits travel as sorted places, one row a task and filter
-   page, and a page is a group of its own size, so a key that a third of the
-   documents share is one place a task.
+   goes to "twice". Bits travel as packed pages, joined in levels (`bloom.py`),
+   so a key that a third of the documents share is one place a task.
 2. A key whose bits are all in "twice" is a suspect. Only suspects leave their
    task, as 256-bit digests, for the exact count and the choice of the
    document that keeps the line.
-3. Documents that lose lines get the digests to drop; the others pass as they are.
+3. Documents that lose lines are shuffled to the digests they lose; the others,
+   told apart by a filter of (id, text hash), pass as they are read.
 
 "twice" is the one thing sent to every task. Its size follows the number of
 lines up to MAX_BITS (128 MB); beyond that more lines are suspects, and the
@@ -34,12 +34,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from portlens.llm import bloom
 from portlens.llm.common import BLANK, fresh_name, stored
 
 BITS_A_LINE = 16
 MAX_BITS = 1 << 30
-PAGE = 1 << 20  # bits of a filter page
-HASHES = 2
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -57,58 +56,25 @@ def text_keys(text: str | None, min_chars: int) -> list[bytes]:
     return [k for k in dict.fromkeys(line_key(x, min_chars) for x in text.encode().split(b"\n")) if k is not None]
 
 
-def _places(keys: list[bytes], bits: int) -> np.ndarray:
-    """The filter places of each key: a row of HASHES."""
-    h = np.array([xxhash.xxh3_128_intdigest(k) & 0xFFFFFFFFFFFFFFFF for k in keys], np.uint64)
-    first, second = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(first + np.uint64(i) * second) & np.uint64(bits - 1) for i in range(HASHES)], axis=1).astype(np.int64)
+def _hashes(keys: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh3_128_intdigest(k) & 0xFFFFFFFFFFFFFFFF for k in keys], np.uint64)
 
 
 def filter_bits(docs: DataFrame, text_col: str) -> int:
     """A power of two by the number of lines."""
     t = F.col(text_col)
     lines = docs.agg(F.sum(F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
-    return min(MAX_BITS, max(PAGE, 1 << int(lines * BITS_A_LINE - 1).bit_length()))
+    return bloom.filter_size(lines, BITS_A_LINE, MAX_BITS)
 
 
 def twice_filter(docs: DataFrame, bits: int, min_chars: int, text_col: str) -> DataFrame:
-    """(page, places): the set places of "twice", as page-relative uint32 bytes."""
+    """The pages of the filter (`bloom.PARTS`); a document's key counts once."""
 
     def once_and_twice(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [np.unique(_places(keys, bits)) for t in batch["t"] if (keys := text_keys(t, min_chars))]
-            if not rows:
-                continue
-            places, n = np.unique(np.concatenate(rows), return_counts=True)
-            pages = places // PAGE
-            cut = np.flatnonzero(np.diff(pages)) + 1
-            out = []
-            for page, at, count in zip(pages[np.concatenate(([0], cut))], np.split(places % PAGE, cut), np.split(n, cut), strict=True):
-                out.append((int(page), at.astype("<u4").tobytes(), np.packbits(count > 1).tobytes()))
-            yield pd.DataFrame(out, columns=["page", "places", "more"])
-
-    def merged(group: pd.DataFrame) -> pd.DataFrame:
-        once, twice = np.zeros(PAGE, bool), np.zeros(PAGE, bool)
-        for raw, more in zip(group["places"], group["more"], strict=True):
-            at = np.frombuffer(raw, "<u4")
-            again = np.unpackbits(np.frombuffer(more, np.uint8), count=len(at)).astype(bool)
-            twice[at] |= once[at] | again
-            once[at] = True
-        return pd.DataFrame({"page": [group["page"].iloc[0]], "places": [np.flatnonzero(twice).astype("<u4").tobytes()]})
-
-    rows = docs.select(F.col(text_col).alias("t")).mapInPandas(once_and_twice, "page long, places binary, more binary")
-    return rows.groupBy("page").applyInPandas(merged, "page long, places binary")
-
-
-def _load(pages, bits: int) -> np.ndarray:
-    """The filter as packed bits."""
-    out = np.zeros(bits // 8, np.uint8)
-    for row in pages:
-        at = np.frombuffer(row["places"], "<u4")
-        page = np.zeros(PAGE, bool)
-        page[at] = True
-        out[row["page"] * PAGE // 8 : (row["page"] + 1) * PAGE // 8] = np.packbits(page, bitorder="little")
-    return out
+        keys = (text_keys(t, min_chars) for batch in batches for t in batch["t"])
+        yield from bloom.bitmaps(np.unique(bloom.places(_hashes(k), bits)) for k in keys if k)
+
+    return bloom.joined(docs.select(F.col(text_col).alias("t")).mapInPandas(once_and_twice, bloom.PARTS))
 
 
 def _digest(key: bytes) -> bytes:
@@ -120,7 +86,7 @@ def suspects(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> Dat
     spark = docs.sparkSession
     bits = filter_bits(docs, text_col)
     pages = twice_filter(docs, bits, min_chars, text_col)
-    shared = spark.sparkContext.broadcast(_load(pages.toLocalIterator(), bits))  # at most MAX_BITS
+    shared = spark.sparkContext.broadcast(bloom.load(pages, "twice", bits))  # at most MAX_BITS
 
     @F.pandas_udf("array<binary>")
     def suspected(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -130,8 +96,7 @@ def suspects(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> Dat
             for t in texts:
                 keys = text_keys(t, min_chars)
                 if keys:
-                    at = _places(keys, bits)
-                    seen = ((twice[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
+                    seen = bloom.holds(twice, bloom.places(_hashes(keys), bits))
                     out.append([_digest(k) for k, s in zip(keys, seen.tolist(), strict=True) if s])
                 else:
                     out.append([])
@@ -154,42 +119,54 @@ def drops(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str =
 
 
 def without(text: Column, digests: Column, min_chars: int) -> Column:
-    """struct(n_lines, n_dropped, kept) of a text and the digests it loses."""
+    """struct(n_dropped, kept) of a text and the digests it loses."""
 
-    @F.pandas_udf("n_lines long, n_dropped long, kept string")
+    @F.pandas_udf("n_dropped long, kept string")
     def left(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, lost in batches:
             rows = []
             for t, gone in zip(texts, lost, strict=True):
-                t = t or ""
                 if gone is None or not len(gone):
-                    rows.append((t.count("\n") + 1, 0, t))
+                    rows.append((0, t or ""))
                     continue
                 gone = set(map(bytes, gone))
-                lines = t.encode().split(b"\n")
+                lines = (t or "").encode().split(b"\n")
                 kept = [x for x in lines if (k := line_key(x, min_chars)) is None or _digest(k) not in gone]
-                rows.append((len(lines), len(lines) - len(kept), b"\n".join(kept).decode()))
-            yield pd.DataFrame(rows, columns=["n_lines", "n_dropped", "kept"])
+                rows.append((len(lines) - len(kept), b"\n".join(kept).decode()))
+            yield pd.DataFrame(rows, columns=["n_dropped", "kept"])
 
     return left(text, digests)
 
 
-def _with_left(docs: DataFrame, name: str, min_chars: int, min_docs: int, id_col: str, text_col: str) -> DataFrame:
-    lost = drops(docs, min_chars, min_docs, id_col, text_col)
-    lost = lost.select(F.col("doc_id").alias("__lost_id"), F.col("text_hash").alias("__lost_hash"), F.col("digests").alias("__lost"))
-    joined = docs.join(lost, docs[id_col].eqNullSafe(lost["__lost_id"]) & (F.xxhash64(docs[text_col]) == lost["__lost_hash"]), "left")
-    kept = [docs[c] for c in docs.columns]
-    return joined.select(*kept, without(docs[text_col], F.col("__lost"), min_chars).alias(name))
+def _with_left(docs: DataFrame, min_chars: int, min_docs: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """`docs` with a struct column (n_dropped, kept), and that column's name.
+
+    Only documents that a filter on (id, text hash) takes for ones that lose
+    lines are shuffled; the others pass where they are read.
+    """
+    name, lost_id, lost_hash, gone = (fresh_name(docs, stem) for stem in ("left", "lost_id", "lost_hash", "lost"))
+    lost = stored(drops(docs, min_chars, min_docs, id_col, text_col), "lost")
+    text_hash = F.xxhash64(docs[text_col])
+    loses = bloom.member_filter(lost.select(F.xxhash64("doc_id", "text_hash").alias("key")), "key")(F.xxhash64(docs[id_col], text_hash))
+    columns = [docs[c] for c in docs.columns]
+    whole = F.struct(F.lit(0).cast("long").alias("n_dropped"), F.coalesce(docs[text_col], F.lit("")).alias("kept"))
+    passing = docs.filter(~loses).select(*columns, whole.alias(name))
+    lost = lost.select(F.col("doc_id").alias(lost_id), F.col("text_hash").alias(lost_hash), F.col("digests").alias(gone))
+    joined = docs.filter(loses).join(lost, docs[id_col].eqNullSafe(lost[lost_id]) & (text_hash == lost[lost_hash]), "left")
+    losing = joined.select(*columns, without(docs[text_col], F.col(gone), min_chars).alias(name))
+    return passing.unionByName(losing), name
 
 
 def dedup_report(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped, kept (the text that stays), one row for each input row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return _with_left(docs, "left", min_chars, min_docs, "doc_id", "text").select("doc_id", "left.n_lines", "left.n_dropped", "left.kept")
+    rows, name = _with_left(docs, min_chars, min_docs, "doc_id", "text")
+    t = F.coalesce("text", F.lit(""))
+    n_lines = (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    return rows.select("doc_id", n_lines.alias("n_lines"), f"{name}.n_dropped", f"{name}.kept")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with the repeated lines taken out of its texts (null stays null)."""
-    name = fresh_name(docs, "left")
-    out = _with_left(docs, name, min_chars, min_docs, id_col, text_col)
+    out, name = _with_left(docs, min_chars, min_docs, id_col, text_col)
     return out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.col(f"{name}.kept"))).drop(name)

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from portlens.llm import bpe
+from portlens.llm import bloom, bpe
 from portlens.llm.common import stored
 
 CAPACITY = 1024
@@ -283,6 +283,8 @@ def pack(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, closin
     whole = pieces.filter(~F.col("to_cut"))
     cut = pieces.filter("to_cut")
     of_cut = cut.select("doc_id", "text_hash").distinct().select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
+    may_be_cut = bloom.member_filter(of_cut.select(F.xxhash64("i", "h").alias("key")), "key")(F.xxhash64("doc_id", F.xxhash64("text")))
+    docs = docs.filter(may_be_cut)  # few texts are read again, and only those move
     texts = docs.join(of_cut, docs["doc_id"].eqNullSafe(of_cut["i"]) & (F.xxhash64(docs["text"]) == of_cut["h"]), "left_semi").distinct()
     texts = texts.select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"), "text")
 

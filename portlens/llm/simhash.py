@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from portlens.llm import bloom
 from portlens.llm.common import stored
 from portlens.llm.components import components
 
@@ -203,13 +204,15 @@ def _labelled(docs: DataFrame, shingle: int, max_bits: int, id_col: str, text_co
     made = stored(made, "fingerprints")
     classes = made.select("f").distinct()
     joined = components(links(stored(classes, "classes"), max_bits))
-    return made.join(joined, made["f"] == joined["node"], "left").select("doc_id", "text_hash", "f", F.coalesce("label", "f").alias("label"))
+    joined = stored(joined, "labels")
+    return stored(made.join(joined, made["f"] == joined["node"], "left").select("doc_id", "text_hash", "f", F.coalesce("label", "f").alias("label")), "labelled")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
     rows = _labelled(docs, shingle, max_bits, id_col, text_col)
-    least = rows.groupBy(F.col("label").alias("of")).agg(F.min("doc_id").alias("component_id"))
+    # stored, so that a label with a third of the rows is a skewed partition of a plain join, which splits
+    least = stored(rows.groupBy(F.col("label").alias("of")).agg(F.min("doc_id").alias("component_id")), "least")
     out = rows.join(least, rows["label"] == least["of"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -225,6 +228,12 @@ def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str =
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))).alias("s")
     first = rows.groupBy("label").agg(first).select(F.col("s.id").alias("__id"), F.col("s.hash").alias("__hash")).distinct()
     first = stored(first, "kept")
-    held = docs.join(first, docs[id_col].eqNullSafe(first["__id"]) & (F.xxhash64(docs[text_col]) == first["__hash"]), "left_semi")
+    # few rows go: only those that may be among them are joined, the others pass where they are read
+    of_first = (F.col("doc_id").eqNullSafe(F.col("__id"))) & (F.col("text_hash") == F.col("__hash"))
+    gone = stored(rows.join(first, of_first, "left_anti").select(F.xxhash64("doc_id", "text_hash").alias("key")), "gone")
+    text_hash = F.xxhash64(docs[text_col])
+    may_go = bloom.member_filter(gone, "key")(F.xxhash64(docs[id_col], text_hash))
+    staying = docs.filter(may_go).join(first, docs[id_col].eqNullSafe(first["__id"]) & (text_hash == first["__hash"]), "left_semi")
+    held = docs.filter(~may_go).unionByName(staying)
     twice = rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return held if twice.isEmpty() else held.dropDuplicates([id_col, text_col])

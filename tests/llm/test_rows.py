@@ -14,12 +14,12 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from portlens.llm import ann, bpe, langid, licenses, linededup, lm, packing, quality, simhash, toxicity
+from portlens.llm import ann, bloom, bpe, langid, licenses, linededup, lm, packing, quality, simhash, toxicity
 
 from .helpers import BLANK, ROWS, SCHEMA, lowered, words
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-CLASHING = ["n_words", "failed", "kept", "f", "label", "left", "digest", "m", "d", "p", "row", "salt", "rest", "held_out", "__quality", "__left", "__language", "fingerprint", "component_id"]
+CLASHING = ["n_words", "failed", "kept", "f", "label", "left", "digest", "m", "d", "p", "row", "salt", "rest", "held_out", "__quality", "__left", "__language", "__lost", "__lost_id", "__lost_hash", "___lost", "__id", "__hash", "fingerprint", "component_id"]
 
 
 @pytest.fixture(scope="module")
@@ -231,8 +231,8 @@ def test_lines(docs, empty):
 def test_full_filter_is_still_exact(docs, monkeypatch):
     """A filter that is far too small makes suspects of all lines, and changes nothing else."""
     before = _rows(linededup.dedup_report(docs))
-    monkeypatch.setattr(linededup, "filter_bits", lambda *a: linededup.PAGE)
-    monkeypatch.setattr(linededup, "_load", lambda pages, bits: np.full(bits // 8, 255, np.uint8))
+    monkeypatch.setattr(linededup, "filter_bits", lambda *a: bloom.PAGE)
+    monkeypatch.setattr(bloom, "load", lambda pages, column, bits: np.full(bits // 8, 255, np.uint8))
     assert _rows(linededup.dedup_report(docs)) == before
 
 
