@@ -13,10 +13,15 @@ its own n-grams first and sends each different one once, as a 64-bit hash, to
 the bucket of that hash, together with its training count. A bucket sums what
 the blocks sent and answers each block in the order in which it asked. The
 blocks then score their documents from the answers. So what is shuffled grows
-with the different n-grams of a block, a word that is everywhere is one entry a
-block, and no task holds more than a block or a bucket (their number follows
-the tokens). Words are told apart by 64 bits, bigrams by the bucket's bits and
-48 more.
+with the different n-grams of a block, and a word that is everywhere is one
+entry a block.
+
+With more than FAN blocks the buckets are asked in levels: FAN blocks form a
+unit, whose buckets are summed first and ask FAN finer buckets each, and so on;
+the answers take the same way back. So a block, or unit, sends FAN rows of some
+thousand n-grams whatever the number of blocks, rows grow in proportion to the
+blocks, and no task holds more than a block or FAN rows of a bucket. Words are
+told apart by 64 bits, bigrams by the first buckets' bits and 48 more.
 
 Null text counts as empty (one token, the end). Each input row gives one row,
 repeated rows too. With nothing to learn from every token has probability 1 by
@@ -38,12 +43,15 @@ from pyspark.sql import functions as F
 from portlens.llm.common import doc_remainder, stored
 
 BLOCK = 1_000_000  # tokens of a block, about
-SLICE = 8  # one in so many training documents gives the held-out counts
-LEVELS = 24  # buckets of context frequency
+FAN = 256  # blocks of a unit, and buckets that each asks
+SLICE = 8  # one in so many training documents gives the held-out counts; all do if none is in the slice
+LEVELS = 64  # buckets of context frequency
 END, START = b"\n", b"\n\n"  # no words
 FINE = 8  # cells a factor of e in the held-out table
 ROUNDS = 60
 
+ASKED = "block long, n int, bucket long, keys binary, counts binary"
+ANSWERED = "block long, n int, bucket long, totals binary, types long, tokens long"
 BLOCK_COLUMNS = "block long, held_out_part boolean, doc_ids binary, known_id binary, held binary, lengths binary, words binary, tokens binary"
 
 
@@ -160,13 +168,10 @@ def _ask(blocks: DataFrame, bits: int) -> DataFrame:
                 b = _Block(row)
                 for n, count in b.counts().items():
                     order = b.order[n]
-                    keys, count = b.hashes[n][order], count[order].astype("<u4")
-                    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-                    cut = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-                    out = [(row["block"], n, i, _pack(keys[x:y], n, bits), _squeezed(count[x:y])) for i, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if x < y]
+                    out = _rows_of(row["block"], n, b.hashes[n][order], count[order].astype("<u4"), bits)
                     yield pd.DataFrame(out, columns=["block", "n", "bucket", "keys", "counts"])
 
-    return blocks.mapInPandas(asked, "block long, n int, bucket long, keys binary, counts binary")
+    return blocks.mapInPandas(asked, ASKED)
 
 
 def _pack(keys: np.ndarray, n: int, bits: int) -> bytes:
@@ -181,7 +186,58 @@ def _unpack(raw: bytes, n: int) -> np.ndarray:
     return _loose(raw, "<u8", 8 if n == 1 else 6)
 
 
-def _answer(asked: DataFrame) -> DataFrame:
+def _whole(raw: bytes, n: int, bucket: int, bits: int) -> np.ndarray:
+    """The keys of `_pack` with the bucket's bits, in order."""
+    keys = _unpack(raw, n)
+    if n == 1 or not bits:
+        return keys if n == 1 else keys << np.uint64(16)
+    return np.uint64(bucket << (64 - bits)) | ((keys << np.uint64(16)) >> np.uint64(bits))
+
+
+def _rows_of(unit: int, n: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> list[tuple]:
+    """Sorted keys and their counts by bucket."""
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    cut = np.flatnonzero(np.diff(bucket)) + 1
+    parts = zip(np.split(keys, cut), np.split(counts, cut), bucket[np.concatenate(([0], cut))].tolist(), strict=True)
+    return [(unit, n, b, _pack(k, n, bits), _squeezed(c)) for k, c, b in parts if len(k)]
+
+
+def _answers(asked: DataFrame, units: int, bits: int, kind: str, fan: int) -> DataFrame:
+    """(block, n, bucket, totals, types, tokens) for `asked` of so many blocks or units, whose counts are of `kind`."""
+    if units <= fan:
+        return _answer(asked, kind)
+    asked = stored(asked, "lm-asked")
+    width, finer = -(-units // fan), bits + fan.bit_length() - 1
+    parent = F.pmod(F.xxhash64("block"), F.lit(width)).alias("unit")
+
+    def merged(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        unit, n, bucket = map(int, key)
+        every, at = np.unique(np.concatenate([_whole(k, n, bucket, bits) for k in group["keys"]]), return_inverse=True)
+        counts = np.concatenate([_loose(c, kind) for c in group["counts"]])
+        total = np.bincount(at, weights=counts, minlength=len(every)).astype("<u8")
+        return pd.DataFrame(_rows_of(unit, n, every, total, finer), columns=["block", "n", "bucket", "keys", "counts"])
+
+    of_units = asked.groupBy(parent, "n", "bucket").applyInPandas(merged, ASKED)
+    answered = _answers(of_units, width, finer, "<u8", fan)
+
+    def returned(key: tuple, group: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        _, n, bucket = map(int, key)
+        keys = [_whole(k, n, bucket, bits) for k in group["keys"]]
+        every, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.concatenate([_loose(t, "<i8") for t in got.sort_values("bucket")["totals"]])
+        if len(total) != len(every):
+            raise ValueError("a unit got answers that it didn't ask for")
+        parts = np.split(total[at], np.cumsum([len(k) for k in keys])[:-1])
+        none = [0] * (len(keys) - 1)
+        return pd.DataFrame({"block": group["block"], "n": n, "bucket": bucket, "totals": [_squeezed(p) for p in parts], "types": [int(got["types"].sum())] + none, "tokens": [int(got["tokens"].sum())] + none})
+
+    up = F.shiftrightunsigned("bucket", fan.bit_length() - 1).alias("bucket")
+    answered = answered.select(F.col("block").alias("unit"), "n", up, F.col("bucket").alias("finer"), "totals", "types", "tokens")
+    both = asked.withColumn("unit", parent).groupBy("unit", "n", "bucket").cogroup(answered.groupBy("unit", "n", "bucket"))
+    return both.applyInPandas(lambda key, group, got: returned(key, group, got.drop(columns="bucket").rename(columns={"finer": "bucket"})), ANSWERED)
+
+
+def _answer(asked: DataFrame, kind: str = "<u4") -> DataFrame:
     """(block, n, bucket, totals, types, tokens): the sums of a bucket, in the order of each block's keys.
 
     types and tokens (of words, on one row a bucket) are those of the training tokens.
@@ -191,7 +247,7 @@ def _answer(asked: DataFrame) -> DataFrame:
         n = int(group["n"].iloc[0])
         keys = [_unpack(k, n) for k in group["keys"]]
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([_loose(c, "<u4") for c in group["counts"]]), minlength=len(every)).astype("<i8")
+        total = np.bincount(at, weights=np.concatenate([_loose(c, kind) for c in group["counts"]]), minlength=len(every)).astype("<i8")
         if n == 1:
             token = every != np.uint64(xxhash.xxh64_intdigest(START))
             types, tokens = int(np.count_nonzero(total[token])), int(total[token].sum())
@@ -200,7 +256,7 @@ def _answer(asked: DataFrame) -> DataFrame:
         parts = np.split(total[at], np.cumsum([len(k) for k in keys])[:-1])
         return pd.DataFrame({"block": group["block"], "n": n, "bucket": group["bucket"], "totals": [_squeezed(p) for p in parts], "types": [types] + [0] * (len(keys) - 1), "tokens": [tokens] + [0] * (len(keys) - 1)})
 
-    return asked.groupBy("n", "bucket").applyInPandas(summed, "block long, n int, bucket long, totals binary, types long, tokens long")
+    return asked.groupBy("n", "bucket").applyInPandas(summed, ANSWERED)
 
 
 def _totals(b: _Block, answers: pd.DataFrame) -> dict[int, np.ndarray]:
@@ -244,10 +300,10 @@ def _held_out_cells(blocks: DataFrame, answers: DataFrame, tokens: int, types: i
         p2 = np.where((two > 0) & (context > 0), two / np.maximum(context, 1), 0)
         p1 = np.maximum(one, 0) / max(tokens, 1)
         code = lambda p: np.where(p > 0, np.round(np.log(np.maximum(p, 1e-300)) * FINE), 1).astype(np.int64)
-        table = pd.DataFrame({"level": _level(context), "two": code(p2), "one": code(p1)})
+        table = pd.DataFrame({"level": _level(context), "two": code(p2), "one": code(p1)})[b.learn]
         return table.groupby(["level", "two", "one"]).size().reset_index(name="n")
 
-    cells_of = blocks.filter("held_out_part").groupBy("block").cogroup(answers.groupBy("block"))
+    cells_of = blocks.groupBy("block").cogroup(answers.groupBy("block"))
     found = cells_of.applyInPandas(cells, "level long, two long, one long, n long")
     return found.groupBy("level", "two", "one").agg(F.sum("n").alias("n"))
 
@@ -281,7 +337,7 @@ def learn_weights(cells: pd.DataFrame, types: int) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, divisor: int = 7, held_remainder: int = 2, block_tokens: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, divisor: int = 7, held_remainder: int = 2, block_tokens: int = BLOCK, fan: int = FAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The training rows are those whose crc32 of the id as text isn't
@@ -290,11 +346,16 @@ def score(docs: DataFrame, divisor: int = 7, held_remainder: int = 2, block_toke
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     blocks = stored(_blocks(docs, divisor, held_remainder, block_tokens), "lm-blocks")
-    bits = max(0, int(blocks.count()).bit_length() - 1)
-    answers = stored(_answer(_ask(blocks, bits)), "lm-counts")
+    number = blocks.count()
+    bits = max(0, min(number, fan).bit_length() - 1)
+    answers = stored(_answers(_ask(blocks, bits), number, bits, "<u4", fan), "lm-counts")
     size = answers.filter("n = 1").agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = int(size[0] or 0), int(size[1] or 0)
-    cells = _held_out_cells(blocks, answers, tokens, types).toPandas()  # bounded by the steps of the logs
+    part = blocks.filter("held_out_part")
+    of_part = answers.join(part.select("block"), "block", "left_semi")
+    cells = _held_out_cells(part, of_part, tokens, types).toPandas()  # bounded by the steps of the logs
+    if not len(cells):
+        cells = _held_out_cells(blocks, answers, tokens, types).toPandas()
     weights = learn_weights(cells, types) if len(cells) else np.tile([0.3, 0.6, 0.1], (LEVELS, 1))
 
     def scored(_, block: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
