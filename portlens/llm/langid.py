@@ -32,10 +32,12 @@ from pyspark.sql import functions as F
 from portlens.llm.common import doc_remainder, fresh_name, stored
 
 PER_LANGUAGE = 400  # labelled rows to learn from, a language
+ALL_ROWS = 25_600  # labelled rows of all languages: with more than 64 of them each has fewer; those beyond as many languages as rows, the rarest, are not learned
 SHARE = 8  # times as many ids of a language are ranked to find them
 LANDMARKS = 24  # of those, a language
-ALL_LANDMARKS = 1536  # of all languages; where these are many, each has fewer landmarks, but one at least
-CHUNK = 25_600  # rows whose features are held at once
+ALL_LANDMARKS = 1024  # of all languages: where these are many, each has fewer landmarks, the rarest none of their own
+MATRIX = 1 << 25  # landmark grams x landmarks at most: 128 MB
+CHUNK = 2048  # rows whose features are held at once
 RIDGE = 1e-2
 SHARPNESS = 4.0
 CLASSES = 64
@@ -112,11 +114,13 @@ def learn(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, unpack
     if not names:
         return None
     landmarks = max(1, min(landmarks, ALL_LANDMARKS // len(names)))
-    first: dict[str, list] = {name: [] for name in names}
+    first: dict[str, list] = {name: [] for name in sorted(names, key=lambda n: (-sizes[n], n))[:ALL_LANDMARKS]}
     for lang, s in rows:
-        if len(first[lang]) < landmarks:
+        if lang in first and len(first[lang]) < landmarks:
             first[lang].append(s)
-    marks = [unpack(s) for name in names for s in first[name]]
+    # the first landmark of each language, then the second: what the matrix has no room for is left out
+    marks = [unpack(first[name][k]) for k in range(landmarks) for name in first if k < len(first[name])]
+    marks = marks[: max(1, MATRIX // len(np.unique(np.concatenate(marks))))]
     known = np.unique(np.concatenate(marks))
     columns = np.full(GRAMS, -1, np.int32)
     columns[known] = np.arange(len(known))
@@ -145,30 +149,35 @@ def learn(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, unpack
     return Model(names, columns, shared, (white @ solved).astype(np.float32))
 
 
-def fit(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Learn from at most `per_language` rows of each language.
+def fit(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE, all_rows: int = ALL_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """Learn from at most `per_language` rows of each language and `all_rows` in all.
 
-    Rows are chosen by a hash of their id, before any text is read.
+    Rows with a text are chosen by a hash of their id. A repeated id counts once
+    in a language, with the text of the smallest hash, so a rerun learns alike.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    usable = d.filter(train & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    every = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids"))
-    every = stored(every, "languages")  # a row for each language
+    usable = d.filter(train & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    every = stored(usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids")), "languages")
+    languages = every.count()
+    if languages > all_rows:
+        every, languages = stored(every.orderBy(F.desc("ids"), "lang").limit(all_rows), "languages"), all_rows
+    each = max(1, min(per_language, all_rows // max(1, languages)))
     # the first rows by hash lie in the first share of its range: only that share moves, however long the table
     place = (F.xxhash64("doc_id").cast("double") + 2.0**63) / 2.0**64
-    usable_ids = usable.select("doc_id", "lang").join(F.broadcast(every), "lang").filter(place * F.col("ids") <= SHARE * per_language)
+    some = usable.select("doc_id", "lang").join(F.broadcast(every), "lang")  # at most `all_rows` languages
+    some = some.filter(place * F.col("ids") <= SHARE * each).select("doc_id", "lang").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable_ids.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
-    ids = ids.select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).distinct()  # at most per_language rows a language
+    ids = some.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= each)
+    ids = ids.select(F.col("doc_id").alias("id"), F.col("lang").alias("l"))  # at most `all_rows`
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = [(i, lang, zlib.compress(np.packbits(np.bincount(g, minlength=GRAMS).astype(bool)).tobytes(), 1)) for i, lang, t in zip(b["doc_id"], b["lang"], b["text"], strict=True) if len(g := grams(t))]
             yield pd.DataFrame(out, columns=["doc_id", "lang", "grams"])
 
-    chosen = usable.join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))).filter(F.col("text").isNotNull())
-    chosen = chosen.select("doc_id", "lang", "text").limit(per_language * every.count())
-    found = chosen.mapInPandas(sets, "doc_id long, lang string, grams binary").collect()
+    chosen = usable.join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l")))
+    chosen = chosen.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("s")).select("doc_id", "lang", "s.text")
+    found = chosen.mapInPandas(sets, "doc_id long, lang string, grams binary").collect()  # at most `all_rows`
     unpack = lambda raw: np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(raw), np.uint8), count=GRAMS))
     found = sorted(found, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["grams"]))
     return learn([(r["lang"], r["grams"]) for r in found], unpack=unpack)

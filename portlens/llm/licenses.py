@@ -34,8 +34,13 @@ COPYRIGHT_LINE = r"(?m)^[^\n]*(copyright +(\(c\)|©|[0-9]{4})|(\(c\)|©) *[0-9]{
 MARK = r"(copyright +(\(c\)|©|[0-9]{4})|(\(c\)|©) *[0-9]{4})"
 OPENING = r"(all rights reserved|permission (is hereby granted|to use)|redistribution and use|licen[sc]ed under|released under|everyone is permitted|this (software|work|program|library) is)"
 
-#: The clause alone: up to an opening, else to the end of its sentence or line.
-COPYRIGHT_CLAUSE = rf"{MARK}[^\n]{{0,1000}}?(?={OPENING})|{MARK}[^\n.]*\.?|all rights reserved\.?"
+#: Set before each opening, so that a text falls into pieces that end at an opening (with the seam) or at a line end.
+SEAM = "\x01"
+PIECE_END = r"(?<=[\n\x01])"
+
+#: The clause alone: up to the opening that ends its piece, else to the end of its sentence or line. Each piece is read once.
+CLAUSE_TO_OPENING = rf"(?s){MARK}.*|all rights reserved\.?"
+CLAUSE_OF_SENTENCE = rf"{MARK}[^\n.]*\.?|all rights reserved\.?"
 
 #: (pattern, replacement), applied in this order to lower-cased text.
 SPELLINGS = (
@@ -117,7 +122,10 @@ def cleaned(text: Column) -> Column:
 def clause_cleaned(text: Column) -> Column:
     """The same without the copyright clauses only; null for a text without any."""
     low = F.lower(text)
-    return F.when(low.rlike(COPYRIGHT_LINE), _one_spelling(F.regexp_replace(low, COPYRIGHT_CLAUSE, "")))
+    seamed = F.regexp_replace(F.translate(low, SEAM, " "), OPENING, f"{SEAM}$0")
+    without = lambda p: F.when(p.endswith(SEAM), F.regexp_replace(p, CLAUSE_TO_OPENING, "")).otherwise(F.regexp_replace(p, CLAUSE_OF_SENTENCE, ""))
+    left = F.array_join(F.transform(F.split(seamed, PIECE_END), without), "")
+    return F.when(low.rlike(COPYRIGHT_LINE), _one_spelling(F.translate(left, SEAM, "")))
 
 
 def words_only(text: Column) -> Column:

@@ -9,9 +9,10 @@ the insult or threat it lets pass:
 * reported speech: lowers what follows a verb of speech or a quotation mark,
 * threat: lets a threat pass only near a target.
 
-`compose` joins them into one deterministic table of states; a clause's weight
-is the sum of its insults' and threats' weights times the weights on the arcs
-they take. Clauses end at `. ! ? ; :` and line ends. A text is scored by its
+`compose` joins transducers into one deterministic table of states: those of
+targets, read in both directions, and those of negation and report, read in
+order. A clause's weight is the sum of its insults' and threats' weights times
+the weights on the arcs they take. Clauses end at `. ! ? ; :` and line ends. A text is scored by its
 matched clauses (their sum, the strongest, how many different words matched and
 the share of clauses that matched) with a logistic curve.
 
@@ -41,7 +42,6 @@ from portlens.llm.common import doc_remainder
 
 SAMPLE_TOXIC = 6000  # labelled rows to learn from
 SAMPLE_CLEAN = 12000
-LEXICON = 5000  # insults kept, the heaviest
 MIN_DOCS, MIN_SHARE = 3, 0.005  # toxic rows that must hold an insult
 SURE, MIN_BOUND = 1.5, 2.0
 STEMS = range(3, 9)  # letters of a stem
@@ -50,7 +50,13 @@ THREAT_WEIGHT = 3.0
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 SYMBOLS = 6
-THREATS = "kill hurt destroy murder stab shoot burn beat strangle tuer töten umbringen matar".split()
+#: Fixed words; a threat counts near a target only.
+THREATS = """
+kill killed hurt harm destroy murder stab shoot burn beat strangle choke poison drown hang lynch maim torture slaughter butcher cripple smash crush punch slap whip behead bury bomb attack assault execute suffocate
+tuer tuerai tuerons frapper brûler étrangler empoisonner massacrer égorger poignarder abattre détruire torturer noyer écraser
+töten umbringen ermorden verbrennen erwürgen vergiften erstechen erschießen vernichten foltern verprügeln schlagen abschlachten zerstören
+matar mataré quemar golpear estrangular envenenar apuñalar disparar destruir torturar degollar ahogar aplastar
+""".split()
 TARGETS = "you your yours yourself u he she him her they them their people everyone tu toi vous ton ta ils elle du dich dir euch sie er ihr tú vosotros usted ellos ella".split()
 NEGATIONS = "not no never nor neither without isn't aren't wasn't don't doesn't pas jamais ni sans nicht kein keine nie niemals weder nunca jamás sin tampoco".split()
 REPORTS = 'said says say wrote writes called calls quoted quote reported claims " “ ” « » „ dit écrit appelé sagte schrieb nannte dijo escribió llamó'.split()
@@ -113,7 +119,7 @@ class Grammar:
     """The composed table with a lexicon of insults."""
 
     def __init__(self, insults: dict[str, float]):
-        self.nexts, self.weights = compose(GRAMMAR)
+        self.aimed, self.lowered = compose(GRAMMAR[:2]), compose(GRAMMAR[2:])
         self.insults = insults
         self.seen: dict[str, tuple[int, float]] = {}
 
@@ -132,20 +138,20 @@ class Grammar:
             self.seen[word] = known
         return known
 
-    def weigh(self, read: list[tuple[int, float]]) -> float:
-        state, total = 0, 0.0
-        for symbol, weight in read:
-            if weight:
-                total += weight * self.weights[state][symbol]
-            state = self.nexts[state][symbol]
-        return total
+    def weights_at(self, table: tuple, read: list[tuple[int, float]]) -> list[float]:
+        """The table's weight on each symbol, read in order."""
+        nexts, weights = table
+        state, out = 0, []
+        for symbol, _ in read:
+            out.append(weights[state][symbol])
+            state = nexts[state][symbol]
+        return out
 
     def clause(self, read: list[tuple[int, float]]) -> float:
-        """A clause's weight. Targets act on both sides: the heavier reading counts."""
-        forward = self.weigh(read)
-        if any(symbol in (NEGATION, REPORT) for symbol, _ in read):
-            return forward  # these act to the right only
-        return max(forward, self.weigh(read[::-1]))
+        """A clause's weight. Targets act on both sides, the nearer one counts; negation and report act to the right."""
+        right, left = self.weights_at(self.aimed, read), self.weights_at(self.aimed, read[::-1])[::-1]
+        held = self.weights_at(self.lowered, read)
+        return sum(w * max(x, y) * z for (_, w), x, y, z in zip(read, right, left, held, strict=True) if w)
 
     def features(self, text: str | None) -> tuple[float, ...]:
         """Of one whole text: log of 1 + the matched clauses' sum, the strongest clause, log of 1 + different words, log of 1 + percent of clauses."""
@@ -171,13 +177,14 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
-    """(text, toxic): at most SAMPLE_TOXIC and SAMPLE_CLEAN rows with different texts."""
+    """(text, label): at most SAMPLE_TOXIC and SAMPLE_CLEAN rows with different texts; of a repeated id the text of the smallest hash."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & train)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda toxic, n: known.filter((F.col("toxic") == 1) if toxic else (F.col("toxic") != 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     ids = pick(True, SAMPLE_TOXIC).unionByName(pick(False, SAMPLE_CLEAN)).select(F.col("doc_id").alias("id"), (F.col("toxic") == 1).cast("int").alias("label"))
     rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id"))  # ids: bounded by the two parameters
-    return rows.filter(F.col("text").isNotNull()).groupBy("text").agg(F.max("label").alias("label"))
+    rows = rows.filter(F.col("text").isNotNull()).groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("s"), F.max("label").alias("label"))
+    return rows.groupBy(F.col("s.text").alias("text")).agg(F.max("label").alias("label"))
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
@@ -213,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
         bound = F.col("w") - SURE * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
         heavy = seen.withColumn("w", weight).filter((F.col("t") >= max(MIN_DOCS, MIN_SHARE * toxic)) & (bound >= MIN_BOUND))
-        kept = [r for r in heavy.orderBy(F.desc("w"), "word").limit(LEXICON).collect() if r["word"] not in FIXED]
+        kept = [r for r in heavy.orderBy(F.desc("w"), "word").collect() if r["word"] not in FIXED]  # words of the sample, each in several toxic rows
         # a stem of one word only says nothing about other words
         alone = {(r["word"][:n] + "*", r["t"], r["c"]) for r in kept if not r["word"].endswith("*") for n in STEMS}
         insults = {r["word"]: float(r["w"]) for r in kept if (r["word"], r["t"], r["c"]) not in alone}
@@ -225,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _features(docs: DataFrame, text: Column, insults: dict[str, float]) -> Column:
-    shared = docs.sparkSession.sparkContext.broadcast(insults)  # at most LEXICON words
+    shared = docs.sparkSession.sparkContext.broadcast(insults)  # words of the bounded sample
 
     @F.pandas_udf(", ".join(f"{f} double" for f in FEATURES))
     def matched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
