@@ -6,7 +6,7 @@ choices are parameters; defaults are in ``portlens.config``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -66,6 +66,27 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+EXPORT_FILE_BYTES = 256 << 20
+EXPORT_FILE_ROWS = 1_000_000
+
+
+def export_sorted(rows: DataFrame, path: str, order: list[Column], file_format: str = "csv",
+                  file_bytes: int = EXPORT_FILE_BYTES, file_rows: int = EXPORT_FILE_ROWS) -> None:
+    """Write ``rows`` so that reading the files by name gives ``order``.
+
+    The number of ranges follows the plan's size estimate; a range that turns out
+    larger goes on in further files of at most ``file_rows`` rows, whose names
+    follow in order. No task sorts more than a range.
+    """
+    estimate = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    ranges = max(1, min(-(-estimate // file_bytes), 100_000))
+    out = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    writer = out.write.mode("overwrite").option("maxRecordsPerFile", file_rows)
+    if file_format == "csv":
+        writer = writer.option("header", True)
+    writer.format(file_format).save(path)
+
+
 def org_selector(org_scores: DataFrame) -> DataFrame:
     """Organisation names for a picker (org is the rollup's group key, so
     already distinct: no extra shuffle)."""
@@ -128,6 +149,47 @@ def geo_grid(scans: DataFrame, cell: float = C.GEO_CELL_DEGREES) -> DataFrame:
     )
 
 
+GEO_LEVELS = 8
+
+
+def geo_levels(scans: DataFrame, levels: int = GEO_LEVELS) -> DataFrame:
+    """Marker clusters for each zoom from 0 (one cell) to ``levels`` (2 ** levels columns and rows).
+
+    The scans are read and shuffled once, into cells of the finest level; all
+    other levels are rolled up from those cells, by prefixes of their key.
+    ``quadkey`` has a digit a level: twice the row's bit and the column's bit.
+    """
+    side = 1 << levels
+
+    def place(degrees: Column, span: float) -> Column:
+        at = F.floor((degrees + F.lit(span / 2)) / F.lit(span) * F.lit(side)).cast("long")
+        return F.least(F.greatest(at, F.lit(0)), F.lit(side - 1))
+
+    risk = F.col("ip_risk_score")
+    finest = (
+        scans.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+        .groupBy(place(F.col("longitude"), 360.0).alias("x"), place(F.col("latitude"), 180.0).alias("y"))
+        .agg(F.count(F.lit(1)).alias("n"), F.max(risk).alias("top"), F.sum(risk).alias("total"), F.count(risk).alias("scored"))
+    )
+    zoomed = finest.withColumn("zoom", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    up = lambda c: F.call_function("shiftright", F.col(c), F.lit(levels) - F.col("zoom")).alias(c)
+    cells = zoomed.select("zoom", up("x"), up("y"), "n", "top", "total", "scored").groupBy("zoom", "x", "y").agg(
+        F.sum("n").alias("n_services"), F.max("top").alias("max_risk_score"),
+        F.try_divide(F.sum("total"), F.sum("scored")).alias("avg_risk_score"))
+    bit = lambda c, i: F.call_function("shiftright", F.col(c), F.col("zoom") - i) % 2
+    digits = F.transform(F.sequence(F.lit(1), F.col("zoom")), lambda i: (2 * bit("y", i) + bit("x", i)).cast("string"))
+    key = F.when(F.col("zoom") > 0, F.array_join(digits, "")).otherwise(F.lit(""))
+    return cells.select("zoom", key.alias("quadkey"), "n_services", "max_risk_score", "avg_risk_score",
+                        risk_band(F.col("max_risk_score")).alias("risk_band"))
+
+
+def ip_services(scans: DataFrame, ips: list[str]) -> DataFrame:
+    """Services of some IPs. The equality on ``ip_str`` reaches the Parquet reader,
+    where the column's Bloom filters (`write_scans`) skip row groups without them."""
+    return scans.where(F.col("ip_str").isin(ips)).select(
+        "ip_str", "port", "transport", "org", "product", "version", "ip_risk_score")
+
+
 def cloud_segments(scans: DataFrame) -> DataFrame:
     """Cloud vs on-premises segmentation of scored services."""
     segment = F.coalesce(F.col("cloud_provider"), F.lit("on-prem"))

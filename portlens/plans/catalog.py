@@ -24,8 +24,8 @@ from ..schema import pitch_schema, vulns_schema
 from ..session import scratch_path
 from ..sources.banners import banner_lines, driver_banner_lines, load_driver_tables, spread
 from ..sources.ndjson import parse_ndjson, read_ndjson, write_ndjson, write_ndjson_zst
-from ..sources.parquet import publish, read_optional, read_table, register_views, write_table
-from . import incremental, tables
+from ..sources.parquet import publish, read_optional, read_table, read_widened, register_views, write_table
+from . import colocated, incremental, tables
 from .etl import run_etl, scored_scans
 from .refresh import ensure_table, keyed_upsert, refresh_org_scores
 from .serving import serve
@@ -423,6 +423,55 @@ def q_catalog_pitches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).select("org", "pitch_text", stamped.alias("stamped"))
 
 
+def q_scored_scans_colocated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relational score over two tables bucketed by its join key."""
+    database = _database(spark, "colocated")
+    colocated.write_colocated(spark, database, _deduped(spark, sf_dir), buckets=8)
+    return _no_map(colocated.score_colocated(spark, database))
+
+
+def q_etl_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the batch job counted while it wrote."""
+    out = run_etl(spark, None, scratch_path(spark, "metrics"), lines=driver_banner_lines(spark, sf_dir))
+    return spark.range(1).select(*[F.lit(n).cast("long").alias(name) for name, n in out.metrics.items()])
+
+
+def q_geo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prospects.geo_levels(_scans(spark, sf_dir))
+
+
+LOOKUP_IPS = ["10.0.0.8", "10.1.1.1", "10.2.2.50", "10.3.3.999999", "none"]
+
+
+def q_ip_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Services of a few IPs out of the written `scans`."""
+    out = run_etl(spark, None, scratch_path(spark, "lookup"), lines=driver_banner_lines(spark, sf_dir))
+    return prospects.ip_services(read_table(spark, out.scans_path, merge_schema=False), LOOKUP_IPS)
+
+
+def q_export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prospects of one country exported as sorted CSV and read back with their types."""
+    path = scratch_path(spark, "export")
+    chosen = prospects.prospect_filter(_org_scores(spark, sf_dir), country="FRANCE")
+    rows = prospects.export_view(chosen)
+    order = [F.col("combined_risk_score").desc(), F.col("org").asc()]
+    prospects.export_sorted(rows, path, order, file_rows=100)
+    return spark.read.schema(rows.schema).option("header", True).csv(path)
+
+
+def q_schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of scans: the older one with narrower ports, scores as text and without two columns."""
+    scans = _no_map(_scans(spark, sf_dir))
+    old = F.coalesce(F.col("timestamp") < F.expr(f"TIMESTAMP '{SNAPSHOT_CUTOFF}'"), F.lit(False))
+    path = scratch_path(spark, "drift")
+    older = scans.where(old).drop("http_title", "isp").withColumns(
+        {"port": F.col("port").cast("long"), "ip_risk_score": F.col("ip_risk_score").cast("int"),
+         "score_base": F.col("score_base").cast("string"), "latitude": F.col("latitude").cast("float")})
+    write_table(older, f"{path}/old")
+    write_table(scans.where(~old), f"{path}/new")
+    return read_widened(spark, [f"{path}/old", f"{path}/new"])
+
+
 QUERIES: dict[str, Query] = {
     "ingest_count": q_ingest_count,
     "flatten": q_flatten,
@@ -470,4 +519,10 @@ QUERIES: dict[str, Query] = {
     "quarantined_scans": q_quarantined_scans,
     "catalog_org_scores": q_catalog_org_scores,
     "catalog_pitches": q_catalog_pitches,
+    "scored_scans_colocated": q_scored_scans_colocated,
+    "etl_metrics": q_etl_metrics,
+    "geo_levels": q_geo_levels,
+    "ip_lookup": q_ip_lookup,
+    "export_csv": q_export_csv,
+    "schema_drift": q_schema_drift,
 }

@@ -16,15 +16,15 @@ and both outputs always agree.
 from __future__ import annotations
 
 from contextlib import ExitStack
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_OPTIONS, Options
 from ..operators.score import score_fused, score_relational
 from ..operators.transform import explode_vulns, flatten, latest_per_key
-from ..session import exchange_width, scratch_folder, widened_exchange
+from ..session import exchange_width, observed, scratch_folder, widened_exchange
 from ..sources.ndjson import REJECTED, accepted, input_bytes, parse_checked, parse_ndjson, read_lines, rejected_lines
 from ..sources.parquet import write_scans, write_table
 
@@ -44,6 +44,7 @@ class EtlResult:
     scans_path: str
     vulns_path: str
     rejected_path: str | None = None
+    metrics: dict[str, int] = field(default_factory=dict)
 
 
 def run_etl(
@@ -68,6 +69,10 @@ def run_etl(
     task is recomputed from lineage by Spark's task retry, and the second
     output reads the first from storage.
 
+    ``metrics`` of the result are counted while `scans` is written, without a
+    job of their own (a map task that runs again after a lost executor is
+    counted again).
+
     With ``quarantine`` lines that hold no record and records with a field of
     another type are also kept with their text in ``<root>/rejected``; the parse
     is then stored once, the rows to be rejected apart, and read by both outputs.
@@ -89,8 +94,16 @@ def run_etl(
             banners = accepted(parsed.drop("_bad"), options.malformed_as_null_row)
         else:
             banners = parse_ndjson(lines)
-        scored = scored_scans(banners, options)
+        parsed_, scored_ = Observation("parsed"), Observation("scored")
+        no_key = F.col("ip_str").isNull() | F.col("port").isNull()
+        banners = banners.observe(parsed_, F.count(F.lit(1)).alias("n_banners"), F.count_if(no_key).alias("n_without_key"))
+        scored = scored_scans(banners, options).observe(
+            scored_, F.count(F.lit(1)).alias("n_scans"), F.count_if("is_excluded").alias("n_excluded"),
+            F.count_if(F.col("is_excluded").isNull()).alias("n_exclusion_unknown"),
+            F.coalesce(F.sum(F.greatest(F.size("vulns"), F.lit(0))), F.lit(0)).cast("long").alias("n_cves"))
         write_scans(scored, result.scans_path, options, partitions=output_partitions)
+        none = dict.fromkeys(("n_banners", "n_without_key"), 0), dict.fromkeys(("n_scans", "n_excluded", "n_exclusion_unknown", "n_cves"), 0)
+        result.metrics = observed(parsed_, none[0]) | observed(scored_, none[1])
     # our own output, one known schema, also where there is no row and so no file
     scans = spark.read.schema(scored.schema).parquet(result.scans_path).select("ip_str", "port", "org", "vulns")
     write_table(explode_vulns(scans), result.vulns_path)

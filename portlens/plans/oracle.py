@@ -373,4 +373,36 @@ ORACLE_SQL: dict[str, str] = {
            SELECT org, fallback_text, TRUE FROM p_texts
            WHERE org NOT IN (SELECT t.org FROM texts t JOIN org_scores o ON t.org = o.org WHERE o.combined_risk_score >= 70)""",
         *_outreach_ctes(), chain("p_", _EARLIER), *_outreach_ctes("p_")),
+    "scored_scans_colocated": _q("SELECT * FROM scans"),
+    "etl_metrics": _q("""
+        SELECT (SELECT COUNT(*) FROM flat) AS n_banners,
+               (SELECT COUNT(*) FROM flat WHERE ip_str IS NULL OR port IS NULL) AS n_without_key,
+               COUNT(*) AS n_scans, COUNT(*) FILTER (WHERE is_excluded) AS n_excluded,
+               COUNT(*) FILTER (WHERE is_excluded IS NULL) AS n_exclusion_unknown,
+               (SELECT COUNT(*) FROM vulns) AS n_cves
+        FROM scans"""),
+    "geo_levels": _q(f"""
+        SELECT zoom, quadkey, n_services, max_risk_score, avg_risk_score, {_band('max_risk_score')} AS risk_band
+        FROM (
+          SELECT CAST(z AS INTEGER) AS zoom,
+                 array_to_string(list_transform(range(1, z + 1), lambda i:
+                   CAST(2 * ((CAST(floor((latitude + 90) / 180 * 2 ** z) AS BIGINT) >> CAST(z - i AS INTEGER)) & 1)
+                        + ((CAST(floor((longitude + 180) / 360 * 2 ** z) AS BIGINT) >> CAST(z - i AS INTEGER)) & 1) AS VARCHAR)), '') AS quadkey,
+                 COUNT(*) AS n_services, MAX(ip_risk_score) AS max_risk_score, AVG(ip_risk_score) AS avg_risk_score
+          FROM scans, range(0, 9) AS zooms(z)
+          WHERE latitude IS NOT NULL AND longitude IS NOT NULL
+          GROUP BY 1, 2)"""),
+    "ip_lookup": _q("""
+        SELECT ip_str, port, transport, org, product, version, ip_risk_score FROM scans
+        WHERE ip_str IN ('10.0.0.8', '10.1.1.1', '10.2.2.50', '10.3.3.999999', 'none')"""),
+    "export_csv": _q("""
+        SELECT org, total_ips, total_open_ports, max_risk_score, avg_risk_score,
+               array_to_string(list_transform(countries, lambda x: COALESCE(x, 'unknown')), ';') AS countries,
+               combined_risk_score
+        FROM org_scores WHERE list_contains(countries, 'FRANCE')"""),
+    "schema_drift": _q(f"""
+        SELECT * REPLACE (CAST(port AS BIGINT) AS port, CAST(score_base AS VARCHAR) AS score_base,
+          CASE WHEN COALESCE("timestamp" < TIMESTAMP '{CUTOFF}', FALSE) THEN NULL ELSE http_title END AS http_title,
+          CASE WHEN COALESCE("timestamp" < TIMESTAMP '{CUTOFF}', FALSE) THEN NULL ELSE isp END AS isp)
+        FROM scans"""),
 }

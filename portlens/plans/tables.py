@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
+from ..session import observed
 from .refresh import one_per_key, upsert_merge
 
 KEY_PROPERTY = "portlens.key"
@@ -145,7 +146,7 @@ def overwrite_partitions(rows: DataFrame, name: str, partition: str, values: set
     out = rows.select(*spark.table(name).columns).observe(seen, parts.alias("parts"))
     with _only_written_partitions(spark):
         out.write.mode("overwrite").insertInto(name)
-    written = {None if v == absent else v for v in seen.get["parts"] or []}
+    written = {None if v == absent else v for v in observed(seen, {"parts": []})["parts"] or []}
     for value in values - written:
         spec = "NULL" if value is None else f"'{_text(value)}'"
         spark.sql(f"ALTER TABLE {_quoted(name)} DROP IF EXISTS PARTITION ({_quoted(partition)} = {spec})")

@@ -12,7 +12,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Observation, SparkSession
 
 # Settings the engine relies on. Parquet partition values stay strings so a
 # country code such as "01" is not turned into an integer on read-back.
@@ -133,3 +134,13 @@ def scratch_folder(spark: SparkSession, label: str) -> Iterator[str]:
     finally:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def observed(observation: Observation, if_empty: dict) -> dict:
+    """The observed values, ``if_empty`` where the optimizer took the observed rows for none and left them out of the plan."""
+    try:
+        return observation.get
+    except Py4JJavaError as error:
+        if "AssertionError" not in str(error.java_exception):
+            raise
+        return if_empty

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, NullType, StringType, StructField, StructType, TimestampType
 
 from ..config import DEFAULT_OPTIONS, UNKNOWN_COUNTRY, Options
 
@@ -85,6 +86,57 @@ def read_optional(spark: SparkSession, path: str, schema: StructType, merge_sche
         raise
 
 
+#: Number types from narrow to wide. Of two that differ the wider one is taken.
+_WIDTH = {t: i for i, t in enumerate(("tinyint", "smallint", "int", "bigint", "float", "double"))}
+
+
+def _widened(a: DataType, b: DataType) -> DataType:
+    """A type that holds the values of both: the wider number, a timestamp for a date, else text."""
+    if a == b or isinstance(b, NullType):
+        return a
+    if isinstance(a, NullType):
+        return b
+    if isinstance(a, StructType) and isinstance(b, StructType):
+        return _reconciled([a, b])
+    if isinstance(a, ArrayType) and isinstance(b, ArrayType):
+        return ArrayType(_widened(a.elementType, b.elementType))
+    names = {a.simpleString(), b.simpleString()}
+    if names <= set(_WIDTH):
+        # a float or an int of 32 bits doesn't hold the other's values, nor does a float a bigint's
+        wide = max(names, key=_WIDTH.get)
+        return DoubleType() if wide == "float" and names & {"int", "bigint"} else a if a.simpleString() == wide else b
+    if names == {"date", "timestamp"}:
+        return TimestampType()
+    return StringType()
+
+
+def _reconciled(schemas: list[StructType]) -> StructType:
+    """All columns by name, in the order in which they first come, each wide enough for every schema."""
+    types: dict[str, DataType] = {}
+    for schema in schemas:
+        for f in schema:
+            types[f.name] = _widened(types[f.name], f.dataType) if f.name in types else f.dataType
+    return StructType([StructField(name, t) for name, t in types.items()])
+
+
+def read_widened(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The union by name of folders (batches) whose columns differ, also in type.
+
+    One folder has one schema, read from its footers. Each folder's columns are
+    cast to the reconciled types where it is read, and columns it lacks are NULL;
+    filters still reach its files.
+    """
+    parts = [spark.read.parquet(p) for p in paths]
+    schema = _reconciled([p.schema for p in parts])
+
+    def conformed(part: DataFrame) -> DataFrame:
+        own = set(part.columns)
+        columns = [(F.col(f"`{f.name}`") if f.name in own else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+        return part.select(*columns)
+
+    return reduce(DataFrame.unionByName, map(conformed, parts))
+
+
 def register_views(spark: SparkSession, frames: dict[str, DataFrame]) -> None:
     """(Re)register temp views; an older view or temp table of the same name is replaced."""
     for name, df in frames.items():
@@ -96,10 +148,14 @@ def register_views(spark: SparkSession, frames: dict[str, DataFrame]) -> None:
 
 
 def write_table(df: DataFrame, path: str, partition_by: str | list[str] | None = None,
-                max_records_per_file: int | None = None) -> None:
+                max_records_per_file: int | None = None, lookup_columns: tuple[str, ...] = ()) -> None:
     """Overwrite a Parquet directory (Snappy). Overwrite already removes the
-    old content, so no separate delete step."""
+    old content, so no separate delete step. ``lookup_columns`` get a Bloom
+    filter a row group, as large as its distinct values need."""
     writer = df.write.mode("overwrite").option("compression", "snappy")
+    for column in lookup_columns:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(
+            f"parquet.bloom.filter.adaptive.enabled#{column}", "true")
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
     if partition_by:
@@ -133,7 +189,7 @@ def write_scans(scored: DataFrame, path: str, options: Options = DEFAULT_OPTIONS
     filled = with_country_partition(scored, options)
     hint = ("rebalance", partitions, "country_code") if partitions else ("rebalance", "country_code")
     out = filled.hint(*hint).sortWithinPartitions("country_code", "org", "ip_str", "port")
-    write_table(out, path, partition_by="country_code", max_records_per_file=max_records_per_file)
+    write_table(out, path, partition_by="country_code", max_records_per_file=max_records_per_file, lookup_columns=("ip_str",))
 
 
 def publish(spark: SparkSession, source_root: str, target_root: str,

@@ -132,3 +132,12 @@ def test_only_touched_partitions_are_read(spark, database):
     assert "PartitionFilters: [" in plan and "country_code" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert {r[0] for r in chosen.select("country_code").distinct().collect()} == {"US", None}
     assert tables.in_partitions(scans, "country_code", set()).count() == 0
+
+
+def test_a_batch_without_cves(spark, database):
+    plain = [x for x in FIRST if "vulns" not in x]
+    incremental.load_batch(spark, database, _banners(spark, plain))
+    assert incremental.current_vulns(spark, database).count() == 0
+    incremental.load_batch(spark, database, _banners(spark, FIRST))
+    incremental.load_batch(spark, database, _banners(spark, [banner(99, "1.0.0.5", 80, "IT", "Delta", day=9)]))
+    _same_as_rebuild(spark, database, FIRST + [banner(99, "1.0.0.5", 80, "IT", "Delta", day=9)])
