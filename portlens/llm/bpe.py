@@ -167,7 +167,7 @@ class Codec:
     gives those values in order.
     """
 
-    def __init__(self, vocabulary: bytes, keep: Callable[[list[int]], object]):
+    def __init__(self, vocabulary: bytes, keep: Callable[[list[int]], object], cache_words: int = CACHE_WORDS):
         spec = json.loads(vocabulary)
         pre = spec["pre_tokenizer"]
         if spec["model"]["type"] != "BPE" or spec["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"]:
@@ -189,7 +189,7 @@ class Codec:
                 cache.before = before
 
             def __missing__(cache, chunk):  # noqa: N805
-                if len(cache) >= CACHE_WORDS:
+                if len(cache) >= cache_words:
                     cache.clear()
                 cache[chunk] = value = self.keep(self.encode_words(cache.before + chunk))
                 return value
@@ -237,10 +237,6 @@ def as_text(ids: list[int]) -> str:
     return ",".join(map(str, ids))
 
 
-def as_uint16(ids: list[int]) -> bytes:
-    return np.array(ids, "<u2").tobytes()
-
-
 def as_uint32(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 

@@ -44,6 +44,7 @@ CAPACITY = 1024
 TOLERANCE = 0.002
 COLUMNS = 1
 SALTS = 64
+CACHE_WORDS = 1 << 16  # entries of a task's word cache, which is emptied when full
 
 
 def knapsack(value: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -175,13 +176,14 @@ class _Encoder:
     """Ids of whole texts as uint32 bytes: words through a cache, unknown ones through the merges' ranks."""
 
     def __init__(self, vocabulary: bytes):
-        self.coder = bpe.codec(vocabulary, bpe.as_uint32)
+        self.coder = bpe.Codec(vocabulary, bpe.as_uint32, CACHE_WORDS)
         labels = self.coder.automaton.labels
         ranks = tiktoken.Encoding("packing", pat_str=bpe.SPLIT, mergeable_ranks=labels, special_tokens={})
         made = self.coder.automaton.made
         merged = [made[i] for i in sorted(labels.values()) if made[i]]
         if merged == sorted(merged):  # ids in the order of the merges, as ranks have to be
             self.coder.encode_words = ranks.encode_ordinary
+            self.coder.automaton = self.coder.label_of = None  # not needed any more: a worker's memory
 
     def __call__(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(self.coder.encode_chunks(text or "")), "<u4")
