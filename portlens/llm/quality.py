@@ -163,3 +163,35 @@ def keep_good(docs: DataFrame, policy: str = PRODUCTION, text_col: str = "text")
     rows = docs.withColumn(name, _measures(F.col(text_col)))
     bits = failure_bits(name)
     return rows.filter(passes("base", bits) & passes(policy, bits)).drop(name)
+
+
+def ablation_sql(docs: str = "documents") -> str:
+    """DuckDB SQL for `ablation` over the whole of `docs`, from the texts."""
+    word, blank = r"'[\x20\x09-\x0D]+'", r"'[\x20\x09-\x0D]'"
+    rules = ", ".join(f"({rule})::INT AS {name}" for name, rule in RULES.items())
+    cells = ", ".join(f"('{policy}', '{name}')" for policy, names in POLICIES.items() for name in names)
+    failed = " ".join(f"WHEN '{name}' THEN {name}" for name in RULES)
+    together = " ".join(f"WHEN '{policy}' THEN {' + '.join(names)}" for policy, names in POLICIES.items())
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS t FROM {docs}),
+split AS (
+  SELECT r, t, list_filter(string_split_regex(t, {word}), lambda x: x <> '') AS words,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, {blank}, '', 'g') <> '') AS lines
+  FROM texts),
+windows AS (
+  SELECT r, i, array_to_string(list_slice(words, i, i + {WINDOW - 1}), ' ') AS w
+  FROM (SELECT r, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM split)),
+again AS (SELECT r, w FROM windows GROUP BY r, w HAVING count(*) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM windows JOIN again USING (r, w), range(0, {WINDOW}) AS o(k) GROUP BY r),
+measured AS (
+  SELECT r, len(words) AS n_words, length(regexp_replace(t, {blank}, '', 'g')) AS word_chars,
+    length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines, len(list_distinct(words)) AS n_distinct_words
+  FROM split LEFT JOIN covered USING (r)),
+failures AS (SELECT {rules} FROM measured),
+cells(policy, rule) AS (VALUES {cells}),
+seen AS (SELECT policy, rule, CASE rule {failed} END AS fails, CASE policy {together} END AS of_policy FROM failures, cells)
+SELECT policy, rule, sum(fails)::BIGINT AS fails, count(*) FILTER (fails = 1 AND of_policy = 1) AS only_this_rule,
+  count(*) FILTER (of_policy > 0) AS rejected, count(*) AS documents
+FROM seen GROUP BY policy, rule
+"""

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portlens.llm import ann, bpe, interaction, langid, licenses, linededup, lm, packing, quality, simhash, toxicity, urls, whitening
-from portlens.llm.common import read_table
+from portlens.llm.common import read_table, stored
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -17,6 +17,11 @@ def op1_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, alone and together: the ledger is stored once and counted by its bits."""
+    return quality.ablation(stored(quality.ledger(read_table(spark, sf_dir, "documents")), "ledger"))
+
+
 def op2_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
@@ -75,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ledger, op2_license_digests, op3_bpe_automaton, op4_packing, op5_simhash_near_dedup, op6_line_dedup, op7_cross_polytope_ann, op8_language_id, op9_toxicity, op10_lm_score, op11_whitening, op12_filter_audit, op13_url_filters, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_ledger, op2_license_digests, op3_bpe_automaton, op4_packing, op5_simhash_near_dedup, op6_line_dedup, op7_cross_polytope_ann, op8_language_id, op9_toxicity, op10_lm_score, op11_whitening, op12_filter_audit, op13_url_filters, pipeline, quality_ablation)}
 
 #: DuckDB SQL where SQL expresses the operator over whole tables.
-ORACLE_SQL = {"op2_license_digests": licenses.scan_sql(), "op12_filter_audit": interaction.audit_sql(), "op13_url_filters": urls.judge_sql()}
+ORACLE_SQL = {"quality_ablation": quality.ablation_sql(), "op2_license_digests": licenses.scan_sql(), "op12_filter_audit": interaction.audit_sql(), "op13_url_filters": urls.judge_sql()}
