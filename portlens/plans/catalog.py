@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from ..sources.parquet import publish, read_optional, read_table, read_widened,
 from . import colocated, incremental, tables
 from .etl import run_etl, scored_scans
 from .refresh import ensure_table, keyed_upsert, refresh_org_scores
+from .serving import publish as publish_tables
 from .serving import serve
 
 # Event-time split used by the incremental queries: events before the cutoff
@@ -423,6 +425,16 @@ def q_catalog_pitches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).select("org", "pitch_text", stamped.alias("stamped"))
 
 
+def q_publish_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the three tables published to another database, over older ones."""
+    source, target = _database(spark, "source"), _database(spark, "target")
+    for lines in (_snapshot_lines(spark, sf_dir, earlier=True), driver_banner_lines(spark, sf_dir)):
+        _served(spark, lines, source)
+        names = publish_tables(spark, source, target)
+    counts = [spark.table(f"{target}.{n}").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("name"), "n_rows") for n in names]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def q_scored_scans_colocated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The relational score over two tables bucketed by its join key."""
     database = _database(spark, "colocated")
@@ -519,6 +531,7 @@ QUERIES: dict[str, Query] = {
     "quarantined_scans": q_quarantined_scans,
     "catalog_org_scores": q_catalog_org_scores,
     "catalog_pitches": q_catalog_pitches,
+    "publish_together": q_publish_together,
     "scored_scans_colocated": q_scored_scans_colocated,
     "etl_metrics": q_etl_metrics,
     "geo_levels": q_geo_levels,

@@ -373,6 +373,10 @@ ORACLE_SQL: dict[str, str] = {
            SELECT org, fallback_text, TRUE FROM p_texts
            WHERE org NOT IN (SELECT t.org FROM texts t JOIN org_scores o ON t.org = o.org WHERE o.combined_risk_score >= 70)""",
         *_outreach_ctes(), chain("p_", _EARLIER), *_outreach_ctes("p_")),
+    "publish_together": _q("""
+        SELECT 'scans' AS name, COUNT(*) AS n_rows FROM scans UNION ALL
+        SELECT 'vulns', COUNT(*) FROM vulns UNION ALL
+        SELECT 'org_scores', COUNT(*) FROM org_scores"""),
     "scored_scans_colocated": _q("SELECT * FROM scans"),
     "etl_metrics": _q("""
         SELECT (SELECT COUNT(*) FROM flat) AS n_banners,

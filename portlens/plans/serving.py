@@ -17,7 +17,9 @@ from ..config import DEFAULT_OPTIONS, REFRESH_METADATA_KEY, ROLLUP_TTL_SECONDS,
 from ..operators.rollup import org_scores
 from ..schema import metadata_schema, pitch_schema, vulns_schema
 from .refresh import stamp_age_seconds, table_exists
-from .tables import create_if_absent, create_table_as, drop_any, ensure_database, upsert, view_over
+from .tables import create_if_absent, create_table_as, create_tables_as, drop_any, ensure_database, upsert, view_over
+
+PUBLISHED = ("scans", "vulns", "org_scores")
 
 
 def serve(spark: SparkSession, root: str, database: str, ttl_s: float = ROLLUP_TTL_SECONDS, force: bool = False,
@@ -53,3 +55,16 @@ def serve(spark: SparkSession, root: str, database: str, ttl_s: float = ROLLUP_T
         stamp = spark.range(1).select(F.lit(REFRESH_METADATA_KEY).alias("key"), F.lit(now.isoformat()).alias("value"))
         upsert(spark, f"{database}.db_metadata", stamp)
     return rebuild
+
+
+def publish(spark: SparkSession, source: str, target: str, optional: tuple[str, ...] = ("vulns",)) -> list[str]:
+    """Copy the serving tables of one database to another, together: a reader of
+    ``target`` finds the old ones until all are written. Absent optional tables
+    are left out. Returns the names copied."""
+    names = [n for n in PUBLISHED if n not in optional or spark.catalog.tableExists(f"{source}.{n}")]
+    ensure_database(spark, target)
+    tables = {f"{target}.{n}": spark.table(f"{source}.{n}") for n in names}
+    # a file holds few countries, so lookups of one skip the others by row-group statistics
+    tables[f"{target}.scans"] = tables[f"{target}.scans"].hint("rebalance", "country_code").sortWithinPartitions("country_code", "org")
+    create_tables_as(spark, tables)
+    return names

@@ -51,10 +51,24 @@ def create_table_as(spark: SparkSession, name: str, rows: DataFrame) -> DataFram
     The rows are written to a table beside it first, then the names are
     exchanged: a failed write leaves the old table, and ``rows`` may read it.
     """
-    following = f"{name}__next"
-    drop_any(spark, following)
-    rows.write.format("parquet").option("compression", "snappy").saveAsTable(following)
-    return _take_name(spark, following, name)
+    create_tables_as(spark, {name: rows})
+    return spark.table(name)
+
+
+def create_tables_as(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
+    """Rebuild several tables that belong together (a publication).
+
+    All are written beside the old ones before the first takes its name: if one
+    fails, every old table is still there. Exchanging the names touches no data.
+    The tables have no partitions: a catalog may keep a partition's folder by its
+    full path, which a new name would leave behind.
+    """
+    for name, rows in tables.items():
+        following = f"{name}__next"
+        drop_any(spark, following)
+        rows.write.format("parquet").option("compression", "snappy").saveAsTable(following)
+    for name in tables:
+        _take_name(spark, f"{name}__next", name)
 
 
 def create_if_absent(spark: SparkSession, name: str, schema: StructType, key: str | list[str] | None = None,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from portlens.operators.rollup import org_scores
 from portlens.plans import tables
 from portlens.plans.etl import run_etl
-from portlens.plans.serving import serve
+from portlens.plans.serving import PUBLISHED, publish, serve
 from portlens.schema import pitch_schema
 from portlens.session import scratch_path
 from portlens.sources.parquet import read_table
@@ -122,3 +122,22 @@ def test_serve_without_vulns(spark, tmp_path, edge_input, database):
     assert serve(spark, str(tmp_path / "only"), database) is True
     vulns = spark.table(f"{database}.vulns")
     assert vulns.count() == 0 and vulns.columns == ["ip_str", "port", "org", "cve_id", "cvss", "epss", "cve_summary", "cve_verified"]
+
+
+def test_tables_are_published_together_or_not_at_all(spark, tmp_path, edge_input, database):
+    out = run_etl(spark, edge_input, str(tmp_path / "out"))
+    serve(spark, str(tmp_path / "out"), database)
+    target = f"{database}_published"
+    assert publish(spark, database, target) == ["scans", "vulns", "org_scores"]
+    state = lambda: {n: _rows(spark.table(f"{target}.{n}").drop("vulns", "tags")) for n in PUBLISHED}
+    before = state()
+    assert len(before["scans"]) == read_table(spark, out.scans_path).count()
+    # a third table that fails leaves the other two as they were
+    broken = spark.table(f"{database}.org_scores").withColumn("org", F.raise_error(F.lit("lost")).cast("string"))
+    news = {f"{target}.scans": spark.table(f"{database}.scans").where("port = 80"), f"{target}.vulns": spark.table(f"{database}.vulns").limit(1), f"{target}.org_scores": broken}
+    with pytest.raises(PySparkException):
+        tables.create_tables_as(spark, news)
+    assert state() == before
+    tables.drop_any(spark, f"{database}.vulns")
+    assert publish(spark, database, target) == ["scans", "org_scores"]
+    assert state() == before
