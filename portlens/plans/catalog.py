@@ -23,7 +23,7 @@ from ..operators.score import score_relational, vuln_totals, with_base_score, wi
 from ..operators.transform import explode_vulns, flatten, latest_per_key
 from ..schema import pitch_schema, vulns_schema
 from ..session import scratch_path
-from ..sources.banners import banner_lines, driver_banner_lines, load_driver_tables, spread
+from ..sources.banners import EVENT_COLUMNS, banner_lines, driver_banner_lines, load_driver_tables, spread
 from ..sources.ndjson import parse_ndjson, read_ndjson, write_ndjson, write_ndjson_zst
 from ..sources.parquet import publish, read_optional, read_table, read_widened, register_views, write_table
 from . import colocated, incremental, tables
@@ -178,7 +178,7 @@ def _before_cutoff():
 def _snapshot_lines(spark, sf_dir, earlier: bool):
     events, nation = load_driver_tables(spark, sf_dir)
     cond = _before_cutoff()
-    return banner_lines(events.where(cond if earlier else ~cond), nation)
+    return banner_lines(spread(events.where(cond if earlier else ~cond).select(*EVENT_COLUMNS)), nation)
 
 
 def q_outreach_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,7 +373,7 @@ def _damaged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(case == 2, F.concat(F.lit('[{"port": 1}, {"port": "q'), e, F.lit('"}]')))
         .when(case == 3, e)
     )
-    whole = banner_lines(spread(events.where(case > 3)), nation)
+    whole = banner_lines(spread(events.where(case > 3).select(*EVENT_COLUMNS)), nation)
     return whole.unionByName(events.where(case <= 3).select(damage.alias("value")))
 
 

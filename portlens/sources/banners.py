@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 # Fixed derivation tables (test-data rules, positional by e % len).
 PORT_CYCLE = (22, 23, 80, 443, 3389, 3306, 5432, 8291, 27017, 6379, 1521, 8080)
 PRODUCT_CYCLE = ("Fortinet FortiGate", "DrayTek Vigor", "nginx", "HIKVISION cam")
+EVENT_COLUMNS = ("event_id", "user_id", "ts", "value")
 TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
@@ -56,7 +57,7 @@ def banner_records(events: DataFrame, nation: DataFrame) -> DataFrame:
     """One nested banner struct column ``banner`` per event."""
     e, u = F.col("event_id"), F.col("user_id")
     nat = nation.select(F.col("n_nationkey").cast("long").alias("_nk"), F.col("n_name").alias("_nname"))
-    ev = events.select("event_id", "user_id", "ts", "value").join(
+    ev = events.select(*EVENT_COLUMNS).join(
         nat, (F.col("user_id") % 25) == F.col("_nk"), "left"
     )
     has_country = (u % 7) != 6
@@ -135,16 +136,19 @@ def load_driver_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
     )
 
 
+EVENT_BYTES = 1 << 20  # of the scan, by its statistics, for a task that builds lines: some 100 MB of NDJSON
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than the cluster has
-    cores (one small file is one task). A scan that is already wide is left
-    alone, so at scale this adds no shuffle."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    """Round-robin a scan over tasks of about ``EVENT_BYTES``, at least one a core.
+
+    The scan's own partitions say little: a row group is read whole by one of
+    the splits it spans and the others are empty, so a file of few row groups
+    has few working tasks. The narrow rows move before they become lines."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // EVENT_BYTES)))
 
 
 def driver_banner_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, nation = load_driver_tables(spark, sf_dir)
-    return banner_lines(spread(events.select("event_id", "user_id", "ts", "value")), nation)
+    return banner_lines(spread(events.select(*EVENT_COLUMNS)), nation)

@@ -54,11 +54,13 @@ def parse_ndjson(lines: DataFrame, schema: StructType = scan_schema, column: str
     """Parse a text column of NDJSON lines as Spark's JSON file reader does:
     an object is one row, a top-level array one row per element, a malformed
     line one all-NULL row, and a line of JSON white space (or NULL) none."""
+    # One expression under the explode: a filter on the parsed records would be
+    # pushed below their projection, and each of its uses parse the line again.
     text = F.col(column)
-    records = lines.where(text.rlike(r"[^ \t\r\n]")).select(
-        F.from_json(text, ArrayType(schema), {"mode": "PERMISSIVE"}).alias("_recs")
-    )
-    each = records.where(F.col("_recs").isNull() | (F.size("_recs") > 0)).select(F.explode_outer("_recs").alias("_rec"))
+    records = F.from_json(text, ArrayType(schema), {"mode": "PERMISSIVE"})
+    null_record = F.array(F.lit(None).cast(schema))
+    rows = F.when(text.rlike(r"[^ \t\r\n]"), F.coalesce(records, null_record))
+    each = lines.select(F.explode(rows).alias("_rec"))
     return each.select([F.col("_rec").getField(f.name).alias(f.name) for f in schema.fields])
 
 
