@@ -55,6 +55,13 @@ def _org_scores(spark: SparkSession, sf_dir: str, options: Options = DEFAULT_OPT
     return rollup.org_scores(_scans(spark, sf_dir, options), options)
 
 
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder: a query that reads its scans more than once parses the lines once."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    write_table(df, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _no_map(df: DataFrame) -> DataFrame:
     return df.drop("vulns")
 
@@ -93,7 +100,7 @@ def q_vuln_score_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_scored_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    deduped = _deduped(spark, sf_dir)
+    deduped = _stored(_deduped(spark, sf_dir), "deduped")
     return _no_map(score_relational(deduped, explode_vulns(deduped)))
 
 
@@ -143,12 +150,12 @@ def q_org_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_org_deep_dive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scans = _scans(spark, sf_dir)
+    scans = _stored(_scans(spark, sf_dir), "scored")
     return prospects.org_infrastructure(scans, rollup.org_scores(scans))
 
 
 def q_org_cves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scans = _scans(spark, sf_dir)
+    scans = _stored(_scans(spark, sf_dir), "scored")
     return prospects.org_cves(explode_vulns(scans), scans)
 
 
@@ -182,12 +189,12 @@ def _snapshot_lines(spark, sf_dir, earlier: bool):
 
 
 def q_outreach_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scans = _scans(spark, sf_dir)
+    scans = _stored(_scans(spark, sf_dir), "scored")
     return outreach.outreach_context(scans, rollup.org_scores(scans))
 
 
 def q_outreach_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scans = _scans(spark, sf_dir)
+    scans = _stored(_scans(spark, sf_dir), "scored")
     return outreach.outreach_text(outreach.outreach_context(scans, rollup.org_scores(scans)))
 
 
@@ -246,7 +253,7 @@ def q_optional_vulns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_merge_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Older part files lack two columns; a merged read fills them with NULL."""
-    scans = _no_map(_scans(spark, sf_dir))
+    scans = _stored(_no_map(_scans(spark, sf_dir)), "scored")
     old = F.coalesce(F.col("timestamp") < F.expr(f"TIMESTAMP '{SNAPSHOT_CUTOFF}'"), F.lit(False))
     path = scratch_path(spark, "merge")
     write_table(scans.where(old).drop("http_title", "cloud_service"), f"{path}/batch=1")
@@ -473,7 +480,7 @@ def q_export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches of scans: the older one with narrower ports, scores as text and without two columns."""
-    scans = _no_map(_scans(spark, sf_dir))
+    scans = _stored(_no_map(_scans(spark, sf_dir)), "scored")
     old = F.coalesce(F.col("timestamp") < F.expr(f"TIMESTAMP '{SNAPSHOT_CUTOFF}'"), F.lit(False))
     path = scratch_path(spark, "drift")
     older = scans.where(old).drop("http_title", "isp").withColumns(

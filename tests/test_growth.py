@@ -60,3 +60,8 @@ def test_events_of_one_row_group_are_dealt_to_all_tasks(spark, one_row_group, fr
             spark.conf.set(k, v)
     cores = spark.sparkContext.defaultParallelism
     assert sum(counts) == 20_000 and max(counts) <= 20_000 / cores + cores
+
+
+def test_scans_read_twice_are_stored(spark):
+    for query in (catalog.q_org_deep_dive, catalog.q_outreach_context, catalog.q_org_cves, catalog.q_scored_scans):
+        assert "from_json(" not in plan(query(spark, SF_SMALL))
