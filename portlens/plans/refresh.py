@@ -18,6 +18,7 @@ from pyspark.sql.types import MapType, StructType
 from ..config import DEFAULT_OPTIONS, REFRESH_METADATA_KEY, ROLLUP_TTL_SECONDS, Options
 from ..operators.rollup import org_scores
 from ..schema import metadata_schema, pitch_schema, vulns_schema
+from ..session import scratch_folder
 from ..sources.parquet import read_optional, read_table, register_views, write_table, write_version
 
 
@@ -53,9 +54,13 @@ def keyed_upsert(spark: SparkSession, path: str, updates: DataFrame, key: str |
     if schema is not None:
         updates = updates.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
     updates = one_per_key(updates, key, order_by)
-    if table_exists(spark, path):
-        updates = upsert_merge(read_table(spark, path), updates, key)
-    write_version(spark, updates, path)
+    if not table_exists(spark, path):
+        write_version(spark, updates, path)
+        return read_table(spark, path)
+    with scratch_folder(spark, "updates") as stored:  # the merge reads them twice
+        write_table(updates, stored)
+        fresh = spark.read.schema(updates.schema).parquet(stored)
+        write_version(spark, upsert_merge(read_table(spark, path), fresh, key), path)
     return read_table(spark, path)
 
 

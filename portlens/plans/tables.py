@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-from ..session import observed
+from ..session import observed, scratch_folder
+from ..sources.parquet import write_table
 from .refresh import one_per_key, upsert_merge
 
 KEY_PROPERTY = "portlens.key"
@@ -113,7 +114,10 @@ def upsert(spark: SparkSession, name: str, updates: DataFrame, order_by: str | N
     following = f"{name}__next"
     drop_any(spark, following)
     spark.sql(f"CREATE TABLE {_quoted(following)} LIKE {_quoted(name)} TBLPROPERTIES ('{KEY_PROPERTY}' = '{_text(','.join(keys))}')")
-    upsert_merge(old, fresh, keys).select(*old.columns).write.insertInto(following)
+    with scratch_folder(spark, "updates") as stored:  # the merge reads them twice
+        write_table(fresh, stored)
+        fresh = spark.read.schema(fresh.schema).parquet(stored)
+        upsert_merge(old, fresh, keys).select(*old.columns).write.insertInto(following)
     return _take_name(spark, following, name)
 
 

@@ -8,9 +8,11 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from portlens.plans import catalog
+from portlens.plans import catalog, tables
+from portlens.plans.refresh import keyed_upsert
 from portlens.sources.banners import driver_banner_lines
 from portlens.sources.ndjson import parse_ndjson
+from portlens.sources.parquet import write_table
 
 from .conftest import SF_SMALL
 
@@ -65,3 +67,31 @@ def test_events_of_one_row_group_are_dealt_to_all_tasks(spark, one_row_group, fr
 def test_scans_read_twice_are_stored(spark):
     for query in (catalog.q_org_deep_dive, catalog.q_outreach_context, catalog.q_org_cves, catalog.q_scored_scans):
         assert "from_json(" not in plan(query(spark, SF_SMALL))
+
+
+def counted(spark, keys: int):
+    seen = spark.sparkContext.accumulator(0)
+
+    def mark(x):
+        seen.add(1)
+        return x
+
+    return seen, spark.range(keys).select(F.col("id").alias("k"), F.udf(mark, "int")(F.lit(2)).alias("v"))
+
+
+def test_keyed_upsert_computes_the_updates_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write_table(spark.range(10, 60).select(F.col("id").alias("k"), F.lit(1).alias("v")), path)
+    seen, updates = counted(spark, 20)
+    rows = {r["k"]: r["v"] for r in keyed_upsert(spark, path, updates, "k").collect()}
+    assert rows == {k: 2 if k < 20 else 1 for k in range(60)} and seen.value == 20
+
+
+def test_catalog_upsert_computes_the_updates_once(spark):
+    database = catalog._database(spark, "growth")
+    name = f"{database}.t"
+    tables.create_if_absent(spark, name, spark.range(1).select(F.col("id").alias("k"), F.lit(1).alias("v")).schema, "k")
+    tables.upsert(spark, name, spark.range(10, 60).select(F.col("id").alias("k"), F.lit(1).alias("v")))
+    seen, updates = counted(spark, 20)
+    rows = {r["k"]: r["v"] for r in tables.upsert(spark, name, updates).collect()}
+    assert rows == {k: 2 if k < 20 else 1 for k in range(60)} and seen.value == 20
