@@ -44,7 +44,7 @@ CAPACITY = 1024
 TOLERANCE = 0.002
 COLUMNS = 1
 SALTS = 64
-CACHE_WORDS = 1 << 16  # entries of a task's word cache, which is emptied when full
+CACHE_WORDS = 1 << 16  # entries of the automaton's word cache, which is emptied when full
 
 
 def knapsack(value: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -173,20 +173,28 @@ def _borders(start: int, length: int, tail_at: int, total: int, capacity: int) -
 
 
 class _Encoder:
-    """Ids of whole texts as uint32 bytes: words through a cache, unknown ones through the merges' ranks."""
+    """Ids of whole texts as uint32, by the merges' ranks; by the automaton where the ids don't follow the merges."""
 
     def __init__(self, vocabulary: bytes):
-        self.coder = bpe.Codec(vocabulary, bpe.as_uint32, CACHE_WORDS)
+        self.coder, self.ranks = bpe.Codec(vocabulary, bpe.as_uint32, CACHE_WORDS), None
         labels = self.coder.automaton.labels
-        ranks = tiktoken.Encoding("packing", pat_str=bpe.SPLIT, mergeable_ranks=labels, special_tokens={})
         made = self.coder.automaton.made
         merged = [made[i] for i in sorted(labels.values()) if made[i]]
         if merged == sorted(merged):  # ids in the order of the merges, as ranks have to be
-            self.coder.encode_words = ranks.encode_ordinary
+            self.ranks = tiktoken.Encoding("packing", pat_str=bpe.SPLIT, mergeable_ranks=labels, special_tokens={})
             self.coder.automaton = self.coder.label_of = None  # not needed any more: a worker's memory
 
     def __call__(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(self.coder.encode_chunks(text or "")), "<u4")
+        text = text or ""
+        if self.ranks is None:
+            return np.frombuffer(b"".join(self.coder.encode_chunks(text)), "<u4")
+        special = self.coder.special
+        if not any(s in text for s in special):
+            return np.array(self.ranks.encode_ordinary(text), "<u4")
+        ids: list[int] = []
+        for i, part in enumerate(self.coder.at_special.split(text)):
+            ids += [special[part]] if i % 2 else self.ranks.encode_ordinary(part)
+        return np.array(ids, "<u4")
 
 
 _encoders: dict[bytes, _Encoder] = {}
